@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,18 +16,14 @@ def shared_folder(spark: SparkSession) -> str:
     warehouse tables, which executors share.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None) if _has_dir(sc) else sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        if not _has_dir(sc):
-            sc.setCheckpointDir(named)
-        return named
-    own = tempfile.mkdtemp(prefix="graphloom-") if sc.master.startswith("local") and not sc.master.startswith("local-cluster") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-    sc.setCheckpointDir(own)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def _has_dir(sc) -> bool:
-    return sc._jsc.sc().getCheckpointDir().isDefined()
+    set_dir = sc._jsc.sc().getCheckpointDir()
+    named = sc.getConf().get("spark.checkpoint.dir") or (set_dir.get() if set_dir.isDefined() else None)
+    if named is None:
+        local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        named = tempfile.mkdtemp(prefix="graphloom-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    if not set_dir.isDefined():
+        sc.setCheckpointDir(named)
+    return re.sub(r"^file:/+", "file:///", named)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
