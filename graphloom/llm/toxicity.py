@@ -82,8 +82,23 @@ def _distinct_features(texts: list[bytes]):
             yield np.unique(h[cut[i] : cut[i + 1]])
 
 
+#: Least likelihood-ratio statistic of a feature (about 1 in 50,000 by chance).
+SURPRISE = 18.0
+
+
+def _log_odds(k: np.ndarray, n: int, rate: np.ndarray) -> np.ndarray:
+    """Log-likelihood gain of k in n at its own rate over `rate`."""
+    own = np.clip(k / n, 1e-12, 1 - 1e-12)
+    rate = np.clip(rate, 1e-12, 1 - 1e-12)
+    return k * np.log(own / rate) + (n - k) * np.log((1 - own) / (1 - rate))
+
+
 def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int) -> np.ndarray:
-    """The hashes that tell positives from the rest best, by a z-score of their rates."""
+    """The hashes that tell positives from the rest best, by a likelihood ratio.
+
+    Many features are tried, so only those far beyond chance are taken, and only
+    those that are rare in what remains of the unlabelled after the prior's share.
+    """
 
     def rates(sets):
         if not sets:
@@ -99,10 +114,12 @@ def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], pr
     at[at == len(g)] = 0
     u = np.where(len(g) and g[at] == f, u[at], 0.0) if len(g) else np.zeros(len(f))
     negative = np.clip((u - prior * p) / max(1e-9, 1 - prior), 0, 1)
-    spread = np.sqrt(p * (1 - p) / len(positive) + np.maximum(negative, 1 / max(1, len(unlabelled))) / max(1, len(unlabelled)) + 1e-12)
-    z = (p - negative) / spread
-    # many features are tried: only those far beyond chance, and rarer in the rest
-    good = (z > 5) & (p * len(positive) >= 3) & (p > 3 * negative)
+    # how unlikely a feature's counts are if both sets had it at one rate
+    k, n, j, m = p * len(positive), len(positive), u * len(unlabelled), len(unlabelled)
+    both = (k + j) / (n + m)
+    surprise = 2 * (_log_odds(k, n, both) + _log_odds(j, m, both))
+    good = (surprise > SURPRISE) & (k >= 3) & (p > 3 * negative)
+    z = surprise
     best = np.argsort(-z[good], kind="stable")[:most]
     return np.sort(f[good][best])
 
