@@ -83,7 +83,7 @@ def text_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
 #: Rates, in whole thousandths (mean word length: hundredths of a character), and
 #: the floor up to which a rate never rejects.
-RATES = {"symbol_rate": 100, "dup_line_rate": 20, "repeat_rate": 350, "mean_length": 1200}
+RATES = {"symbol_rate": 100, "dup_line_rate": 20, "repeat_rate": 450, "mean_length": 1200}
 
 
 def rates(df: DataFrame) -> DataFrame:

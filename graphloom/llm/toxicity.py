@@ -140,14 +140,15 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rat
     w, b = np.zeros(xp.shape[1], np.float64), np.log(prior / (1 - prior))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        gp, gu = xp @ w + b, xu @ w + b
+        w32 = w.astype(np.float32)  # as the matrices are, or each product copies them
+        gp, gu = (xp @ w32).astype(np.float64) + b, (xu @ w32).astype(np.float64) + b
         on_p, off_p, off_u = -sigmoid(-gp) / len(gp), sigmoid(gp) / len(gp), sigmoid(gu) / len(gu)
         negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         if negative >= 0:
             dp, du = prior * (on_p - off_p), off_u
         else:  # the estimate went below zero: step back along its own gradient
             dp, du = prior * off_p, -off_u
-        grad = np.append(xp.T @ dp + xu.T @ du + decay * w, dp.sum() + du.sum())
+        grad = np.append(xp.T @ dp.astype(np.float32) + xu.T @ du.astype(np.float32) + decay * w, dp.sum() + du.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = np.maximum(0, w - step[:-1]), b - step[-1]
