@@ -1,21 +1,75 @@
-"""A corpus pipeline of this repository's operators, each stage written and read again."""
+"""From raw documents to a training mix: five operators, each stage written and read again.
+
+Every filtering stage computes its decisions over all rows it is given and drops
+the rejected ids; texts are not shuffled for that while the rejected ids are few
+enough to broadcast (their number is counted first).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import jaccard
-from graphloom.llm._shared import fresh_path
+from graphloom.llm import decontaminate, jaccard, mixing, quality, toxicity
+from graphloom.llm._shared import fresh_path, settle
+
+#: Ids up to which a set of them is broadcast; beyond, a shuffled join.
+BROADCAST_IDS = 1_000_000
+
+
+def _few(ids: DataFrame) -> bool:
+    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids (one column, id)."""
+    gone = settle(ids.filter("id is not null").select(F.col("id").alias("_gone")).distinct())
+    return docs.join(F.broadcast(gone) if _few(gone) else gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(docs.columns)
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return without(docs, toxicity.toxicity(docs, labels).filter("predicted = 1"))
+
+
+def junk_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break a quality rule go."""
+    return without(docs, quality.quality_rules(docs).filter("not kept"))
+
+
+def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that with the smallest id.
+
+    Rows that repeat an id are one document, of which one row stays.
+    """
+    found = settle(jaccard.ngram_jaccard_join(docs))
+    kept = without(docs, found.filter("id <> component_id"))
+    again = found.filter("n_copies > 1 and id = component_id").groupBy("id").count().filter("count > 1").select("id")
+    if again.isEmpty():
+        return kept
+    once = without(kept, again)
+    return once.union(kept.join(again, F.col("doc_id") == F.col("id"), "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+
+
+def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold windows of two or more benchmark items go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without(docs, decontaminate.contamination(docs, benchmark).filter("contaminated"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    found = jaccard.ngram_jaccard_join(docs).filter("id = component_id").select(F.col("id").alias("doc_id"))
-    return docs.join(found.distinct(), "doc_id", "left_semi").select(docs.columns)
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as a list of documents with their copies; a document with 0 is left out of it."""
+    return mixing.mix(docs).withColumnRenamed("id", "doc_id")
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("toxicity", toxic_out),
+    ("quality_rules", junk_out),
+    ("ngram_jaccard_join", near_copies_out),
+    ("benchmark_decontamination", contaminated_out),
+    ("mixing", mix),
+]
 
 #: The first stage trains a classifier, which SQL can't express.
 ORACLE_SQL = None
