@@ -24,8 +24,8 @@ p as (
   select a.doc_id as x, b.doc_id as y from e a join e b on a.g = b.g and a.doc_id < b.doc_id
   and 100 * least(a.k, b.k) >= {percent} * greatest(a.k, b.k)
   group by a.doc_id, b.doc_id, a.k, b.k having 100 * count(*) >= {percent} * (a.k + b.k - count(*))),
-both as (select x, y from p union all select y, x from p),
-reach(x, y) as (select x, y from both union select r.x, b.y from reach r join both b on r.y = b.x),
+sym as (select x, y from p union all select y, x from p),
+reach(x, y) as (select x, y from sym union select r.x, b.y from reach r join sym b on r.y = b.x),
 c as (select x, min(y) as least from reach group by x),
 copies as (select same, count(*) as n_copies from n where k > 0 group by same)
 select n.doc_id, n.k as n_shingles, least(n.doc_id, coalesce(c.least, n.doc_id)) as component_id,
