@@ -1 +1 @@
-
+"""Column functions: paths, names, escapes and globs."""

@@ -1 +1 @@
-
+"""Operators on code graphs as DataFrame plans."""

@@ -1 +1 @@
-
+"""Views, registered queries and session helpers."""
