@@ -63,19 +63,18 @@ def words_of(line: Column) -> Column:
     return F.when(F.length(body) > 0, F.split(body, " ")).otherwise(F.array().cast("array<string>"))
 
 
-def places(words: Column, phrase: str) -> Column:
-    """Start positions of a phrase's words."""
-    parts = phrase.split(" ")
-    last = F.size(words) - len(parts)
+def places(line: Column, phrase: str) -> Column:
+    """Start positions of a phrase's words in a spaced() text.
 
-    def stands(i: Column) -> Column:
-        same = None
-        for k, p in enumerate(parts):
-            one = F.get(words, i + k) == p
-            same = one if same is None else same & one
-        return same
-
-    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), stands)).otherwise(F.array().cast("array<int>"))
+    The text is split at the phrase once; what lies between the cuts is counted. No
+    phrase here overlaps itself.
+    """
+    n = len(phrase.split(" "))
+    counts = F.transform(F.split(line, f" {phrase}(?= )"), lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))))
+    before = F.slice(counts, F.lit(1), F.size(counts) - 1)
+    start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<int>").alias("at"))
+    step = lambda s, c: F.struct((s["upto"] + c + n).alias("upto"), F.concat(s["at"], F.array(s["upto"] + c)).alias("at"))
+    return F.aggregate(before, start, step)["at"]
 
 
 def word_frequencies(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -144,7 +143,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     has = F.lit(False)
     for phrase in PHRASES:
         has = has | F.col("line").contains(f" {phrase} ")
-    found = F.when(has, F.array(*(F.struct(F.lit(label).alias("label"), places(words_of(F.col("line")), phrase).alias("at")) for phrase, label in PHRASES.items())))
+    found = F.when(has, F.array(*(F.struct(F.lit(label).alias("label"), places(F.col("line"), phrase).alias("at")) for phrase, label in PHRASES.items())))
     n_words = F.greatest(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) - 1, F.lit(0)).cast("long")
     base = lined.select(key.alias("key"), "id", n_words.alias("n_words"), found.alias("found"))
     at = F.flatten(F.transform("found", lambda x: x["at"]))
