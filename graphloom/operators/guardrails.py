@@ -44,7 +44,7 @@ def derive_plan(packed: DataFrame, focus: DataFrame | None = None) -> DataFrame:
         files = files.join(focus.select("path").distinct(), "path", "left_semi")
     n = F.count("*").over(Window.partitionBy())
     # a pack is capped, so numbering it in one partition is too
-    return files.select(F.row_number().over(Window.orderBy("path")).alias("task"), "path", F.greatest(F.lit(1), F.least(F.lit(1000), 50 * n)).alias("max_loc"), (n + 2).alias("max_files"))
+    return files.select(F.row_number().over(Window.orderBy("path")).cast("long").alias("task"), "path", F.greatest(F.lit(1), F.least(F.lit(1000), 50 * n)).alias("max_loc"), (n + 2).alias("max_files"))
 
 
 #: Allowed steps of a plan's status.

@@ -46,7 +46,7 @@ def domain_skills(nodes: DataFrame, edges: DataFrame, min_files: int = MIN_FILES
     files = file_domains(nodes).join(degrees(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     section = F.when(F.col("kind") == "test", "tests").otherwise("code")
     sized = files.withColumn("n", F.count("*").over(Window.partitionBy("domain"))).filter(F.col("n") >= min_files).withColumn("section", section)
-    ranked = sized.withColumn("place", F.row_number().over(Window.partitionBy("domain", "section").orderBy(F.desc("degree"), "path")))
+    ranked = sized.withColumn("place", F.row_number().over(Window.partitionBy("domain", "section").orderBy(F.desc("degree"), "path")).cast("long"))
     return ranked.filter(F.col("place") <= F.when(F.col("section") == "tests", tests).otherwise(shown)).select("domain", "section", "place", "path", "degree")
 
 

@@ -220,6 +220,6 @@ SQL: dict[str, str] = {
       case when m is null then name || ' missing' else nullif(concat_ws('; ', case when watched and greatest(0, floor((5000000 - m) / 60000 + 0.5)) > 60 then 'stale (' || cast(floor((5000000 - m) / 60000 + 0.5) as bigint) || 'm old)' end, case when g <> s then 'hash mismatch with scan' end), '') end as warning
       from (values ('scan', 1000000, true, 'a', 'b'), ('graph', 4000000, true, 'a', 'a'), ('pack', null, true, null, null), ('plan', 0, false, null, null)) t(name, m, watched, g, s)""",
     "skill_coverage": "select * from (values ('packages/core', true), ('packages/app', false), ('src', true)) t(domain, covered)",
-    "shortstat": "select id, coalesce(list_sum(list_transform(regexp_extract_all(text, '(\\d+) (?:insertion|deletion)', 1), lambda x: cast(x as bigint))), 0) as delta from (values (1, ' 3 files changed, 10 insertions(+), 2 deletions(-)'), (2, ' 1 file changed, 1 insertion(+)'), (3, '')) t(id, text)",
+    "shortstat": "select id, cast(coalesce(list_sum(list_transform(regexp_extract_all(text, '(\\d+) (?:insertion|deletion)', 1), lambda x: cast(x as bigint))), 0) as bigint) as delta from (values (1, ' 3 files changed, 10 insertions(+), 2 deletions(-)'), (2, ' 1 file changed, 1 insertion(+)'), (3, '')) t(id, text)",
     "scaffold_lint": "select * from (values ('proposal.md', 'missing ## What Changes'), ('tasks.md', 'missing - [ ]'), ('core/spec.md', 'no delta heading'), ('core/spec.md', 'requirement without scenario')) t(name, problem)",
 }

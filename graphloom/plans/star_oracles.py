@@ -225,7 +225,7 @@ SQL: dict[str, str] = {
     "flow_steps": "select 'step:flow:7#' || turn as step_id, turn as ord, 'turn ' || turn as file, role as layer from conversations where conv_id = 7",
     "edge_panel": _with("""select id, dir, count(*) as n, greatest(0, count(*) - 6) as more, string_agg(other, ',' order by k) filter (k <= 6) as first from (
       select *, row_number() over (partition by id, dir order by other, type) as k from (select src as id, 'out' as dir, dst as other, type from edges union all select dst, 'in', src, type from edges)) group by id, dir"""),
-    "node_type_counts": _with("select id, type, sum(o) as n_out, sum(i) as n_in from (select src as id, type, 1 as o, 0 as i from edges union all select dst, type, 0, 1 from edges) group by id, type"),
+    "node_type_counts": _with("select id, type, cast(sum(o) as bigint) as n_out, cast(sum(i) as bigint) as n_in from (select src as id, type, 1 as o, 0 as i from edges union all select dst, type, 0, 1 from edges) group by id, type"),
     "sidebar": _with("select domain, coalesce(nullif(regexp_replace(path[length(domain) + 2:], '/?[^/]*$', ''), ''), '(root)') as folder, count(*) as n_files, count(*) filter (doc_id % 9 = 0) as n_packed from files group by all"),
     "search_nodes": _with("select id, label, path from nodes where contains(lower(label), 'doc_1') or contains(lower(path), 'doc_1')"),
     "sync_report": _with("""select (select string_agg(domain || '=' || n, ',' order by domain || '=' || n) from (select domain, count(*) as n from files where doc_id % 10 = 0 group by domain)) as domains,
