@@ -80,7 +80,7 @@ def scan_project(spark: SparkSession, root: str, previous: DataFrame | None = No
     fresh = merge_cache(listing, previous)
     todo = listing.join(fresh.filter("status = 'stale'").select("path"), "path", "left_semi")
     new = classify(read_contents(todo, root)).join(todo.select("path", "mtime"), "path")
-    kept = fresh.filter("status = 'reused'").join(previous, ["path"]).select(previous["path"], previous["ext"], previous["size"], previous["hash"], previous["kind"], previous["mtime"])
+    kept = previous.join(fresh.filter("status = 'reused'").select("path"), "path", "left_semi").select("path", "ext", "size", "hash", "kind", "mtime")
     return kept.union(new.select(kept.columns))
 
 
