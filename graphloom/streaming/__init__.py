@@ -1 +1 @@
-
+"""Incremental use: files that arrive as a stream, merged into stored tables."""
