@@ -84,53 +84,75 @@ def _distinct_features(texts: list[bytes]):
 
 #: Least likelihood-ratio statistic of a feature (about 1 in 50,000 by chance).
 SURPRISE = 18.0
+#: Features that a map task counts before it sends them on.
+FLUSH = 1 << 20
+
+
+def _count_features(batches):
+    """Rows (feature, p, u): texts of either role that have a feature, combined in the task."""
+
+    def flush(positive, unlabelled):
+        f, n = np.unique(np.concatenate([*positive, *unlabelled]), return_counts=True)
+        p = np.zeros(len(f), dtype=np.int64)
+        if positive:
+            g, k = np.unique(np.concatenate(positive), return_counts=True)
+            p[np.searchsorted(f, g)] = k
+        return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(p), pa.array(n - p)], ["feature", "p", "u"])
+
+    positive, unlabelled, held = [], [], 0
+    for b in batches:
+        for s, is_p, is_u in zip(_distinct_features(as_bytes(b.column(0))), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            positive += [s] * bool(is_p)
+            unlabelled += [s] * bool(is_u)
+            held += len(s)
+            if held >= FLUSH:
+                yield flush(positive, unlabelled)
+                positive, unlabelled, held = [], [], 0
+    if positive or unlabelled:
+        yield flush(positive, unlabelled)
+
+
+def select_features(counts: DataFrame, n_positive: int, n_unlabelled: int, prior: float, most: int) -> np.ndarray:
+    """The hashes that tell positives from the rest best, by a likelihood ratio.
 
+    counts: (feature, p, u). Many features are tried, so only those far beyond
+    chance are taken, and only those that are rare in what remains of the
+    unlabelled after the prior's share. At most `most` rows reach the driver.
+    """
+    clip = lambda c: F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), c))
+    rate = clip((F.col("p") + F.col("u")) / (n_positive + n_unlabelled))
 
-def _log_odds(k: np.ndarray, n: int, rate: np.ndarray) -> np.ndarray:
-    """Log-likelihood gain of k in n at its own rate over `rate`."""
-    own = np.clip(k / n, 1e-12, 1 - 1e-12)
-    rate = np.clip(rate, 1e-12, 1 - 1e-12)
-    return k * np.log(own / rate) + (n - k) * np.log((1 - own) / (1 - rate))
+    def gain(k, n):
+        own = clip(F.col(k) / n)
+        return F.col(k) * F.log(own / rate) + (n - F.col(k)) * F.log((1 - own) / (1 - rate))
 
+    share = F.col("p") / n_positive
+    negative = F.greatest(F.lit(0.0), (F.col("u") / n_unlabelled - prior * share) / (1 - prior))
+    surprise = 2 * (gain("p", n_positive) + gain("u", n_unlabelled))
+    best = counts.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter(F.col("p") >= 3).withColumn("surprise", F.round(surprise, 6))
+    best = best.filter((F.col("surprise") > SURPRISE) & (share > 3 * negative)).orderBy(F.desc("surprise"), "feature").limit(most)
+    return np.sort(np.array([r[0] for r in best.select("feature").collect()], dtype=np.int64).view(_U))
 
-def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int) -> np.ndarray:
-    """The hashes that tell positives from the rest best, by a likelihood ratio.
 
-    Many features are tried, so only those far beyond chance are taken, and only
-    those that are rare in what remains of the unlabelled after the prior's share.
-    """
+def _find_features(features: np.ndarray):
+    """Map over sampled texts: the places in `features` of what each text has."""
+
+    def each(batches):
+        for b in batches:
+            found = []
+            for s in _distinct_features(as_bytes(b.column(0))):
+                at = np.searchsorted(s, features)
+                at[at == len(s)] = 0
+                found.append(np.flatnonzero(s[at] == features).astype(np.int16).tobytes() if len(s) else b"")
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1), b.column(2)], ["places", "positive", "unlabelled"])
+
+    return each
+
 
-    def rates(sets):
-        if not sets:
-            return np.zeros(0, _U), np.zeros(0)
-        f, n = np.unique(np.concatenate(sets), return_counts=True)
-        return f, n / len(sets)
-
-    f, p = rates(positive)
-    g, u = rates(unlabelled)
-    if not len(f):
-        return f
-    at = np.searchsorted(g, f)
-    at[at == len(g)] = 0
-    u = np.where(len(g) and g[at] == f, u[at], 0.0) if len(g) else np.zeros(len(f))
-    negative = np.clip((u - prior * p) / max(1e-9, 1 - prior), 0, 1)
-    # how unlikely a feature's counts are if both sets had it at one rate
-    k, n, j, m = p * len(positive), len(positive), u * len(unlabelled), len(unlabelled)
-    both = (k + j) / (n + m)
-    surprise = 2 * (_log_odds(k, n, both) + _log_odds(j, m, both))
-    good = (surprise > SURPRISE) & (k >= 3) & (p > 3 * negative)
-    z = surprise
-    best = np.argsort(-z[good], kind="stable")[:most]
-    return np.sort(f[good][best])
-
-
-def presence(sets: list[np.ndarray], features: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(sets), len(features)), dtype=np.float32)
-    for i, s in enumerate(sets):
-        if len(features) and len(s):
-            at = np.searchsorted(features, s)
-            at[at == len(features)] = 0
-            out[i, at[features[at] == s]] = 1
+def presence(places: list[bytes], n: int) -> np.ndarray:
+    out = np.zeros((len(places), n), dtype=np.float32)
+    for i, x in enumerate(places):
+        out[i, np.frombuffer(x, np.int16)] = 1
     return out
 
 
@@ -172,21 +194,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     unlabelled = by_hash(docs.filter(~held_out(id_col)).select(id_col), max_unlabelled, 0)
     sample = positive.union(unlabelled).groupBy("id").agg(F.max("role").alias("positive"), (F.min("role") == 0).alias("unlabelled"))
 
-    def each(batches):
-        for b in batches:
-            sets = [s.tobytes() for s in _distinct_features(as_bytes(b.column(0)))]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), b.column(1), b.column(2)], ["features", "positive", "unlabelled"])
-
     # the sample has at most max_positive + max_unlabelled ids
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("text", "positive", "unlabelled")
-    rows = texts.mapInArrow(each, "features binary, positive int, unlabelled boolean").toArrow()
-    sets = [np.frombuffer(x, _U) for x in rows.column(0).to_pylist()]
-    is_p, is_u = rows.column(1).to_pylist(), rows.column(2).to_pylist()
-    positives, rest = [s for s, p in zip(sets, is_p, strict=True) if p], [s for s, u in zip(sets, is_u, strict=True) if u]
-    if not positives or not rest:
+    n_positive, n_unlabelled = texts.agg(F.sum("positive"), F.sum(F.col("unlabelled").cast("int"))).first()
+    if not n_positive or not n_unlabelled:
         return None
-    features = select_features(positives, rest, prior, max_features)
-    weights, bias = fit_nnpu(presence(positives, features), presence(rest, features), prior)
+    features = select_features(texts.mapInArrow(_count_features, "feature long, p long, u long"), n_positive, n_unlabelled, prior, max_features)
+    rows = texts.mapInArrow(_find_features(features), "places binary, positive int, unlabelled boolean").collect()
+    xp = presence([r["places"] for r in rows if r["positive"]], len(features))
+    xu = presence([r["places"] for r in rows if r["unlabelled"]], len(features))
+    weights, bias = fit_nnpu(xp, xu, prior)
     return Model(features, weights, bias)
 
 
