@@ -68,14 +68,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: list[str] | None = None,
     settled so that plans don't grow.
     """
     spark = nodes.sparkSession
-    ids = nodes.select("id").distinct()
+    # nodes and edges may be long plans of their own: each is made once
+    ids = settle(nodes.select("id").distinct())
     seeded = ids.filter(F.col("id").isin(seeds)).count() if seeds else 0
     n = ids.count()
     if not n:
         return spark.createDataFrame([], "id string, rank double")
     p = F.when(F.col("id").isin(seeds), F.lit(1.0 / seeded)).otherwise(F.lit(0.0)) if seeded else F.lit(1.0 / n)
     base = ids.select("id", p.alias("p"))
-    links = ranking_edges(nodes, edges)
+    links = settle(ranking_edges(ids, edges))
     if n <= local_limit and links.limit(local_limit + 1).count() <= local_limit:
         rows = base.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("p").alias("weight")).union(links)
         return rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_rank_local(iterations, tolerance, alpha), "id string, rank double")
@@ -97,9 +98,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: list[str] | None = None,
 
 def bfs(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """(id, dist): directed hops from known seeds, up to depth."""
-    known = nodes.select("id").distinct()
+    known = settle(nodes.select("id").distinct())
     seen = settle(seeds.select("id").distinct().join(known, "id", "left_semi").withColumn("dist", F.lit(0)))
-    links = ranking_edges(nodes, edges).select("src", "dst").distinct()
+    links = settle(ranking_edges(known, edges).select("src", "dst").distinct())
     frontier = seen
     for hop in range(1, depth + 1):
         reached = frontier.select(F.col("id").alias("src")).join(links, "src").select(F.col("dst").alias("id")).distinct()

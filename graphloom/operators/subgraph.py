@@ -35,7 +35,7 @@ def change_subgraph(nodes: DataFrame, edges: DataFrame, focus: list[str], depth:
     symbols = nodes.filter("type = 'symbol' and path is not null").select("id", "path", "exported")
     if mode == "full":
         seen = seen.union(symbols.filter(F.col("path").isin(focus)).select("id")).distinct()
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    both = settle(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     seen = settle(seen)
     frontier = seen
     for _ in range(max(0, depth)):
