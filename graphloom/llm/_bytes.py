@@ -139,6 +139,13 @@ def runs(h: np.ndarray, size: int) -> np.ndarray:
     return mix(out + _U(size))
 
 
+def sliced(batches, rows: int = 1024):
+    """Arrow batches in slices of few rows, so that what is made of one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def as_bytes(column) -> list[bytes]:
     """An Arrow string column as bytes; null is empty."""
     import pyarrow as pa

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import alnum_folded, as_bytes, chunks, split_words
+from ._bytes import alnum_folded, as_bytes, chunks, sliced, split_words
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bytes of benchmark text in one broadcast; more are taken in further passes.
@@ -152,7 +152,7 @@ class Segment:
 
 def search(texts: list[bytes], windows: Windows, near: int = 0):
     """For each text: (words, sorted hit positions, items by phrase, items by proximity)."""
-    for _, part in chunks(texts, 8 << 20):
+    for _, part in chunks(texts):
         seg = Segment(part, windows)
         hit = np.zeros(len(seg.starts), dtype=bool)
         items: list[set[str]] = [set() for _ in part]
@@ -198,7 +198,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         held = spark.sparkContext.broadcast(windows_of(block, window))
 
         def each(batches):
-            for b in batches:
+            for b in sliced(batches):
                 n, hits, items, close = [], [], [], []
                 for words, at, exact, nearby in search(as_bytes(b.column(1)), held.value, near):
                     n.append(words)

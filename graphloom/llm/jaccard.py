@@ -44,13 +44,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import as_bytes, chunks, runs, spaced_folded, split_words
+from ._bytes import as_bytes, chunks, runs, sliced, spaced_folded, split_words
 from ._shared import bytes_of, settle
 from .components import connected_components
 
 _U = np.uint64
 #: Elements that a map task holds before it combines and sends them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Elements of the texts that are searched in one place.
 BLOCK = 1 << 22
 #: Ids up to which a set of ids is broadcast to filter texts; beyond, a shuffled join.
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFra
     from ._bytes import mix
 
     def each(batches):
-        for b in batches:
+        for b in sliced(batches):
             size, f1, f2 = [], [], []
             for s in shingle_sets(as_bytes(b.column(1)), n):
                 size.append(len(s))
@@ -125,7 +125,7 @@ def _prefix_blobs(n: int, percent: int, shift: int):
 
     def each(batches):
         tok, doc, held = [], [], 0
-        for b in batches:
+        for b in sliced(batches):
             ids = b.column(0).to_pylist()
             for i, s in enumerate(shingle_sets(as_bytes(b.column(1)), n)):
                 k = len(s)
@@ -193,7 +193,7 @@ def candidate_groups(docs: DataFrame, reps: DataFrame, id_col: str, text_col: st
     """(rep, size, grp): texts connected through their rarest shared elements."""
 
     def elements(batches):
-        for b in batches:
+        for b in sliced(batches):
             sets = list(shingle_sets(as_bytes(b.column(1)), n))
             ids = np.repeat(np.array(b.column(0)), [len(s) for s in sets])
             size = np.repeat([len(s) for s in sets], [len(s) for s in sets])

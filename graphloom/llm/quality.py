@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import SPACED, as_bytes, chunks, runs, spaced_exact, split_words
+from ._bytes import SPACED, as_bytes, chunks, runs, sliced, spaced_exact, split_words
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
@@ -71,7 +71,7 @@ def text_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     kept = [picked.schema[f"_{i}"].dataType.simpleString() for i in range(len(keep))]
 
     def each(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = np.array(list(counts_of(as_bytes(b.column(0)))), dtype=np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(rows[:, k]) for k in range(len(COUNTS)))], [*b.schema.names[1:], *COUNTS])
 

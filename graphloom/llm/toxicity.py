@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import _POSITION, _U, alnum_folded, as_bytes, chunks, mix, split_words
+from ._bytes import _POSITION, _U, alnum_folded, as_bytes, chunks, mix, sliced, split_words
 
 #: Lengths in bytes of the word beginnings that are features, beside whole words.
 BEGINNINGS = (4, 5)
@@ -100,7 +100,7 @@ def _count_features(batches):
         return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(p), pa.array(n - p)], ["feature", "p", "u"])
 
     positive, unlabelled, held = [], [], 0
-    for b in batches:
+    for b in sliced(batches):
         for s, is_p, is_u in zip(_distinct_features(as_bytes(b.column(0))), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             positive += [s] * bool(is_p)
             unlabelled += [s] * bool(is_u)
@@ -138,7 +138,7 @@ def _find_features(features: np.ndarray):
     """Map over sampled texts: the places in `features` of what each text has."""
 
     def each(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = []
             for s in _distinct_features(as_bytes(b.column(0))):
                 at = np.searchsorted(s, features)
@@ -213,7 +213,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def each(batches):
         model = held.value
-        for b in batches:
+        for b in sliced(batches):
             texts = as_bytes(b.column(2))
             s = model.scores(texts) if model is not None else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], ["id", "held_out", "score"])
