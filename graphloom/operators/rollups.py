@@ -218,3 +218,18 @@ def search_nodes(nodes: DataFrame, text: str) -> DataFrame:
     """Nodes whose label or path holds a text, whatever its case."""
     low = text.lower()
     return nodes.filter(F.lower("label").contains(low) | F.lower("path").contains(low)).select("id", "label", "path")
+
+
+def semantic_map(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(domain, n_files, n_layers, n_endpoints, n_flows) from semantic nodes and edges.
+
+    An endpoint is in the domain of the first file that exposes it.
+    """
+    of = edges.filter("type = 'belongs_to_domain'").select("src", F.col("dst").alias("domain_id"))
+    files = of.groupBy("domain_id").agg(F.count("*").alias("n_files"))
+    layer = edges.filter("type = 'in_layer'").select("src", "dst").join(of, "src").groupBy("domain_id").agg(F.count_distinct("dst").alias("n_layers"))
+    first = edges.filter("type = 'exposes_endpoint'").groupBy("dst").agg(F.min("src").alias("src")).join(of, "src").groupBy("domain_id").agg(F.count("*").alias("n_endpoints"))
+    flow = nodes.filter("type = 'flow'").select(F.concat(F.lit("domain:"), F.regexp_extract("id", "^flow:([^/]*)/", 1)).alias("domain_id")).groupBy("domain_id").agg(F.count("*").alias("n_flows"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    named = nodes.filter("type = 'domain'").select(F.col("id").alias("domain_id"), F.col("label").alias("domain"))
+    return named.join(files, "domain_id", "left").join(layer, "domain_id", "left").join(first, "domain_id", "left").join(flow, "domain_id", "left").select("domain", zero("n_files"), zero("n_layers"), zero("n_endpoints"), zero("n_flows"))

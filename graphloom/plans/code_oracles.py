@@ -210,6 +210,10 @@ SQL: dict[str, str] = {
     "semantic_flows": _with("select flow_id, domain, label, entry, array_to_string(list_transform(range(1, len(fs) + 1), lambda k: ls[k] || '=' || fs[k]), ',') as steps from fl", SEM),
     "semantic_nodes": _with("select * from snodes", [*SEM, SNODES]),
     "semantic_edges": _with("select * from sedges", [*SEM, SEDGES]),
+    "semantic_map": _with("""select d.label as domain, (select count(*) from sedges where type = 'belongs_to_domain' and dst = d.id) as n_files,
+      (select count(distinct dst) from sedges where type = 'in_layer' and src in (select src from sedges where type = 'belongs_to_domain' and dst = d.id)) as n_layers,
+      (select count(*) from (select dst, min(src) as src from sedges where type = 'exposes_endpoint' group by dst) e where src in (select src from sedges where type = 'belongs_to_domain' and dst = d.id)) as n_endpoints,
+      (select count(*) from snodes where type = 'flow' and starts_with(id, 'flow:' || d.label || '/')) as n_flows from snodes d where type = 'domain'""", [*SEM, SNODES, SEDGES]),
     "architecture": _with("""select case type when 'belongs_to_domain' then 'domain' when 'exposes_endpoint' then 'endpoint' else 'flow' end as part, dst as id, any_value(label) as label, case when type = 'exposes_endpoint' then min(src)[6:] end as file
       from (select e.*, n.label from sedges e join snodes n on n.id = e.dst) where type in ('belongs_to_domain', 'exposes_endpoint', 'implements_flow') and starts_with(src, 'file:src/users/') group by type, dst""", [*SEM, SNODES, SEDGES]),
     "enrichment_targets": _with("""select id, kind, p as priority from (select distinct id, kind, case when kind in ('class_declaration', 'class_definition') then 0 when kind = 'interface_declaration' then 1 when kind = 'type_alias_declaration' then 2 else 3 end as p

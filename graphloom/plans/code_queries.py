@@ -108,6 +108,11 @@ def semantic_edges(spark, sf_dir):
     return semantics.semantic_edges(domain, layer, ends, flow, imported)
 
 
+def semantic_map(spark, sf_dir):
+    files, domain, layer, ends, flow, imported = _semantic(spark)
+    return rollups.semantic_map(semantics.semantic_nodes(files, domain, layer, ends, flow), semantics.semantic_edges(domain, layer, ends, flow, imported))
+
+
 def architecture(spark, sf_dir):
     files, domain, layer, ends, flow, imported = _semantic(spark)
     nodes = semantics.semantic_nodes(files, domain, layer, ends, flow)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
-from ..operators import exporting, guardrails, packing, ranking, rollups, subgraph, validation
+from ..operators import exporting, guardrails, packing, ranking, rendering, rollups, subgraph, validation
 from ..sources import scan
 from . import views
 from .views import table
@@ -278,6 +278,12 @@ def url_shapes(spark, sf_dir):
     return u.select("page_id", paths.basename(p).alias("base"), paths.dirname(p).alias("dir"), paths.extname(p).alias("ext"), paths.normalize(F.concat(F.lit("a/./b/../"), p, F.lit("/../x"))).alias("normal"), paths.structural_domain(p).alias("domain"), paths.sub_folder(F.concat(F.lit("packages/p/"), p), F.lit("packages/p")).alias("sub"))
 
 
+def spec_input(spark, sf_dir):
+    n, e = views.nodes(spark, sf_dir), views.edges(spark, sf_dir)
+    packed = packing.pack(_packs(spark, sf_dir).filter("pack_id = 'src3'"), 5000)
+    return rendering.spec_input(n, e, packed, "some-change", TASK)
+
+
 QUERIES = {
     k: v for k, v in globals().items()
     if callable(v) and getattr(v, "__module__", None) == __name__ and not k.startswith("_") and k not in ("url_paths",)
