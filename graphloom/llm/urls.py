@@ -6,11 +6,13 @@ split into words by a unigram Viterbi search (so `cheappills` reads as `cheap
 pills`), path segments and digits are cut off at separators. Both models are
 trained here, on the whole table:
 
-* the unigram lexicon counts the parts of all host names and paths, as they stand
-  between separators; the `lexicon` most frequent of them, with the seed words, are
-  kept;
-* the classifier learns from hosts that hold a seed word as a part of their own
-  (blocked) and from all other urls (allowed), with Laplace smoothing over the
+* the unigram lexicon first counts words that stand apart: parts of hyphenated host
+  labels and of paths. A label in one piece is no evidence that it is a word, in its
+  own host or in that host's paths; such labels are split by the first lexicon, and
+  the words found are added to it. The `lexicon` most frequent words of three letters
+  or more (language codes would cut names anywhere), with the seed words, are kept;
+* the classifier learns from hosts that hold a seed word after the split (blocked)
+  and from all other urls (allowed), with Laplace smoothing over the
   `vocabulary` most telling tokens; a url is blocked at `margin` or more in
   log-odds.
 
@@ -107,12 +109,29 @@ def tokens_of(host: str, path: str, segmenter: Segmenter) -> list[str]:
 
 
 def lexicon(urls: DataFrame, size: int = LEXICON) -> dict[str, int]:
-    """Counts of the most frequent parts of hosts and paths; urls: (host, path)."""
-    parts = urls.select(F.explode(F.split(F.concat_ws(" ", "host", F.lower("path")), _PARTS)).alias("w")).filter("w != ''")
-    top = parts.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size).collect()
-    counts = {w: n for w, n in top}
+    """Counts of the most frequent words of hosts and paths; urls: (host, path)."""
+    labels = F.transform(F.split("host", r"\."), lambda x: F.filter(F.split(x, _PARTS), lambda w: w != ""))
+    named = urls.select(labels.alias("labels"), F.split(F.lower("path"), _PARTS).alias("path"))
+    named = named.select(F.flatten(F.filter("labels", lambda x: F.size(x) == 1)).alias("whole"), F.flatten(F.filter("labels", lambda x: F.size(x) > 1)).alias("apart"), "path")
+    top = lambda words: [tuple(r) for r in words.filter("length(w) > 2").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(size).collect()]
+    apart = dict(top(named.select(F.explode(F.concat("apart", F.filter("path", lambda w: ~F.array_contains("whole", w)))).alias("w"), F.lit(1).alias("n"))))
     # seed words are words whether or not the corpus has them alone
-    return {**dict.fromkeys(SEEDS, 1), **counts}
+    held = urls.sparkSession.sparkContext.broadcast({**dict.fromkeys(SEEDS, 1), **apart})
+
+    def split(batches):
+        segmenter = Segmenter(held.value)
+        for b in batches:
+            n: dict[str, int] = {}
+            for name, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for w in segmenter.words(name):
+                    n[w] = n.get(w, 0) + k
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["w", "n"])
+
+    counts = dict(apart)
+    for w, n in top(named.select(F.explode("whole").alias("w")).groupBy("w").agg(F.count("*").alias("n")).mapInArrow(split, "w string, n long")):
+        counts[w] = counts.get(w, 0) + n
+    kept = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]
+    return {**dict.fromkeys(SEEDS, 1), **dict(kept)}
 
 
 class Classifier:
@@ -134,10 +153,11 @@ def _token_map(segmenter_counts, judge):
 
     def each(batches):
         segmenter = Segmenter(segmenter_counts.value)
-        seeds = set(SEEDS)
+        seeds = {f"h:{w}" for w in SEEDS}
         for b in batches:
             hosts, paths = b.column(0).to_pylist(), b.column(1).to_pylist()
-            yield judge(b, [tokens_of(h, p, segmenter) for h, p in zip(hosts, paths, strict=True)], [any(w in seeds for w in parts_of(h)) for h in hosts])
+            tokens = [tokens_of(h, p, segmenter) for h, p in zip(hosts, paths, strict=True)]
+            yield judge(b, tokens, [not seeds.isdisjoint(ts) for ts in tokens])
 
     return each
 

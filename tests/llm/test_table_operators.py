@@ -147,6 +147,18 @@ def test_viterbi_finds_the_most_probable_split():
     assert s.words("cheappills") == ("cheap", "pills") and s.words("") == () and "".join(s.words("zzcheapq")) == "zzcheapq"
 
 
+def test_concatenated_hosts_are_known_by_their_words(spark):
+    rows = [(i, f"http://cheap-pills.example.org/fr/{i}") for i in range(20)] + [(100 + i, f"http://site{chr(97 + i % 26)}.example.org/de/{i}") for i in range(150)] + [(300 + i, f"http://big-win{i}.example.org/de/1") for i in range(5)]
+    # these share no token with the blocked urls above but the words that they are made of
+    joined = [(400, "http://cheappills.test/zz/a"), (401, "http://cheappills.test/cheappills/b"), (402, "http://pillscheap.test/zz/c"), (403, "http://casinowin.test/zz/d"), (404, "http://quietgarden.example.org/de/e")]
+    pages = spark.createDataFrame(rows + joined, "page_id long, url string")
+    named = pages.select(urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    s = urls.Segmenter(urls.lexicon(named))
+    assert [s.words(w) for w in ("cheappills", "pillscheap", "casinowin", "quietgarden", "example")] == [("cheap", "pills"), ("pills", "cheap"), ("casino", "win"), ("quietgarden",), ("example",)]
+    got = {r["id"]: r["verdict"] for r in urls.judge_urls(pages).collect()}
+    assert [got[i] for i in range(400, 405)] == ["block", "block", "block", "block", "allow"] and all(got[i] == "allow" for i in range(100, 250))
+
+
 # -- archives --------------------------------------------------------------------
 
 
