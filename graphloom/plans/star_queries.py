@@ -148,7 +148,7 @@ def matched_domains(spark, sf_dir):
 def scored_files(spark, sf_dir):
     f = views.files(spark, sf_dir)
     best = ranking.score_files(views.nodes(spark, sf_dir), views.edges(spark, sf_dir), f.select("path", "size"), task=TASK, iterations=ITERATIONS, candidates=200)
-    return best.select("path", F.round("score", 6).alias("score"), "tokens").filter("score > 0.0015")
+    return best.select("path", F.round("score", 6).alias("score"), "tokens")
 
 
 def context_pack(spark, sf_dir):

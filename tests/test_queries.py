@@ -36,6 +36,12 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
 
 
+def test_scored_files_keep_the_whole_top_k_of_a_large_graph(spark):
+    # ranks sum to 1, so no fixed score may decide
+    got = [tuple(r) for r in star_queries.scored_files(spark, "/root/testdata/sf0.1").collect()]
+    assert len(got) == 200 and max(s for _, s, _ in got) < 0.0015 and got == sorted(got, key=lambda r: -r[1])
+
+
 def test_all_are_registered():
     assert set(OWN) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
