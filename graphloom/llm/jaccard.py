@@ -468,3 +468,75 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = sigs.filter("n_shingles > 0 and id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
     named = classes.join(near, "rep", "left").filter("n_copies > 1 or component is not null").select("n_shingles", "f1", "f2", "n_copies", F.coalesce("component", "rep").alias("component_id"))
     return sigs.join(named, ["n_shingles", "f1", "f2"], "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+# -- links of each document ---------------------------------------------------
+
+
+def count_links(sets: list[np.ndarray], weights: list[int], percent: int, sides: list[int] | None = None) -> np.ndarray:
+    """For each set the weight of the others that it is linked with; with `sides`, of those on the other side.
+
+    Sets are met through leaders, as in cluster(). Distances to a leader that leave
+    no doubt decide a pair, linked or not; every other pair is compared.
+    """
+    far = 1 - percent / 100
+    loose = max(1, 100 - 2 * (100 - percent))
+    index, out = InvertedIndex(), np.zeros(len(sets), np.int64)
+    weight, side = np.array(weights, np.int64), np.array(sides or [0] * len(sets))
+    led: list[tuple[list[int], list[float]]] = []  # members with their distances; the leader is the first
+    for x, s in enumerate(sets):
+        elements = s.tolist()
+        near = None
+        for c, both in index.search(elements, ceil_share(len(s), loose)):
+            whole = len(s) + index.sizes[c] - both
+            if 100 * both < loose * whole:
+                continue
+            d = 1 - both / whole
+            who, r = np.array(led[c][0]), np.array(led[c][1])
+            sure, open_ = d + r <= far - 1e-9, np.abs(d - r) <= far + 1e-9
+            if sides is not None:
+                open_ &= side[who] != side[x]
+            held = [y for y, k in zip(who[open_], sure[open_], strict=True) if k or linked(s, sets[y], percent)]
+            out[x] += weight[held].sum() if held else 0
+            out[held] += weight[x]
+            if 100 * both >= percent * whole and (near is None or d < near[0]):
+                near = (d, c)
+        if near is None:
+            led.append(([x], [0.0]))
+            index.add(elements)
+        else:
+            led[near[1]][0].append(x)
+            led[near[1]][1].append(near[0])
+    return out
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """(id, n_links) for each row of docs: the other rows that it is linked with, its copies included.
+
+    The classes of a connected group are searched in one place, or if large, in
+    chunks of which each pair is searched in one place. Rows without shingles or id
+    have 0 links.
+    """
+    same = ["n_shingles", "f1", "f2"]
+    sigs = settle(fingerprints(docs, id_col, text_col, n))
+    survivors = settle(prefix_survivors(docs, sigs.filter("id is not null"), id_col, text_col, n, percent))
+    groups = settle(candidate_groups(docs, survivors, id_col, text_col, n, percent))
+    classes = settle(sigs.filter("n_shingles > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")))
+    total = groups.groupBy("grp").agg(F.sum("size").alias("total"), F.count("*").alias("texts")).filter("texts > 1")
+    n_chunks = F.when(F.col("total") <= block, F.lit(1)).otherwise(F.ceil(F.col("total") / F.lit(max(1, block // 2)))).cast("long")
+    cut = groups.join(total, "grp").withColumn("n_chunks", n_chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("n_chunks")))
+    grid = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)))
+    lo, hi = F.least("chunk", "other"), F.greatest("chunk", "other")
+    side = (F.col("chunk") > F.col("other")).cast("long")
+    placed = settle(grid.join(classes.select("rep", "n_copies"), "rep").select("rep", "grp", (lo * F.lit(1 << 30) + hi).alias("block"), side.alias("side"), (lo < hi).alias("across"), "n_copies"))
+
+    def each(batches):
+        for _, rows in _blocks(batches):
+            sides = [r["side"] for r in rows] if rows[0]["across"] else None
+            links = count_links([_set_of(r["text"], n) for r in rows], [r["n_copies"] for r in rows], percent, sides)
+            yield pa.RecordBatch.from_arrays([pa.array([r["rep"] for r in rows], pa.int64()), pa.array(links, pa.int64())], ["rep", "links"])
+
+    texts = _texts_of(docs, placed, id_col, text_col).select("grp", "block", "rep", "side", "across", "n_copies", "text")
+    found = texts.repartition("grp", "block").sortWithinPartitions("grp", "block", "rep").mapInArrow(each, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    named = classes.join(found, "rep", "left").select(*same, (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return sigs.join(named, same, "left").select("id", F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))

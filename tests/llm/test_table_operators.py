@@ -92,6 +92,16 @@ def test_similarity_join_of_nothing(spark, documents):
     assert [tuple(r) for r in jaccard.ngram_jaccard_join(documents([(5, None)])).collect()] == [(5, 0, 5, 1)]
 
 
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 400])
+def test_link_counts_equal_brute_force(spark, documents, similar, block):
+    rows = similar + similar[:40]
+    s = sets_of(similar)
+    near = {a: [b for b in s if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])] for a in s}
+    times = Counter(i for i, _ in rows)
+    want = sorted((i, max(0, sum(times[b] for b in near[i]) - 1)) for i, _ in rows)
+    assert sorted(map(tuple, jaccard.link_counts(documents(rows), block=block).collect())) == want and max(k for _, k in want) > 20
+
+
 @given(st.lists(st.frozensets(st.integers(0, 25), min_size=1, max_size=20), min_size=1, max_size=25))
 @settings(max_examples=80, deadline=None)
 def test_local_search_loses_no_link(groups):
