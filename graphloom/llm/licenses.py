@@ -102,7 +102,7 @@ def blocks_of(block_words: int) -> Column:
 
 
 def template_matches(texts: DataFrame, plans: list[dict], block_words: int = 64) -> DataFrame:
-    """(key, block, label, containment) of every block that meets its threshold.
+    """(key, block, label, containment, shared words) of every block that meets its threshold.
 
     texts: (key, line) with line a spaced() text that keeps newlines. block is the
     block's number within its text.
@@ -116,14 +116,18 @@ def template_matches(texts: DataFrame, plans: list[dict], block_words: int = 64)
     # a template meets a block at the rarest prefix word that they share
     ahead = lambda: F.exists(F.slice("words", 1, F.col("place")), lambda w: F.array_contains("held", w))
     met = met.filter((F.size("held") >= F.col("need")) & (F.size("words") - F.col("place") >= F.col("need"))).filter(~ahead())
-    shared = F.size(F.array_intersect("words", "held"))
-    return met.filter(shared >= F.col("need")).select("key", "block", "label", (shared / F.size("words")).alias("containment"))
+    shared = F.array_intersect("words", "held")
+    return met.filter(F.size(shared) >= F.col("need")).select("key", "block", "label", (F.size(shared) / F.size("words")).alias("containment"), shared.alias("shared"))
 
 
 def block_labels(matches: DataFrame) -> DataFrame:
-    """(key, more, best): labels of each text; of a block's matches the fullest count."""
-    held = matches.groupBy("key", "block").agg(F.max("containment").alias("best"), F.collect_set(F.struct("label", "containment")).alias("found"))
-    kept = F.transform(F.filter("found", lambda x: x["containment"] == F.col("best")), lambda x: x["label"])
+    """(key, more, best): labels of each text.
+
+    Every match of a block counts, but one whose words all belong to a fuller match.
+    """
+    held = matches.groupBy("key", "block").agg(F.max("containment").alias("best"), F.collect_set(F.struct("label", "containment", "shared")).alias("found"))
+    explains = lambda y, x: (y["containment"] > x["containment"]) & (F.size(F.array_except(x["shared"], y["shared"])) == 0)
+    kept = F.transform(F.filter("found", lambda x: ~F.exists("found", lambda y: explains(y, x))), lambda x: x["label"])
     return held.select("key", "best", F.explode(kept).alias("label")).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("best").alias("best"))
 
 

@@ -206,3 +206,10 @@ def test_license_scan_equals_brute_force(spark, documents):
         assert set(filter(None, r["labels"].split(","))) == labels | base
         assert r["score"] == pytest.approx(1.0 if base else best)
     assert licenses.license_scan(documents([])).count() == 0
+
+
+def test_a_block_with_two_notices_keeps_both(spark, documents):
+    texts = ["Licensed under the Apache License 2.0; bundled parts are released under the MIT license", "licensed under cc by-nc 4.0", "this work is licensed under the gnu general public license version 3"]
+    got = {r["id"]: r["labels"] for r in licenses.license_scan(documents(list(enumerate(texts)))).collect()}
+    # what a fuller match holds in full is no notice of its own: cc-by-sa has six of its seven words in cc-by, lgpl twelve of thirteen in gpl
+    assert got == {0: "apache,mit", 1: "cc-by,cc-by-nc", 2: "gpl"}
