@@ -1,7 +1,8 @@
 """Operator 10: license scans by an exact set-similarity join.
 
 Base: places where the words of a phrase stand consecutively. Method: every text
-block (a line; longer ones in overlapping windows of `block_words` words) is joined
+block (a line, longer ones in overlapping windows of `block_words` words; with
+`across_lines` also such windows of the whole text, for wrapped notices) is joined
 with license templates, as sets of words: a block is a match if it holds at least
 `percent` percent of a template's words. The join is exact and prunes by
 
@@ -93,15 +94,17 @@ def plan_templates(frequency: dict[str, int], percent: int, templates=None) -> l
     return out
 
 
-def blocks_of(block_words: int) -> Column:
+def blocks_of(block_words: int, across_lines: bool = False) -> Column:
     """The blocks of `line`, a spaced() text with newlines, as arrays of words."""
     lines = F.filter(F.transform(F.split("line", "\n"), words_of), lambda w: F.size(w) > 0)
+    if across_lines:
+        lines = F.when(F.size(lines) > 1, F.concat(lines, F.array(F.flatten(lines)))).otherwise(lines)
     step = block_words // 2
     cut = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - step - 1), F.lit(step)), lambda at: F.slice(w, at + 1, F.lit(block_words)))
     return F.flatten(F.transform(lines, cut))
 
 
-def template_matches(texts: DataFrame, plans: list[dict], block_words: int = 64) -> DataFrame:
+def template_matches(texts: DataFrame, plans: list[dict], block_words: int = 64, across_lines: bool = False) -> DataFrame:
     """(key, block, label, containment, shared words) of every block that meets its threshold.
 
     texts: (key, line) with line a spaced() text that keeps newlines. block is the
@@ -111,7 +114,7 @@ def template_matches(texts: DataFrame, plans: list[dict], block_words: int = 64)
     index = spark.createDataFrame([(w, i, k) for i, p in enumerate(plans) for k, w in enumerate(p["prefix"])], "w string, t int, place int")
     template = spark.createDataFrame([(i, p["label"], p["words"], p["need"]) for i, p in enumerate(plans)], "t int, label string, words array<string>, need int")
     prefix = sorted({w for p in plans for w in p["prefix"]})
-    blocks = texts.select("key", F.posexplode(blocks_of(block_words)).alias("block", "held")).filter(F.exists("held", lambda w: w.isin(prefix))).select("key", "block", F.array_distinct("held").alias("held"))
+    blocks = texts.select("key", F.posexplode(blocks_of(block_words, across_lines)).alias("block", "held")).filter(F.exists("held", lambda w: w.isin(prefix))).select("key", "block", F.array_distinct("held").alias("held"))
     met = blocks.select("key", "block", "held", F.explode("held").alias("w")).join(F.broadcast(index), "w").join(F.broadcast(template), "t")
     # a template meets a block at the rarest prefix word that they share
     ahead = lambda: F.exists(F.slice("words", 1, F.col("place")), lambda w: F.array_contains("held", w))
@@ -131,7 +134,7 @@ def block_labels(matches: DataFrame) -> DataFrame:
     return held.select("key", "best", F.explode(kept).alias("label")).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("best").alias("best"))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, block_words: int = 64) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, block_words: int = 64, across_lines: bool = False) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of docs."""
     vocabulary = sorted({w for _, t in TEMPLATES for w in t.split()})
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -142,7 +145,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # rows are told apart by id and text; equal ones have equal results
     key = F.xxhash64("id", "text")
     maybe = lined.filter(F.col("line").rlike(f" (?:{'|'.join(prefix)}) ")).select(key.alias("key"), spaced(F.col("text"), _GAP_IN_LINE).alias("line"))
-    more = block_labels(template_matches(maybe.distinct(), plans, block_words))
+    more = block_labels(template_matches(maybe.distinct(), plans, block_words, across_lines))
 
     has = F.lit(False)
     for phrase in PHRASES:

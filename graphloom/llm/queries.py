@@ -61,7 +61,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(_read(spark, sf_dir, "documents"), percent=80).withColumnRenamed("id", "doc_id")
+    return licenses.license_scan(_read(spark, sf_dir, "documents"), percent=80, across_lines=True).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {

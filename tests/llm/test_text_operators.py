@@ -213,3 +213,11 @@ def test_a_block_with_two_notices_keeps_both(spark, documents):
     got = {r["id"]: r["labels"] for r in licenses.license_scan(documents(list(enumerate(texts)))).collect()}
     # what a fuller match holds in full is no notice of its own: cc-by-sa has six of its seven words in cc-by, lgpl twelve of thirteen in gpl
     assert got == {0: "apache,mit", 1: "cc-by,cc-by-nc", 2: "gpl"}
+
+
+def test_the_license_query_finds_wrapped_notices(spark, documents, tmp_path):
+    far = "x " * 50 + "\n" + "y " * 50
+    texts = ["Redistribution and use in source and binary forms, with or without\nmodification, are permitted", "a\nLicensed under the Apache License,\nVersion 2.0\nb", f"licensed under the apache\n{far}\nlicense version 2 0"]
+    documents(list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["labels"] for r in queries.op10_license_scans(spark, str(tmp_path)).collect()}
+    assert got == {0: "bsd", 1: "apache", 2: ""}
