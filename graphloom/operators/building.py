@@ -13,6 +13,8 @@ from . import extraction
 from .ranking import default_weight
 
 # What is tried, in order, to find the file of an import.
+#: Rows up to which a table is broadcast, by count; beyond, a shuffled join.
+BROADCAST_ROWS = 100_000
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js")
 EXTERNAL = r"(?i)^(@[a-z0-9][\w.-]*/)?[a-z0-9][\w.-]*"
 
@@ -75,7 +77,8 @@ def resolve_imports(paths: DataFrame, imports: DataFrame, aliases: DataFrame | N
     if aliases is None:
         return out
     named = aliases.select(F.col("name").alias("source"), F.col("path").alias("aliased"))
-    return out.join(F.broadcast(named.limit(100_000)), "source", "left").withColumn("target", F.coalesce("aliased", "target")).drop("aliased")
+    few = named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return out.join(F.broadcast(named) if few else named, "source", "left").withColumn("target", F.coalesce("aliased", "target")).drop("aliased")
 
 
 def test_edges(paths: DataFrame) -> DataFrame:

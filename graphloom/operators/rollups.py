@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.names import skill_slug
 from ..functions.paths import structural_domain, sub_folder
 
+#: Rows up to which a table is broadcast, by count; beyond, a shuffled join.
+BROADCAST_ROWS = 100_000
+
 SHOWN_CODE, SHOWN_TESTS, MIN_FILES = 8, 5, 2
 
 
@@ -103,7 +106,17 @@ def tag_covers(tag: Column, domain: Column) -> Column:
 
 def skill_coverage(domains: DataFrame, tags: DataFrame) -> DataFrame:
     """(domain, covered): domains (domain) met by any tag (tag)."""
-    hit = domains.join(F.broadcast(tags.distinct().limit(100_000)), tag_covers(F.col("tag"), F.col("domain")), "left_semi").withColumn("hit", F.lit(True))
+    tags = tags.distinct()
+    if tags.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        hit = domains.join(F.broadcast(tags), tag_covers(F.col("tag"), F.col("domain")), "left_semi")
+    else:
+        # the same rule by equal keys, so that any number of tags can be shuffled
+        both = lambda c: F.explode(F.array(c, F.concat(F.lit("packages/"), c)))
+        tag = F.lower(F.trim("tag"))
+        keys = tags.filter(tag != "").select(both(tag).alias("key")).distinct()
+        every = tags.filter(tag.isin("all", "all-domains", "*")).limit(1)
+        hit = domains.select("domain", both(F.lower("domain")).alias("key")).join(keys, "key", "left_semi").select("domain").union(domains.select("domain").join(F.broadcast(every), F.lit(True), "left_semi"))
+    hit = hit.select("domain").withColumn("hit", F.lit(True))
     return domains.distinct().join(hit.distinct(), "domain", "left").select("domain", F.coalesce("hit", F.lit(False)).alias("covered"))
 
 

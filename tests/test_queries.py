@@ -42,6 +42,19 @@ def test_scored_files_keep_the_whole_top_k_of_a_large_graph(spark):
     assert len(got) == 200 and max(s for _, s, _ in got) < 0.0015 and got == sorted(got, key=lambda r: -r[1])
 
 
+def test_no_alias_or_tag_is_lost_beyond_what_is_broadcast(spark):
+    from graphloom.operators import building, rollups
+
+    aliases = spark.range(150_000).selectExpr("concat('@w/', id) as name", "concat('packages/', id, '/index.ts') as path")
+    paths, imports = aliases.select("path"), aliases.selectExpr("'a.ts' as path", "name as source")
+    assert building.resolve_imports(paths, imports, aliases).filter("target is null").count() == 0
+    tags = spark.range(150_000).selectExpr("concat(' D', id) as tag")
+    domains = spark.range(200).selectExpr("concat(if(id % 2 = 0, 'packages/', ''), 'd', id * 700) as domain").union(spark.createDataFrame([("none",)], "domain string"))
+    assert [r["domain"] for r in rollups.skill_coverage(domains, tags).filter("not covered").collect()] == ["none"]
+    everything = tags.union(spark.createDataFrame([("all",)], "tag string"))
+    assert rollups.skill_coverage(domains, everything).filter("not covered").count() == 0
+
+
 def test_all_are_registered():
     assert set(OWN) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
