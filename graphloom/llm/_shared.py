@@ -37,5 +37,6 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def bytes_of(df: DataFrame) -> int:
-    """The optimizer's estimate of a plan's input size, for partition counts only."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of a plan's input size, for partition counts only; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import as_bytes, chunks, runs, sliced, spaced_folded, split_words
+from ._bytes import as_bytes, chunks, mix, runs, sliced, spaced_folded, split_words
 from ._shared import bytes_of, settle
 from .components import connected_components
 
@@ -67,6 +67,16 @@ def slack(n):
     return 1 + n // 20
 
 
+def in_families(percent):
+    """Whether leaders can speak for others: sets with leaders that share nothing are never linked."""
+    return 3 * (100 - percent) < 100
+
+
+def within(percent, times):
+    """The similarity, in percent, of two sets at most `times` the linking distance apart."""
+    return 100 - times * (100 - percent) if in_families(percent) else percent
+
+
 def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for _, part in chunks(texts):
@@ -84,21 +94,22 @@ def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(id, n_shingles, f1, f2): size and fingerprint of each text's set."""
-    from ._bytes import mix
 
     def each(batches):
         for b in sliced(batches):
-            size, f1, f2 = [], [], []
-            for s in shingle_sets(as_bytes(b.column(1)), n):
-                size.append(len(s))
-                with np.errstate(over="ignore"):
-                    f1.append(mix(s ^ _U(0xA5A5A5A5)).sum(dtype=_U))
-                    f2.append(mix(s + _U(0x5851F42D4C957F2D)).sum(dtype=_U))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(np.array(f1, _U).view(np.int64)), pa.array(np.array(f2, _U).view(np.int64))], ["id", "n_shingles", "f1", "f2"])
+            rows = np.array([(len(s), *_print_of(s)) for s in shingle_sets(as_bytes(b.column(1)), n)], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, k]) for k in range(3))], ["id", "n_shingles", "f1", "f2"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(each, "id long, n_shingles long, f1 long, f2 long")
 
 
+def _print_of(s: np.ndarray) -> tuple[int, int]:
+    """The fingerprint of a set, as two signed 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        both = np.array([mix(s ^ _U(0xA5A5A5A5)).sum(dtype=_U), mix(s + _U(0x5851F42D4C957F2D)).sum(dtype=_U)], _U)
+    return tuple(both.view(np.int64).tolist())
+
+
 # -- stage 2 ---------------------------------------------------------------
 
 
@@ -129,7 +140,7 @@ def _prefix_blobs(n: int, percent: int, shift: int):
             ids = b.column(0).to_pylist()
             for i, s in enumerate(shingle_sets(as_bytes(b.column(1)), n)):
                 k = len(s)
-                if k < 4 or ids[i] is None:
+                if ids[i] is None or 100 * k < percent * (k + 1):
                     continue
                 s = s[: k - ceil_share(k, percent) + slack(k)]
                 tok.append(s)
@@ -304,8 +315,7 @@ def cluster(ids: list[int], sets: list[np.ndarray], percent: int) -> tuple[list[
     Returns for each set the smallest id of its component, the index of a leader
     that it is linked with (itself, if it leads) and its distance to that leader.
     """
-    far = 1 - percent / 100
-    loose = max(1, 100 - 2 * (100 - percent))  # percent similarity within twice the distance
+    far, loose = 1 - percent / 100, within(percent, 2)
     index, union = InvertedIndex(), _Union()
     leaders: list[int] = []
     led: list[list[tuple[float, int]]] = []
@@ -325,7 +335,7 @@ def cluster(ids: list[int], sets: list[np.ndarray], percent: int) -> tuple[list[
             for r, m in led[c]:
                 if abs(d - r) <= far + 1e-9 and union.find(ids[m]) != union.find(ids[x]) and linked(s, sets[m], percent):
                     union.join(ids[x], ids[m])
-        if near is None:
+        if near is None or not in_families(percent):
             leaders.append(x)
             led.append([])
             leader_of[x] = x
@@ -400,8 +410,7 @@ def _leader_pairs(docs, leaders, id_col, text_col, n, percent, block):
     Leaders are dealt in chunks; each pair of chunks of a group is searched in one
     place, so that any number of leaders needs bounded memory.
     """
-    near = percent
-    loose = max(1, 100 - 3 * (100 - percent))
+    near, loose = percent, within(percent, 3)
 
     def each(batches):
         for _, rows in _blocks(batches):
@@ -453,37 +462,86 @@ def class_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str,
     return local.select("rep").join(label, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """(id, n_shingles, component_id, n_copies) for each row of docs.
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block: int = BLOCK, links: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id, n_copies[, n_links]) for each row of docs.
 
     component_id is the smallest id that links reach; n_copies counts the rows
-    with the same set, itself included (1 where the set is empty). Rows that repeat
-    an id must repeat its text. Null ids take part in no link and get a null
-    component.
+    with the same set, itself included (1 where the set is empty). With `links`,
+    n_links counts the other rows that a row is linked with, its copies included.
+    Rows that repeat an id must repeat its text. Rows with a null id take part in
+    no link: their component is null and they are one copy.
     """
+    same = ["n_shingles", "f1", "f2"]
     sigs = settle(fingerprints(docs, id_col, text_col, n))
     survivors = settle(prefix_survivors(docs, sigs.filter("id is not null"), id_col, text_col, n, percent))
     groups = settle(candidate_groups(docs, survivors, id_col, text_col, n, percent))
     near = class_links(docs, groups, id_col, text_col, n, percent, block)
-    classes = sigs.filter("n_shingles > 0 and id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
-    named = classes.join(near, "rep", "left").filter("n_copies > 1 or component is not null").select("n_shingles", "f1", "f2", "n_copies", F.coalesce("component", "rep").alias("component_id"))
-    return sigs.join(named, ["n_shingles", "f1", "f2"], "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    classes = sigs.filter("n_shingles > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
+    if links:
+        classes = settle(classes)
+        near = near.join(link_counts(docs, groups, classes.select("rep", "n_copies"), id_col, text_col, n, percent, block), "rep", "left")
+    else:
+        near = near.withColumn("links", F.lit(0).cast("long"))
+    named = classes.join(near, "rep", "left").filter("n_copies > 1 or component is not null").select(*same, "n_copies", F.coalesce("component", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    known = F.col("id").isNotNull()
+    copies = F.when(known, F.coalesce("n_copies", F.lit(1))).otherwise(F.lit(1)).cast("long")
+    out = sigs.join(named, same, "left").select("id", "n_shingles", F.when(known, F.coalesce("component_id", "id")).alias("component_id"), copies.alias("n_copies"), (copies - 1 + F.when(known, F.coalesce("links", F.lit(0))).otherwise(F.lit(0))).cast("long").alias("n_links"))
+    return out if links else out.drop("n_links")
+
 
+# -- links of each class -----------------------------------------------------
 
-# -- links of each document ---------------------------------------------------
+
+class _Family:
+    """The members of one leader, by how they differ from it."""
+
+    def __init__(self, leader: np.ndarray):
+        self.leader = leader
+        self.who: list[int] = []
+        self.sizes: list[int] = []
+        self.lost: list[int] = []  # elements of the leader that a member lacks
+        self.holders: dict[int, list[int]] = defaultdict(list)  # members by an element in which they differ
+
+    def difference(self, s: np.ndarray) -> tuple[list[int], int]:
+        """What s and the leader don't share, and how many of these s lacks."""
+        lacks = self.leader[~np.isin(self.leader, s, assume_unique=True)]
+        has = s[~np.isin(s, self.leader, assume_unique=True)]
+        return [*lacks.tolist(), *has.tolist()], len(lacks)
+
+    def add(self, x: int, s: np.ndarray) -> None:
+        differs, lost = self.difference(s)
+        for e in differs:
+            self.holders[e].append(len(self.who))
+        self.who.append(x)
+        self.sizes.append(len(s))
+        self.lost.append(lost)
+
+    def linked(self, s: np.ndarray, percent: int) -> np.ndarray:
+        """The places of the members that are linked with s.
+
+        Two sets share all of the leader but what either lacks, plus what both lack,
+        plus what both have beside it; only the last two need the inverted lists.
+        """
+        differs, lost = self.difference(s)
+        sizes = np.array(self.sizes, np.int64)
+        both = len(self.leader) - lost - np.array(self.lost, np.int64)
+        lists = [x for e in differs if (x := self.holders.get(e))]
+        if lists:
+            both += np.bincount(np.concatenate(lists), minlength=len(sizes))
+        return np.flatnonzero(100 * both >= percent * (len(s) + sizes - both))
 
 
 def count_links(sets: list[np.ndarray], weights: list[int], percent: int, sides: list[int] | None = None) -> np.ndarray:
     """For each set the weight of the others that it is linked with; with `sides`, of those on the other side.
 
-    Sets are met through leaders, as in cluster(). Distances to a leader that leave
-    no doubt decide a pair, linked or not; every other pair is compared.
+    Sets meet through leaders, as in cluster(): two linked sets have leaders within
+    twice the distance of either, which DivideSkip finds. Within a family, overlaps
+    are counted on what members do not share with their leader, which is little.
     """
-    far = 1 - percent / 100
-    loose = max(1, 100 - 2 * (100 - percent))
+    loose = within(percent, 2)
     index, out = InvertedIndex(), np.zeros(len(sets), np.int64)
-    weight, side = np.array(weights, np.int64), np.array(sides or [0] * len(sets))
-    led: list[tuple[list[int], list[float]]] = []  # members with their distances; the leader is the first
+    weight, side = np.array(weights, np.int64), np.array(sides if sides is not None else [0] * len(sets))
+    families: list[_Family] = []
     for x, s in enumerate(sets):
         elements = s.tolist()
         near = None
@@ -491,44 +549,35 @@ def count_links(sets: list[np.ndarray], weights: list[int], percent: int, sides:
             whole = len(s) + index.sizes[c] - both
             if 100 * both < loose * whole:
                 continue
-            d = 1 - both / whole
-            who, r = np.array(led[c][0]), np.array(led[c][1])
-            sure, open_ = d + r <= far - 1e-9, np.abs(d - r) <= far + 1e-9
+            held = np.array(families[c].who, np.int64)[families[c].linked(s, percent)]
             if sides is not None:
-                open_ &= side[who] != side[x]
-            held = [y for y, k in zip(who[open_], sure[open_], strict=True) if k or linked(s, sets[y], percent)]
-            out[x] += weight[held].sum() if held else 0
+                held = held[side[held] != side[x]]
+            out[x] += weight[held].sum()
             out[held] += weight[x]
-            if 100 * both >= percent * whole and (near is None or d < near[0]):
-                near = (d, c)
-        if near is None:
-            led.append(([x], [0.0]))
+            if 100 * both >= percent * whole and (near is None or both * near[1] > near[0] * whole):
+                near = (both, whole, c)
+        if near is None or not in_families(percent):
+            families.append(_Family(s))
+            families[-1].add(x, s)
             index.add(elements)
         else:
-            led[near[1]][0].append(x)
-            led[near[1]][1].append(near[0])
+            families[near[2]].add(x, s)
     return out
 
 
-def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """(id, n_links) for each row of docs: the other rows that it is linked with, its copies included.
+def link_counts(docs: DataFrame, groups: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """(rep, links): how many rows of other classes each class of `groups` is linked with.
 
-    The classes of a connected group are searched in one place, or if large, in
-    chunks of which each pair is searched in one place. Rows without shingles or id
-    have 0 links.
+    classes: (rep, n_copies). The classes of a connected group are searched in one
+    place, or if large, in chunks of which each pair is searched in one place.
     """
-    same = ["n_shingles", "f1", "f2"]
-    sigs = settle(fingerprints(docs, id_col, text_col, n))
-    survivors = settle(prefix_survivors(docs, sigs.filter("id is not null"), id_col, text_col, n, percent))
-    groups = settle(candidate_groups(docs, survivors, id_col, text_col, n, percent))
-    classes = settle(sigs.filter("n_shingles > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")))
     total = groups.groupBy("grp").agg(F.sum("size").alias("total"), F.count("*").alias("texts")).filter("texts > 1")
     n_chunks = F.when(F.col("total") <= block, F.lit(1)).otherwise(F.ceil(F.col("total") / F.lit(max(1, block // 2)))).cast("long")
     cut = groups.join(total, "grp").withColumn("n_chunks", n_chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("n_chunks")))
     grid = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)))
     lo, hi = F.least("chunk", "other"), F.greatest("chunk", "other")
     side = (F.col("chunk") > F.col("other")).cast("long")
-    placed = settle(grid.join(classes.select("rep", "n_copies"), "rep").select("rep", "grp", (lo * F.lit(1 << 30) + hi).alias("block"), side.alias("side"), (lo < hi).alias("across"), "n_copies"))
+    placed = settle(grid.join(classes, "rep").select("rep", "grp", (lo * F.lit(1 << 30) + hi).alias("block"), side.alias("side"), (lo < hi).alias("across"), "n_copies"))
 
     def each(batches):
         for _, rows in _blocks(batches):
@@ -537,6 +586,4 @@ def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array([r["rep"] for r in rows], pa.int64()), pa.array(links, pa.int64())], ["rep", "links"])
 
     texts = _texts_of(docs, placed, id_col, text_col).select("grp", "block", "rep", "side", "across", "n_copies", "text")
-    found = texts.repartition("grp", "block").sortWithinPartitions("grp", "block", "rep").mapInArrow(each, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
-    named = classes.join(found, "rep", "left").select(*same, (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return sigs.join(named, same, "left").select("id", F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    return texts.repartition("grp", "block").sortWithinPartitions("grp", "block", "rep").mapInArrow(each, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))

@@ -27,10 +27,11 @@ p as (
 sym as (select x, y from p union all select y, x from p),
 reach(x, y) as (select x, y from sym union select r.x, b.y from reach r join sym b on r.y = b.x),
 c as (select x, min(y) as least from reach group by x),
+links as (select x, count(*) as n_links from sym group by x),
 copies as (select same, count(*) as n_copies from n where k > 0 group by same)
 select n.doc_id, n.k as n_shingles, least(n.doc_id, coalesce(c.least, n.doc_id)) as component_id,
-  cast(coalesce(copies.n_copies, 1) as bigint) as n_copies
-from n left join c on c.x = n.doc_id left join copies on copies.same = n.same and n.k > 0
+  cast(coalesce(copies.n_copies, 1) as bigint) as n_copies, cast(coalesce(links.n_links, 0) as bigint) as n_links
+from n left join c on c.x = n.doc_id left join links on links.x = n.doc_id left join copies on copies.same = n.same and n.k > 0
 """
 
 

@@ -23,8 +23,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard.ngram_jaccard_join(_read(spark, sf_dir, "documents"), n=5, percent=80)
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_copies")
+    found = jaccard.ngram_jaccard_join(_read(spark, sf_dir, "documents"), n=5, percent=80, links=True)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_copies", "n_links")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,7 +89,46 @@ def test_similarity_join_equals_brute_force(spark, documents, similar, block):
 
 def test_similarity_join_of_nothing(spark, documents):
     assert jaccard.ngram_jaccard_join(documents([])).count() == 0
-    assert [tuple(r) for r in jaccard.ngram_jaccard_join(documents([(5, None)])).collect()] == [(5, 0, 5, 1)]
+    assert [tuple(r) for r in jaccard.ngram_jaccard_join(documents([(5, None)]), links=True).collect()] == [(5, 0, 5, 1, 0)]
+
+
+def test_null_ids_link_with_nothing(spark, documents):
+    rows = [(3, "a b c d e f g"), (4, "a b c d e f g"), (None, "a b c d e f g"), (None, "a b c d e f g"), (None, None)]
+    got = sorted(map(tuple, jaccard.ngram_jaccard_join(documents(rows), links=True).collect()), key=str)
+    assert got == [(3, 3, 3, 2, 1), (4, 3, 3, 2, 1), (None, 0, None, 1, 0), (None, 3, None, 1, 0), (None, 3, None, 1, 0)]
+
+
+@pytest.mark.parametrize("percent", [40, 50, 60, 75, 90])
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 60])
+def test_similarity_join_at_other_thresholds(spark, documents, percent, block):
+    rnd = random.Random(percent)
+    # word sets of 1 to 5 words and families of longer ones; n = 1 makes a shingle of each word
+    texts = [" ".join(rnd.sample("abcdefg", rnd.randint(1, 5))) for _ in range(60)]
+    texts += [" ".join(w) for k in range(4) for w in [list(rnd.sample("mnopqrstuvwxyz", 10)) for _ in range(2)] for _ in [0] for w in [w[: rnd.randint(6, 10)] for _ in range(5)]]
+    rows = list(enumerate(texts))
+    s = {i: set(t.split()) for i, t in rows}
+    near = {a: {b for b in s if b != a and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b])} for a in s}
+    least = {i: i for i in s}
+    for _ in s:
+        least = {i: min([least[i], *(least[j] for j in near[i])]) for i in s}
+    got = jaccard.ngram_jaccard_join(documents(rows), n=1, percent=percent, block=block, links=True).collect()
+    assert {r["id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in got} == {i: (len(s[i]), least[i], len(near[i])) for i in s}
+
+
+def test_one_family_in_many_tasks(spark, documents):
+    rnd = random.Random(5)
+    rows = list(enumerate(family(rnd, [f"b{i}" for i in range(80)], 120, 2)))
+    got = jaccard.ngram_jaccard_join(documents(rows), block=800, links=True).collect()
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows)
+    s = sets_of(rows)
+    assert {r["id"]: r["n_links"] for r in got} == {a: sum(b != a and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]) for b in s) for a in s}
+
+
+def test_a_very_long_text_and_its_copy(spark, documents):
+    words = [f"w{i}" for i in range(300_000)]
+    near = words[:150_000] + ["other"] + words[150_001:]
+    got = jaccard.ngram_jaccard_join(documents([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:200_000]))]), links=True).collect()
+    assert sorted((r["id"], r["component_id"], r["n_links"]) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
 
 
 @pytest.mark.parametrize("block", [jaccard.BLOCK, 400])
@@ -99,7 +138,7 @@ def test_link_counts_equal_brute_force(spark, documents, similar, block):
     near = {a: [b for b in s if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])] for a in s}
     times = Counter(i for i, _ in rows)
     want = sorted((i, max(0, sum(times[b] for b in near[i]) - 1)) for i, _ in rows)
-    assert sorted(map(tuple, jaccard.link_counts(documents(rows), block=block).collect())) == want and max(k for _, k in want) > 20
+    assert sorted((r["id"], r["n_links"]) for r in jaccard.ngram_jaccard_join(documents(rows), block=block, links=True).collect()) == want and max(k for _, k in want) > 20
 
 
 @given(st.lists(st.frozensets(st.integers(0, 25), min_size=1, max_size=20), min_size=1, max_size=25))
