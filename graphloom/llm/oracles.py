@@ -66,13 +66,17 @@ from f
 """
 
 
-def quality_sql(min_words: int = 50, max_repeat: int = 50, fence: int = 3, min_group: int = 50) -> str:
-    rates = ["n_symbols * 1000", "n_dup_lines * 1000", "n_repeat_words * 1000", "word_chars * 100"]
-    long = " union all ".join(f"select doc_id, lang, source, '{r}' as rate, case when n_words = 0 then 0 else ({e}) // n_words end as x, {low} as low from m" for (r, low), e in zip(RATES.items(), rates, strict=True))
-    quart = lambda keys, name: f"""{name} as (
-  select {keys}{", " if keys else ""}rate, min(case when upto * 4 >= total then bucket end) as q1, min(case when upto * 4 >= total * 3 then bucket end) as q3, max(total) as n
-  from (select *, sum(n) over (partition by {keys}{", " if keys else ""}rate order by bucket) as upto, sum(n) over (partition by {keys}{", " if keys else ""}rate) as total
-    from (select {keys}{", " if keys else ""}rate, bucket, count(*) as n from k group by all)) group by all)"""
+def quality_sql(min_words: int = 50, max_repeat: int = 50, fence: int = 2, prior_rows: int = 200) -> str:
+    long = " union all ".join(
+        f"select doc_id, lang, source, '{r}' as rate, case when {base} = 0 then 0 else ({count} * {scale}) // {base} end as x, "
+        f"case when {base} > 0 then ({count} - 2 * sqrt({count})) * {scale} / {base} else 0 end as sure from m"
+        for r, (count, base, scale) in RATES.items()
+    )
+    upper = lambda keys, name: f"""{name} as (
+  select {keys}rate, cast(q90 + {fence} * (q90 - q50) as double) as f, n from (
+  select {keys}rate, min(case when upto * 2 >= total then bucket end) as q50, min(case when upto * 10 >= total * 9 then bucket end) as q90, max(total) as n
+  from (select *, sum(n) over (partition by {keys}rate order by bucket) as upto, sum(n) over (partition by {keys}rate) as total
+    from (select {keys}rate, bucket, count(*) as n from k group by all)) group by all))"""
     return f"""
 with t as (select doc_id, lang, source, coalesce(text, '') as text, {_SPACED.format("coalesce(text, '')")} as ws from documents),
 lines as (
@@ -90,16 +94,15 @@ m as (
   from t left join lines using (doc_id) left join rep using (doc_id)),
 long as ({long}),
 k as (select *, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) as bucket from long),
-{quart("lang, source", "own")},
-{quart("lang", "by_lang")},
-{quart("", "every")},
+{upper("lang, source, ", "own")},
+{upper("lang, ", "by_lang")},
+{upper("", "every")},
 f as (
   select own.lang, own.source, own.rate,
-    case when own.n >= {min_group} then own.q3 + {fence} * (own.q3 - own.q1) when by_lang.n >= {min_group} then by_lang.q3 + {fence} * (by_lang.q3 - by_lang.q1)
-      else every.q3 + {fence} * (every.q3 - every.q1) end as fence
+    (own.n * own.f + {prior_rows} * ((by_lang.n * by_lang.f + {prior_rows} * every.f) / (by_lang.n + {prior_rows}))) / (own.n + {prior_rows}) as fence
   from own join by_lang on own.lang is not distinct from by_lang.lang and own.rate = by_lang.rate join every on own.rate = every.rate),
 bad as (
-  select doc_id from k join f on k.lang is not distinct from f.lang and k.source is not distinct from f.source and k.rate = f.rate where x > greatest(fence, low) group by doc_id)
+  select doc_id from k join f on k.lang is not distinct from f.lang and k.source is not distinct from f.source and k.rate = f.rate where sure > fence group by doc_id)
 select m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {min_words} or 100 * n_repeat_words > {max_repeat} * n_words as base_failed,
   not (n_words < {min_words} or 100 * n_repeat_words > {max_repeat} * n_words) and bad.doc_id is null as kept

@@ -2,16 +2,23 @@
 
 Each text gets counts of its words, symbols, repeated lines and repeated word
 windows. Rates of these are gathered into quantile sketches, one for each
-language, source and rate. A sketch is a histogram over buckets that are exact
-below 64 and 1/32 wide (relatively) above, so sketches merge by adding counts:
-any number of partial ones give the same quantiles, whatever the order. A text
-is rejected by a rate beyond the upper fence of its group, Q3 + fence (Q3 - Q1),
-if the rate is also above a floor below which no text is junk; groups with fewer
-than `min_group` texts borrow the sketch of their language, then of the corpus.
+language, source and rate, over all rows. A sketch is a histogram over buckets
+that are exact below 64 and 1/32 wide (relatively) above, so sketches merge by
+adding counts: any number of partial ones give the same quantiles, whatever the
+order.
+
+There are no fixed cutoffs. The fence of a group is Q90 + fence (Q90 - Q50) of its
+sketch, shrunk towards that of its language, and that towards the corpus, as if
+`prior_rows` further rows had been seen there; so a small group is judged by its
+language, a large one by itself, and none by a switch between them. A text is
+rejected by a rate that lies above the fence by two standard errors of the count
+behind it, (count - 2 sqrt(count)) / base, so that one symbol in a short text of a
+source without symbols is no evidence.
 
 Defined results: null text has no words and fails the base rule; null language or
 source is a group of its own; ties are of no importance, as all rows beyond a
-fence go; an empty table gives an empty result.
+fence go; repeated rows count as rows; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import SPACED, as_bytes, chunks, runs, sliced, spaced_exact, split_words
+from ._shared import settle
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
@@ -81,15 +89,25 @@ def text_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
 # -- sketches ---------------------------------------------------------------
 
-#: Rates, in whole thousandths (mean word length: hundredths of a character), and
-#: the floor up to which a rate never rejects.
-RATES = {"symbol_rate": 100, "dup_line_rate": 20, "repeat_rate": 450, "mean_length": 1200}
+#: Rates as (count, base, scale): whole thousandths, mean length in hundredths of a character.
+RATES = {
+    "symbol_rate": ("n_symbols", "n_words", 1000),
+    "dup_line_rate": ("n_dup_lines", "n_words", 1000),
+    "repeat_rate": ("n_repeat_words", "n_words", 1000),
+    "mean_length": ("word_chars", "n_words", 100),
+}
 
 
-def rates(df: DataFrame) -> DataFrame:
-    """df with the integer RATES of its COUNTS."""
-    per = lambda x, f: F.expr(f"case when n_words = 0 then 0L else {x} * {f} div n_words end")
-    return df.withColumns({"symbol_rate": per("n_symbols", 1000), "dup_line_rate": per("n_dup_lines", 1000), "repeat_rate": per("n_repeat_words", 1000), "mean_length": per("word_chars", 100)})
+def rate(name: str) -> Column:
+    """A rate in whole units; 0 where there is nothing to count."""
+    count, base, scale = RATES[name]
+    return F.expr(f"case when {base} = 0 then 0L else {count} * {scale} div {base} end")
+
+
+def sure_rate(name: str) -> Column:
+    """A rate less two standard errors of its count."""
+    count, base, scale = RATES[name]
+    return F.when(F.col(base) > 0, (F.col(count) - 2 * F.sqrt(F.col(count))) * scale / F.col(base)).otherwise(F.lit(0.0))
 
 
 def bucket(x: Column) -> Column:
@@ -98,40 +116,44 @@ def bucket(x: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", x, shift), shift)
 
 
-def _quantiles(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Quartiles of each group of a sketch (keys, rate, bucket, n)."""
+def sketches(counted: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, rate, bucket, n): a mergeable histogram of each rate of each group."""
+    unpivot = ", ".join(f"'{r}', `{r}`" for r in RATES)
+    long = counted.select(*groups, *(rate(r).alias(r) for r in RATES)).select(*groups, F.expr(f"stack({len(RATES)}, {unpivot}) as (rate, x)"))
+    return long.groupBy(*groups, "rate", bucket(F.col("x")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def _upper_fence(sketch: DataFrame, keys: list[str], fence: int, name: str) -> DataFrame:
+    """(keys, rate, name, name_n): Q90 + fence (Q90 - Q50) of each group, and its rows."""
     by = Window.partitionBy(*keys, "rate")
-    run = sketch.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("total", F.sum("n").over(by))
-    at = lambda num: F.min(F.when(F.col("upto") * 4 >= F.col("total") * num, F.col("bucket")))
-    return run.groupBy(*keys, "rate").agg(at(1).alias(f"{name}_q1"), at(3).alias(f"{name}_q3"), F.max("total").alias(f"{name}_n"))
+    merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
+    run = merged.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("total", F.sum("n").over(by))
+    at = lambda num, den: F.min(F.when(F.col("upto") * den >= F.col("total") * num, F.col("bucket")))
+    high, mid = at(9, 10), at(1, 2)
+    return run.groupBy(*keys, "rate").agg((high + fence * (high - mid)).cast("double").alias(name), F.max("total").alias(f"{name}_n"))
 
 
-def fences(rated: DataFrame, groups: list[str], fence: int = 3, min_group: int = 50) -> DataFrame:
-    """(groups, rate, fence) from mergeable sketches over all rows of `rated`.
+def fences(counted: DataFrame, groups: list[str], fence: int = 2, prior_rows: int = 200) -> DataFrame:
+    """(groups, rate, fence) from mergeable sketches over all rows.
 
-    The first of `groups` (the language) is what small groups fall back to.
+    The first of `groups` (the language) is what the fence of a group is shrunk towards.
     """
-    unpivot = ", ".join(f"'{r}', {r}" for r in RATES)
-    long = rated.select(*groups, F.expr(f"stack({len(RATES)}, {unpivot}) as (rate, x)"))
-    sketch = long.groupBy(*groups, "rate", bucket(F.col("x")).alias("bucket")).agg(F.count("*").alias("n"))
-    merge = lambda keys: sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
-    own, lang, all_ = _quantiles(sketch, groups, "own"), _quantiles(merge(groups[:1]), groups[:1], "lang"), _quantiles(merge([]), [], "all")
-    same = lambda a, b, keys: [a[k].eqNullSafe(b[k]) for k in keys] + [a["rate"] == b["rate"]]
-    met = own.join(lang, same(own, lang, groups[:1])).select(*(own[k] for k in groups), own["rate"], "own_q1", "own_q3", "own_n", "lang_q1", "lang_q3", "lang_n").join(all_, "rate")
-    pick = lambda q: F.when(F.col("own_n") >= min_group, F.col(f"own_{q}")).when(F.col("lang_n") >= min_group, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
-    return met.select(*groups, "rate", (pick("q3") + fence * (pick("q3") - pick("q1"))).alias("fence"))
-
-
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, fence: int = 3, min_group: int = 50) -> DataFrame:
-    """(id, COUNTS, base_failed, kept, failed_rates) for each row of docs."""
-    from ._shared import settle
+    sketch = sketches(counted, groups)
+    own, lang, every = _upper_fence(sketch, groups, fence, "own"), _upper_fence(sketch, groups[:1], fence, "by_lang"), _upper_fence(sketch, [], fence, "every")
+    met = own.join(lang, [own[k].eqNullSafe(lang[k]) for k in groups[:1]] + [own["rate"] == lang["rate"]])
+    met = met.select(*(own[k] for k in groups), own["rate"], "own", "own_n", "by_lang", "by_lang_n").join(every, "rate")
+    shrunk = lambda x, n, to: (F.col(n) * F.col(x) + prior_rows * to) / (F.col(n) + prior_rows)
+    return met.select(*groups, "rate", shrunk("own", "own_n", shrunk("by_lang", "by_lang_n", F.col("every"))).alias("fence"))
+
 
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, fence: int = 2, prior_rows: int = 200) -> DataFrame:
+    """(id, COUNTS, base_failed, kept, failed_rates) for each row of docs."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    rated = settle(rates(text_counts(plain, "text", ["id", "lang", "source"])))
+    counted = settle(text_counts(plain, "text", ["id", "lang", "source"]))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    limit = fences(rated, ["lang", "source"], fence, min_group)
-    wide = limit.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == r, F.greatest("fence", F.lit(low)))).alias(f"{r}_fence") for r, low in RATES.items()))
+    limit = fences(counted, ["lang", "source"], fence, prior_rows)
+    wide = limit.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == r, F.col("fence"))).alias(f"{r}_fence") for r in RATES))
     wide = wide.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(f"{r}_fence" for r in RATES))
-    joined = rated.join(wide, rated["lang"].eqNullSafe(wide["g_lang"]) & rated["source"].eqNullSafe(wide["g_source"]), "left")
-    failed = F.array_compact(F.array(*(F.when(F.col(r) > F.col(f"{r}_fence"), F.lit(r)) for r in RATES)))
+    joined = counted.join(wide, counted["lang"].eqNullSafe(wide["g_lang"]) & counted["source"].eqNullSafe(wide["g_source"]), "left")
+    failed = F.array_compact(F.array(*(F.when(sure_rate(r) > F.col(f"{r}_fence"), F.lit(r)) for r in RATES)))
     return joined.select("id", *COUNTS, base.alias("base_failed"), (~base & (F.size(failed) == 0)).alias("kept"), failed.alias("failed_rates"))

@@ -62,6 +62,27 @@ def test_quality_rules_keep_clean_texts_and_drop_junk(spark, documents):
     assert quality.quality_rules(documents([])).count() == 0
 
 
+def test_the_same_rate_is_judged_by_its_source(spark, documents):
+    # one source writes symbols throughout, the other hardly any; the probe has the same rate in both
+    def text(i, every):
+        return " ".join(f"w{i * k % 997}x{k}" + ("#" if every and k % every == 0 else "") for k in range(100))
+
+    rows = [(i, text(i, 5 + i % 4), "en", "signs") for i in range(1500)] + [(5000 + i, text(i, 0 if i % 16 else 50), "en", "plain") for i in range(1500)]
+    rows += [(2000, text(3, 6), "en", "signs"), (2001, text(3, 6), "en", "plain"), (2001, text(3, 6), "en", "plain"), (2002, text(3, 90), "en", "plain"), (2003, "w " * 200_000, "en", "signs")]
+    got = {r["id"]: r for r in quality.quality_rules(documents(rows)).collect()}
+    assert got[2000]["kept"] and got[2000]["failed_rates"] == [] and not got[2001]["kept"] and got[2001]["failed_rates"] == ["symbol_rate"] and not got[2001]["base_failed"]
+    assert got[2002]["kept"] and got[2003]["base_failed"] and got[2003]["n_words"] == 200_000
+    assert all(got[i]["kept"] and got[5000 + i]["kept"] for i in range(1500))
+
+
+def test_a_small_group_is_judged_by_its_language(spark, documents):
+    quiet = [(i, " ".join(f"w{i * k % 997}x{k}" for k in range(90)), "en", "big") for i in range(400)]
+    loud = [(500 + i, " ".join(f"w{k}#" for k in range(90)), "en", "tiny") for i in range(3)]
+    got = {r["id"]: r for r in quality.quality_rules(documents(quiet + loud)).collect()}
+    fence = {(r["source"], r["rate"]): r["fence"] for r in quality.fences(quality.text_counts(documents(quiet + loud), "text", ["lang", "source"]), ["lang", "source"]).collect()}
+    assert all(got[500 + i]["failed_rates"] == ["symbol_rate"] for i in range(3)) and fence["big", "symbol_rate"] == 0 and 0 < fence["tiny", "symbol_rate"] < 100
+
+
 def test_sketches_merge_to_the_same_quantiles(spark):
     from pyspark.sql import functions as F
 
