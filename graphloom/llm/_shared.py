@@ -40,3 +40,14 @@ def bytes_of(df: DataFrame) -> int:
     """The optimizer's estimate of a plan's input size, for partition counts only; 0 where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else 0
+
+
+#: Rows up to which a table of short rows is broadcast.
+SMALL = 200_000
+
+
+def if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """df with a broadcast hint if a count shows that it is small; results do not depend on it."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

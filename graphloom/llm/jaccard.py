@@ -41,6 +41,7 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,81 +114,144 @@ def _print_of(s: np.ndarray) -> tuple[int, int]:
 # -- stage 2 ---------------------------------------------------------------
 
 
-def _prefix_blobs(n: int, percent: int, shift: int):
-    """Map side: blobs of prefix elements by range, and credits settled here."""
+def _may_link(k, percent):
+    """Whether a set of k elements can be linked with a different set at all."""
+    return 100 * k >= percent * (k + 1)
 
-    def flush(tok, doc):
-        tok, doc = np.concatenate(tok), np.concatenate(doc)
+
+def _prefix_blobs(n: int, percent: int, n_parts: int):
+    """Map side: prefix elements by range (kind 0), and what is known of each text by id (kind 1)."""
+
+    def flush(tok, doc, who):
+        # elements are dealt by another hash than the one that orders them, so that ranges are even
+        tok, doc = mix(np.concatenate(tok)), np.concatenate(doc)
         order = np.argsort(tok, kind="stable")
         tok, doc = tok[order], doc[order]
         first = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
         count = np.diff(np.r_[first, len(tok)])
-        many = np.repeat(count > 1, count)
-        ids, credit = np.unique(doc[many], return_counts=True)
-        tok, who = tok[first], doc[first].copy()
+        ids, credit = np.unique(doc[np.repeat(count > 1, count)], return_counts=True)
         shared = count > 1
-        bucket = (tok >> _U(shift)).astype(np.int64)
-        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        ends = np.r_[edge[1:], len(tok)]
-        rows = [(int(bucket[a]), 0, tok[a:z].tobytes(), who[a:z].tobytes(), np.packbits(shared[a:z]).tobytes()) for a, z in zip(edge, ends, strict=True)]
+        tok, holder = tok[first], doc[first]
+        part = (tok % _U(n_parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        tok, holder, shared, part = tok[order], holder[order], shared[order], part[order]
+        edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        rows = [(int(part[a]), 0, tok[a:z].tobytes(), holder[a:z].tobytes(), np.packbits(shared[a:z]).tobytes()) for a, z in zip(edge, np.r_[edge[1:], len(tok)], strict=True)]
+        known = np.array(who, dtype=np.int64).reshape(-1, 4)
+        own = np.zeros(len(known), dtype=np.int64)
+        at = np.searchsorted(ids, known[:, 0])
+        at[at == len(ids)] = 0
         if len(ids):
-            rows.append((int(bucket[edge[0]]), 1, ids.tobytes(), credit.astype(np.int64).tobytes(), b""))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "kind", "a", "b", "c"])
+            found = ids[at] == known[:, 0]
+            own[found] = credit[at[found]]
+        rows += [(p, 1, known[k].tobytes(), own[k].tobytes(), b"") for p, k in _by_part(known[:, 0], n_parts)]
+        return _blob_batch(rows)
 
     def each(batches):
-        tok, doc, held = [], [], 0
+        tok, doc, who, held = [], [], [], 0
         for b in sliced(batches):
             ids = b.column(0).to_pylist()
             for i, s in enumerate(shingle_sets(as_bytes(b.column(1)), n)):
                 k = len(s)
-                if ids[i] is None or 100 * k < percent * (k + 1):
+                if ids[i] is None or not k or not _may_link(k, percent):
                     continue
+                who.append((ids[i], k, *_print_of(s)))
                 s = s[: k - ceil_share(k, percent) + slack(k)]
                 tok.append(s)
                 doc.append(np.full(len(s), ids[i], dtype=np.int64))
                 held += len(s)
                 if held >= FLUSH:
-                    yield flush(tok, doc)
-                    tok, doc, held = [], [], 0
+                    yield flush(tok, doc, who)
+                    tok, doc, who, held = [], [], [], 0
         if held:
-            yield flush(tok, doc)
+            yield flush(tok, doc, who)
 
     return each
 
 
-def _credit(table: pa.Table) -> pa.Table:
-    """Reduce side: which texts hold an element that came from elsewhere too."""
-    kind, a, b, c = (table.column(x).to_pylist() for x in ("kind", "a", "b", "c"))
-    tok = [np.frombuffer(x, _U) for x, k in zip(a, kind, strict=True) if k == 0]
-    doc = [np.frombuffer(x, np.int64) for x, k in zip(b, kind, strict=True) if k == 0]
-    many = [np.unpackbits(np.frombuffer(z, np.uint8))[: len(x) // 8] for x, z, k in zip(a, c, kind, strict=True) if k == 0]
-    ids, num = [], []
-    if tok:
-        tok, doc, many = np.concatenate(tok), np.concatenate(doc), np.concatenate(many).astype(bool)
+_BLOBS = "part long, kind long, a binary, b binary, c binary"
+
+
+def _blob_batch(rows):
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["part", "kind", "a", "b", "c"])
+
+
+def _by_part(ids: np.ndarray, n_parts: int):
+    """(part, row numbers) of ids dealt by hash."""
+    part = (mix(ids.view(_U)) % _U(n_parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    for k in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(ids) else []:
+        yield int(part[k[0]]), k
+
+
+def _credits(n_parts: int):
+    """Reduce side: which texts hold an element that came from elsewhere too, an id once for each task."""
+
+    def each(batches):
+        tok, doc, many = [], [], []
+        for b in batches:
+            known = b.filter(pc.field("kind") == 1)
+            if known.num_rows:
+                yield known
+            for x, y, z in zip(*(b.filter(pc.field("kind") == 0).column(c).to_pylist() for c in "abc"), strict=True):
+                tok.append(np.frombuffer(x, _U))
+                doc.append(np.frombuffer(y, np.int64))
+                many.append(np.unpackbits(np.frombuffer(z, np.uint8))[: len(x) // 8].astype(bool))
+        if not tok:
+            return
+        tok, doc, many = np.concatenate(tok), np.concatenate(doc), np.concatenate(many)
         order = np.argsort(tok, kind="stable")
         tok, doc, many = tok[order], doc[order], many[order]
         first = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
         count = np.diff(np.r_[first, len(tok)])
-        found, credit = np.unique(doc[np.repeat(count > 1, count) & ~many], return_counts=True)
-        ids.append(found)
-        num.append(credit.astype(np.int64))
-    for x, y, k in zip(a, b, kind, strict=True):
-        if k:
-            ids.append(np.frombuffer(x, np.int64))
-            num.append(np.frombuffer(y, np.int64))
-    return pa.table({"id": pa.array(np.concatenate(ids), pa.int64()), "credit": pa.array(np.concatenate(num), pa.int64())})
-
-
-def prefix_survivors(docs: DataFrame, sigs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """Class representatives that stage 2 cannot rule out: (rep, size)."""
+        ids, credit = np.unique(doc[np.repeat(count > 1, count) & ~many], return_counts=True)
+        rows = [(p, 2, ids[k].tobytes(), credit[k].astype(np.int64).tobytes(), b"") for p, k in _by_part(ids, n_parts)]
+        if rows:
+            yield _blob_batch(rows)
+
+    return each
+
+
+def _reach(percent: int):
+    """The texts whose credit suffices: (id, size, f1, f2), a row for each id."""
+
+    def each(batches):
+        known, ids, credit = [], [], []
+        for b in batches:
+            for kind, x, y in zip(*(b.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True):
+                if kind == 1:
+                    known.append(np.frombuffer(x, np.int64).reshape(-1, 4))
+                    ids.append(known[-1][:, 0])
+                else:
+                    ids.append(np.frombuffer(x, np.int64))
+                credit.append(np.frombuffer(y, np.int64))
+        if not known:
+            return
+        known = np.concatenate(known)
+        known = known[np.unique(known[:, 0], return_index=True)[1]]
+        total = np.zeros(len(known), dtype=np.int64)
+        np.add.at(total, np.searchsorted(known[:, 0], np.concatenate(ids)), np.concatenate(credit))
+        kept = known[total >= 1 + ceil_share(known[:, 1], percent) // 20]
+        for at in range(0, len(kept), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(kept[at : at + (1 << 16), k]) for k in range(4)], ["id", "size", "f1", "f2"])
+
+    return each
+
+
+def prefix_survivors(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """Class representatives that stage 2 cannot rule out: (rep, size).
+
+    Two shuffles of blobs: by element, where an element that came from two places
+    credits its texts, and by id, where credits add up beside the set's size.
+    """
     spark = docs.sparkSession
-    wanted = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), bytes_of(docs) >> 27)
-    bits = min(24, max(3, int(wanted - 1).bit_length()))
-    blobs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_prefix_blobs(n, percent, 64 - bits), "bucket long, kind long, a binary, b binary, c binary")
-    credit = blobs.groupBy("bucket").applyInArrow(_credit, "id long, credit long").groupBy("id").agg(F.sum("credit").alias("credit"))
-    least = F.floor((F.col("n_shingles") * percent + 99) / 100)
-    kept = sigs.join(credit, "id").filter(F.col("credit") >= 1 + F.floor(least / 20))
-    return kept.groupBy("n_shingles", "f1", "f2").agg(F.min("id").alias("rep")).select("rep", F.col("n_shingles").alias("size"))
+    n_parts = 4 * max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), bytes_of(docs) >> 27)
+    blobs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_prefix_blobs(n, percent, n_parts), _BLOBS)
+    # four ranges for each partition, as hashing alone does not deal few numbers evenly
+    credits = blobs.repartition(n_parts // 4, "part").mapInArrow(_credits(n_parts), _BLOBS)
+    kept = credits.repartition(n_parts // 4, "part").mapInArrow(_reach(percent), "id long, size long, f1 long, f2 long")
+    return kept.groupBy("size", "f1", "f2").agg(F.min("id").alias("rep")).select("rep", "size")
 
 
 def _texts_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -473,7 +537,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     same = ["n_shingles", "f1", "f2"]
     sigs = settle(fingerprints(docs, id_col, text_col, n))
-    survivors = settle(prefix_survivors(docs, sigs.filter("id is not null"), id_col, text_col, n, percent))
+    survivors = settle(prefix_survivors(docs, id_col, text_col, n, percent))
     groups = settle(candidate_groups(docs, survivors, id_col, text_col, n, percent))
     near = class_links(docs, groups, id_col, text_col, n, percent, block)
     classes = sigs.filter("n_shingles > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
