@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import math
 import os
 import random
 import re
@@ -208,6 +209,78 @@ def test_concatenated_hosts_are_known_by_their_words(spark):
     assert [got[i] for i in range(400, 405)] == ["block", "block", "block", "block", "allow"] and all(got[i] == "allow" for i in range(100, 250))
 
 
+def cheapest(name, cost, unknown):
+    """The least cost over every way to cut a name."""
+    best = math.inf
+    for cut in range(1 << (len(name) - 1)):
+        pieces, at = [], 0
+        for end in range(1, len(name) + 1):
+            if end == len(name) or cut >> (end - 1) & 1:
+                pieces.append(name[at:end])
+                at = end
+        best = min(best, sum(cost.get(w, unknown + urls.UNKNOWN_LETTER * len(w)) for w in pieces))
+    return best
+
+
+@given(st.dictionaries(st.text(alphabet="abc", min_size=1, max_size=4), st.integers(1, 50), max_size=8), st.text(alphabet="abcd", min_size=1, max_size=9))
+@settings(max_examples=120, deadline=None)
+def test_viterbi_equals_every_split(counts, name):
+    s = urls.Segmenter(counts)
+    words = s.words(name)
+    unknown = math.log(s.total)
+    assert "".join(words) == name
+    assert sum(s.cost.get(w, unknown + urls.UNKNOWN_LETTER * len(w)) for w in words) == pytest.approx(cheapest(name, s.cost, unknown))
+
+
+def plain_verdicts(rows, rounds=3):
+    """Score and verdict without rules of (id, url), by dictionaries and loops."""
+    host, path = {}, {}
+    for i, u in rows:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
+        host[i], path[i] = (m[1].translate(AZ), m[2]) if m else ("", "")
+    letters = lambda x: [w for w in re.split("[^a-z]+", x) if w]
+    labels = {h: [letters(x) for x in h.split(".")] for h in host.values()}
+    names = {w for ls in labels.values() for x in ls for w in x}
+    apart = {(h, w) for h, ls in labels.items() for x in ls if len(x) > 1 for w in x}
+    apart |= {(host[i], w) for i in host for w in letters(path[i].lower()) if [w] not in labels[host[i]]}
+    fixed = Counter(w for _, w in apart if 3 <= len(w) <= 63) + Counter(urls.SEEDS)
+    holds = Counter(w for x in names if len(x) <= 63 for w in {x[a:z] for a in range(len(x)) for z in range(a + 3, len(x) + 1)})
+    counts = fixed + Counter({w: n for w, n in holds.items() if n > 1})
+    for k in range(rounds):
+        s = urls.Segmenter(counts)
+        split = {x: s.words(x) for x in names}
+        if k + 1 < rounds:
+            counts = fixed + Counter(w for ws in split.values() for w in ws if w in counts)
+            covers = lambda w, known: not w or any(w[:k] in known and covers(w[k:], known) for k in range(1, len(w) + 1))
+            counts = Counter({w: n for w, n in counts.items() if w in fixed or not covers(w, {v for v in counts if counts[v] > n})})
+    of = {h: [w for x in ls for y in x for w in split[y]] for h, ls in labels.items()}
+    bad = {h: not set(ws).isdisjoint(urls.SEEDS) for h, ws in of.items()}
+    tokens = {i: {f"h:{w}" for w in of[host[i]]} | {f"p:{w}" for w in letters(path[i].lower())} for i in host}
+    per = {c: Counter(t for i, _ in rows if bad[host[i]] == c for t in tokens[i]) for c in (True, False)}
+    size = len(set(per[True]) | set(per[False]))
+    n = Counter(bad[host[i]] for i, _ in rows)
+    sums = {c: sum(per[c].values()) + size + 1 for c in per}
+    weight = lambda t: math.log((per[True][t] + 1) / sums[True]) - math.log((per[False][t] + 1) / sums[False])
+    return {i: math.log((n[True] + 1) / (n[False] + 1)) + sum(map(weight, tokens[i])) for i in host}, split, host
+
+
+def test_urls_equal_plain_training_and_scoring(spark):
+    rnd = random.Random(2)
+    words = ["garden", "house", "quiet", "cheap", "pills", "news", "spam", "world", "win", "blog", "big"]
+    rows = [(i, f"http://{rnd.choice(['www.', '', 'a-b.'])}{rnd.choice(words)}{rnd.choice(['', '-', *words])}{rnd.choice(words)}.test/{rnd.choice(words)}/{rnd.choice(['x', 'Sale', '7.html'])}?q") for i in range(150)]
+    # hosts that say it only in one piece, one with a label that DNS does not allow, and none
+    rows += [(500, "http://cheappillsworld.test/q"), (501, "http://" + "longname" * 9 + ".test/q"), (502, None), (503, "x"), (504, "http://[::1]/"), (505, "http://" + "y" * 70_000)]
+    score, split, host = plain_verdicts(rows)
+    got = {r["id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=[("block", "nowhere", "/")]).collect()}
+    assert {i: r["score"] for i, r in got.items()} == pytest.approx(score, abs=1e-4) and {i: r["host"] for i, r in got.items()} == host
+    clear = [i for i in got if abs(score[i]) > 1e-4]
+    assert {i: got[i]["verdict"] for i in clear} == {i: "block" if host[i] and score[i] >= 0 else "allow" for i in clear}
+    assert split["cheappillsworld"] == ("cheap", "pills", "world") and got[500]["verdict"] == "block"
+    # verdicts that no separate seed word gives
+    assert sum(r["verdict"] == "block" and set(re.split("[^a-z]+", r["host"])).isdisjoint(urls.SEEDS) for r in got.values()) > 5
+    assert sum(len(w) > 1 for w in split.values()) > len(split) / 2
+
+
 # -- archives --------------------------------------------------------------------
 
 
