@@ -3,6 +3,13 @@
 Every filtering stage computes its decisions over all rows it is given and drops
 the rejected ids; texts are not shuffled for that while the rejected ids are few
 enough to broadcast (their number is counted first).
+
+Defined results of every stage: decisions go by doc_id, so rows that repeat a
+rejected id go together; a row with a null doc_id cannot be named by a decision and
+stays; null and empty texts are judged as empty ones; ties are broken by the
+smallest doc_id; columns beside those of documents stay with their rows, and names
+that clash with an operator's own do no harm; an empty table stays an empty table
+with the same columns.
 """
 
 from __future__ import annotations
@@ -28,20 +35,21 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go; without confirmed toxic labels none does."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return without(docs, toxicity.toxicity(docs, labels).filter("predicted = 1"))
 
 
 def junk_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break a quality rule go."""
+    """Documents that break a quality rule go, null and empty texts among them."""
     return without(docs, quality.quality_rules(docs).filter("not kept"))
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest id.
 
-    Rows that repeat an id are one document, of which one row stays.
+    Rows that repeat an id are one document, of which one row stays. Texts without
+    words are no copies of each other and stay.
     """
     found = settle(jaccard.ngram_jaccard_join(docs))
     kept = without(docs, found.filter("id <> component_id"))
@@ -53,13 +61,17 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of two or more benchmark items go."""
+    """Documents that hold a window of any benchmark item go.
+
+    One leaked item is a leak: the operator's own verdict, two items or more, is too
+    weak for a training mix. An empty benchmark rejects nothing.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, decontaminate.contamination(docs, benchmark).filter("contaminated"))
+    return without(docs, decontaminate.contamination(docs, benchmark).filter("n_hit > 0"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as a list of documents with their copies; a document with 0 is left out of it."""
+    """The mix as a list: every document with its copies and the words taken; one with 0 is left out of it."""
     return mixing.mix(docs).withColumnRenamed("id", "doc_id")
 
 
