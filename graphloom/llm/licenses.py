@@ -4,7 +4,12 @@ Base: places where the words of a phrase stand consecutively. Method: every text
 block (a line, longer ones in overlapping windows of `block_words` words; with
 `across_lines` also such windows of the whole text, for wrapped notices) is joined
 with license templates, as sets of words: a block is a match if it holds at least
-`percent` percent of a template's words. The join is exact and prunes by
+`percent` percent of a template's words. Every match gives its label, but one whose
+words all belong to a fuller match of the same block.
+
+Texts are split once. That pass settles, for each row, its base result and which
+template words it has, and keeps the text only if some template could be met by all
+of the row's words together. The join works on what is kept. It is exact and prunes by
 
 * prefix: words are ordered by their frequency in the whole corpus, rarest first;
   a template of k words that must share t can miss k - t, so a match holds one of
@@ -14,7 +19,9 @@ with license templates, as sets of words: a block is a match if it holds at leas
   k - i words at most.
 
 What is left is verified by intersecting the sets. Only DataFrame functions are
-used. The templates are a fixed list of this module, so broadcasting them is safe.
+used. Templates are a parameter, of at most `MOST_TEMPLATES`, so broadcasting them is
+safe; the list of this module is the default. A window is at least twice as long as
+the longest template.
 
 Defined results: null text is empty; a phrase place counts each time it stands
 there, overlaps included; repeated rows keep their own results; other columns are
@@ -26,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import settle
+
 # Phrases with the labels they stand for.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -46,26 +55,29 @@ TEMPLATES = [
     ("reserved", "copyright all rights reserved"),
 ]
 
+#: Templates that may be given: they are broadcast.
+MOST_TEMPLATES = 10_000
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: As _GAP, but a newline is kept.
-_GAP_IN_LINE = "[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
-def spaced(text: Column, gap: str = _GAP) -> Column:
-    """The words of a text with one blank between and around them."""
-    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), gap, " ")
+def lowered(text: Column) -> Column:
+    """text with A-Z as a-z; other letters may change too, but none into or from an ASCII letter.
+
+    lower() is much faster than translate(), but makes ASCII letters of two others.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    return F.when(whole.contains("\u212a") | whole.contains("\u0130"), F.translate(whole, UPPER, LOWER)).otherwise(F.lower(whole))
 
 
-def words_of(line: Column) -> Column:
-    """The words of a spaced() text."""
-    body = F.btrim(line)
-    return F.when(F.length(body) > 0, F.split(body, " ")).otherwise(F.array().cast("array<string>"))
+def words_of(low: Column) -> Column:
+    """The words of a lowered text."""
+    return F.filter(F.split(low, _GAP), lambda w: w != "")
 
 
 def places(line: Column, phrase: str) -> Column:
-    """Start positions of a phrase's words in a spaced() text.
+    """Start positions of a phrase's words in a text with one blank between and around its words.
 
     The text is split at the phrase once; what lies between the cuts is counted. No
     phrase here overlaps itself.
@@ -78,25 +90,49 @@ def places(line: Column, phrase: str) -> Column:
     return F.aggregate(before, start, step)["at"]
 
 
-def word_frequencies(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Occurrences of the template words in all texts (rows: one for each of them at most)."""
-    found = texts.select(F.explode(F.split("line", " ")).alias("w")).filter(F.col("w").isin(vocabulary)).groupBy("w").count()
-    return {w: n for w, n in found.collect()}
+def template_list(templates=None) -> list[tuple[str, str]]:
+    """(label, text) of the templates: the default list, another one, or a table of these two columns."""
+    if isinstance(templates, DataFrame):
+        templates = [tuple(r) for r in templates.select("label", "text").limit(MOST_TEMPLATES + 1).collect()]
+    out = [(label, text) for label, text in (TEMPLATES if templates is None else templates) if label is not None and text and text.split()]
+    if len(out) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} license templates")
+    return out
 
 
 def plan_templates(frequency: dict[str, int], percent: int, templates=None) -> list[dict]:
     """Each template with its words rarest first, the overlap it asks for and its prefix."""
     out = []
-    for label, text in templates or TEMPLATES:
+    for label, text in template_list(templates):
         words = sorted(set(text.split()), key=lambda w: (frequency.get(w, 0), w))
         need = (len(words) * percent + 99) // 100
         out.append({"label": label, "words": words, "need": need, "prefix": words[: len(words) - need + 1]})
     return out
 
 
+def scan_rows(source: DataFrame, plans: list[dict], phrases: dict[str, str]) -> DataFrame:
+    """(key, id, n_words, base, present, low) for each row of (id, text), in one pass over the texts.
+
+    base: (label, places) of each phrase; present: the template words of the text;
+    low: the lowered text, if all of its words together could meet a template. key
+    tells rows apart.
+    """
+    vocabulary = sorted({w for p in plans for w in p["words"]} | {w for x in phrases for w in x.split(" ")})
+    prefix = sorted({w for p in plans for w in p["prefix"]})
+    split = source.select("id", lowered(F.col("text")).alias("low")).select("id", "low", words_of(F.col("low")).alias("words"))
+    seen = split.withColumn("present", F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary))))
+    line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    stands = lambda phrase: F.size(F.array_intersect("present", F.array(*map(F.lit, phrase.split(" "))))) == len(set(phrase.split(" ")))
+    none = F.array().cast("array<int>")
+    base = [F.struct(F.lit(label).alias("label"), F.when(stands(phrase), places(line, phrase)).otherwise(none).alias("at")) for phrase, label in phrases.items()]
+    table = F.array(*(F.struct(F.array(*map(F.lit, p["words"])).alias("words"), F.lit(p["need"]).alias("need")) for p in plans)) if plans else None
+    could = F.lit(False) if table is None else F.arrays_overlap("present", F.array(*map(F.lit, prefix))) & F.exists(table, lambda t: F.size(F.array_intersect("present", t["words"])) >= t["need"])
+    return seen.select(F.monotonically_increasing_id().alias("key"), "id", F.size("words").cast("long").alias("n_words"), F.array(*base).alias("base"), "present", F.when(could, F.col("low")).alias("low"))
+
+
 def blocks_of(block_words: int, across_lines: bool = False) -> Column:
-    """The blocks of `line`, a spaced() text with newlines, as arrays of words."""
-    lines = F.filter(F.transform(F.split("line", "\n"), words_of), lambda w: F.size(w) > 0)
+    """The blocks of `low`, a lowered text, as arrays of words."""
+    lines = F.filter(F.transform(F.split("low", "\n"), words_of), lambda w: F.size(w) > 0)
     if across_lines:
         lines = F.when(F.size(lines) > 1, F.concat(lines, F.array(F.flatten(lines)))).otherwise(lines)
     step = block_words // 2
@@ -107,8 +143,8 @@ def blocks_of(block_words: int, across_lines: bool = False) -> Column:
 def template_matches(texts: DataFrame, plans: list[dict], block_words: int = 64, across_lines: bool = False) -> DataFrame:
     """(key, block, label, containment, shared words) of every block that meets its threshold.
 
-    texts: (key, line) with line a spaced() text that keeps newlines. block is the
-    block's number within its text.
+    texts: (key, low) with low a lowered text. block is the block's number within its
+    text.
     """
     spark = texts.sparkSession
     index = spark.createDataFrame([(w, i, k) for i, p in enumerate(plans) for k, w in enumerate(p["prefix"])], "w string, t int, place int")
@@ -134,30 +170,27 @@ def block_labels(matches: DataFrame) -> DataFrame:
     return held.select("key", "best", F.explode(kept).alias("label")).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("best").alias("best"))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, block_words: int = 64, across_lines: bool = False) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, block_words: int = 64, across_lines: bool = False, templates=None) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of docs."""
-    vocabulary = sorted({w for _, t in TEMPLATES for w in t.split()})
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    lined = source.select("id", "text", spaced(F.col("text")).alias("line"))
-    plans = plan_templates(word_frequencies(lined.select("line"), vocabulary), percent)
+    known = template_list(templates)
+    block_words = max([block_words, *(2 * len(text.split()) for _, text in known)])
+    # any order of words is right for a filter; which words are rare is known after the pass
+    rows = settle(scan_rows(source, plan_templates({}, percent, known), PHRASES))
+    n = rows.select(F.explode("present").alias("w")).groupBy("w").count()
+    plans = plan_templates({r["w"]: r["count"] for r in n.collect()}, percent, known)
     prefix = sorted({w for p in plans for w in p["prefix"]})
-
-    # rows are told apart by id and text; equal ones have equal results
-    key = F.xxhash64("id", "text")
-    maybe = lined.filter(F.col("line").rlike(f" (?:{'|'.join(prefix)}) ")).select(key.alias("key"), spaced(F.col("text"), _GAP_IN_LINE).alias("line"))
-    more = block_labels(template_matches(maybe.distinct(), plans, block_words, across_lines))
-
-    has = F.lit(False)
-    for phrase in PHRASES:
-        has = has | F.col("line").contains(f" {phrase} ")
-    found = F.when(has, F.array(*(F.struct(F.lit(label).alias("label"), places(F.col("line"), phrase).alias("at")) for phrase, label in PHRASES.items())))
-    n_words = F.greatest(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) - 1, F.lit(0)).cast("long")
-    base = lined.select(key.alias("key"), "id", n_words.alias("n_words"), found.alias("found"))
-    at = F.flatten(F.transform("found", lambda x: x["at"]))
+    if plans:
+        maybe = rows.filter(F.col("low").isNotNull() & F.arrays_overlap("present", F.array(*map(F.lit, prefix)))).select("key", "low")
+        more = block_labels(template_matches(maybe, plans, block_words, across_lines))
+    else:
+        more = docs.sparkSession.createDataFrame([], "key long, more array<string>, best double")
+    base = rows.select("key", "id", "n_words", F.flatten(F.transform("base", lambda x: x["at"])).alias("at"), F.transform(F.filter("base", lambda x: F.size(x["at"]) > 0), lambda x: x["label"]).alias("base"))
     none = F.array().cast("array<string>")
-    labels = F.transform(F.filter("found", lambda x: F.size(x["at"]) > 0), lambda x: x["label"])
-    base = base.select("key", "id", "n_words", F.coalesce(F.size(at), F.lit(0)).cast("long").alias("n_base"), F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"), F.coalesce(labels, none).alias("base"))
     joined = base.join(more, "key", "left")
     text = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
-    return joined.select("id", "n_words", "n_base", "first_word", "last_word", text(F.col("base")).alias("base_labels"), text(F.concat("base", F.coalesce("more", none))).alias("labels"), score.alias("score"))
+    return joined.select(
+        "id", "n_words", F.size("at").cast("long").alias("n_base"), F.array_min("at").cast("long").alias("first_word"), F.array_max("at").cast("long").alias("last_word"),
+        text(F.col("base")).alias("base_labels"), text(F.concat("base", F.coalesce("more", none))).alias("labels"), score.alias("score"),
+    )

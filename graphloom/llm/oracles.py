@@ -137,16 +137,20 @@ def license_sql(percent: int = 80, block_words: int = 64) -> str:
 with d as (select doc_id, coalesce(text, '') as text, {words("coalesce(text, '')")} as ws from documents),
 spot as (select doc_id, ws, unnest(range(0, len(ws))) as i from d),
 base as ({places}),
-lines as (select doc_id, k, {words("line")} as ws from (select doc_id, unnest(range(1, len(l) + 1)) as k, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from d))),
+lines as (
+  select doc_id, k, {words("line")} as ws from (select doc_id, unnest(range(1, len(l) + 1)) as k, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from d))
+  union all select doc_id, 0 as k, ws from d),
 blocks as (select doc_id, k, j, list_distinct(ws[j + 1:j + {block_words}]) as held from (select *, unnest(range(0, greatest(0, len(ws) - {step} - 1) + 1, {step})) as j from lines where len(ws) > 0)),
 t(t, label, words) as (values {templates}),
 met as (
-  select doc_id, k, j, label, cast(len(list_intersect(held, words)) as double) / len(words) as containment from blocks, t
+  select doc_id, k, j, label, list_intersect(held, words) as shared, cast(len(list_intersect(held, words)) as double) / len(words) as containment from blocks, t
   where len(list_intersect(held, words)) >= (len(words) * {percent} + 99) // 100),
-top as (select doc_id, label, containment from (select *, max(containment) over (partition by doc_id, k, j) as best from met) where containment = best),
+found as (
+  select * from met x where not exists (
+    select 1 from met y where y.doc_id = x.doc_id and y.k = x.k and y.j = x.j and y.containment > x.containment and list_has_all(y.shared, x.shared))),
 b as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from base group by doc_id),
-l as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from base union select doc_id, label from top) group by doc_id),
-s as (select doc_id, max(containment) as best from top group by doc_id)
+l as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from base union select doc_id, label from found) group by doc_id),
+s as (select doc_id, max(containment) as best from met group by doc_id)
 select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
   case when n_base > 0 then cast(1 as double) else coalesce(best, cast(0 as double)) end as score
 from d left join b using (doc_id) left join l using (doc_id) left join s using (doc_id)

@@ -242,3 +242,40 @@ def test_the_license_query_finds_wrapped_notices(spark, documents, tmp_path):
     documents(list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["labels"] for r in queries.op10_license_scans(spark, str(tmp_path)).collect()}
     assert got == {0: "bsd", 1: "apache", 2: ""}
+
+
+def test_the_license_query_equals_its_sql_on_hard_texts(spark, documents, tmp_path):
+    import duckdb
+
+    from graphloom.llm import oracles
+
+    rnd = np.random.default_rng(8)
+    notices = [t.split() for _, t in licenses.TEMPLATES]
+    texts = [None, "", "\n\n", "x", "the \u212a \u0130 CC BY \u0130cc by cc\u212a by", "all RIGHTS reserved. " * 40, "licensed under cc by-nc 4.0\nreleased under\nthe mit license"]
+    for _ in range(120):
+        w = []
+        for _ in range(rnd.integers(1, 4)):
+            notice = list(notices[rnd.integers(len(notices))])
+            if rnd.random() < 0.4:
+                notice.pop(rnd.integers(len(notice)))
+            w += [f"w{k}" for k in rnd.integers(0, 90, rnd.integers(0, 60))] + notice
+        texts.append("".join(x + (" " if rnd.random() < 0.9 else "\n" if rnd.random() < 0.7 else ", ") for x in w))
+    documents(list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op10_license_scans(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(oracles.SQL["op10_license_scans"])
+    columns = sorted(got.columns)
+    key = lambda rows, names: sorted(tuple(r[names.index(c)] for c in columns) for r in rows)
+    a, b = key([tuple(r) for r in got.collect()], got.columns), key(want.fetchall(), want.columns)
+    assert a == b and sum("," in r[columns.index("labels")] for r in a) > 20
+
+
+def test_license_templates_are_a_parameter(spark, documents):
+    df = documents([(1, "Use of this thing needs a bow\nto the queen"), (1, "Use of this thing needs a bow\nto the queen"), (2, "released under the mit license"), (None, "bow to the queen of this thing")])
+    own = spark.createDataFrame([("bow", "needs a bow to the queen"), ("none", None), ("empty", " ")], "label string, text string")
+    got = sorted(((r["id"], r["labels"]) for r in licenses.license_scan(df, templates=own, across_lines=True).collect()), key=str)
+    assert got == [(1, "bow"), (1, "bow"), (2, ""), (None, "")]
+    assert {r["labels"] for r in licenses.license_scan(df, templates=[]).collect()} == {""}
+    with pytest.raises(ValueError):
+        licenses.license_scan(df, templates=[("x", "y")] * (licenses.MOST_TEMPLATES + 1))
