@@ -35,7 +35,7 @@ from n left join c on c.x = n.doc_id left join links on links.x = n.doc_id left
 """
 
 
-def decontamination_sql(window: int = 8, min_items: int = 2) -> str:
+def decontamination_sql(window: int = 8, min_items: int = 2, near: int = 4) -> str:
     return f"""
 with d as (select doc_id, {_ALNUM.format("coalesce(text, '')")} as ws from documents),
 b as (select cast(item_id as varchar) as item, {_ALNUM.format("coalesce(text, '')")} as ws from benchmark),
@@ -48,10 +48,30 @@ dw as (
   from (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) as i from d, sizes where len(ws) >= k)),
 hits as (select dw.doc_id, dw.i, dw.k, bw.item from dw join bw on bw.k = dw.k and bw.g = dw.g),
 places as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(i, i + k)) as pos from hits) group by doc_id),
-items as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as named from hits group by doc_id)
+items as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as named from hits group by doc_id),
+-- proximity: every word of a window within reach of its rarest one, then every span that starts at one of them
+pos as (select doc_id, i, ws[i] as word from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from d)),
+win as (select distinct g, k from bw),
+need as (select g, k, word, count(*) as need from (select g, k, unnest(string_split(g, ' ')) as word from win) group by all),
+often as (select word, count(*) as n from pos group by word),
+rare as (select g, k, arg_min(word, n) as word, count(*) as words from (select need.*, coalesce(often.n, 0) as n from need left join often using (word)) group by g, k),
+anchor as (select p.doc_id, p.i as mid, r.g, r.k, r.words from pos p join rare r using (word)),
+around as (
+  select a.doc_id, a.mid, a.g, a.k, a.words, n.need, p.i, p.word from anchor a join need n on n.g = a.g and n.k = a.k
+  join pos p on p.doc_id = a.doc_id and p.word = n.word and p.i between a.mid - (a.k + {near} - 1) and a.mid + (a.k + {near} - 1)),
+full_ as (select doc_id, mid, g, k from around group by doc_id, mid, g, k, words having count(distinct word) = words),
+kept as (select around.* from around join full_ using (doc_id, mid, g, k)),
+span as (
+  select a.doc_id, a.mid, a.g, a.k, a.i as start, a.words, b.word from (select distinct doc_id, mid, g, k, words, i from kept) a
+  join kept b on b.doc_id = a.doc_id and b.mid = a.mid and b.g = a.g and b.k = a.k and b.i between a.i and a.i + a.k + {near} - 1
+  group by a.doc_id, a.mid, a.g, a.k, a.i, a.words, b.word, b.need having count(*) >= b.need),
+close as (select distinct doc_id, g, k from (select doc_id, mid, g, k, start from span group by doc_id, mid, g, k, start, words having count(*) = words)),
+close_items as (
+  select doc_id, count(distinct item) as n_near from close join bw using (g, k) where (doc_id, item) not in (select (doc_id, item) from hits where item is not null) group by doc_id)
 select d.doc_id, cast(len(d.ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
-  cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(named, '')) as items_sha256, coalesce(n_items, 0) >= {min_items} as contaminated
-from d left join places using (doc_id) left join items using (doc_id)
+  cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(named, '')) as items_sha256, coalesce(n_items, 0) >= {min_items} as contaminated,
+  cast(coalesce(n_near, 0) as bigint) as n_near_items
+from d left join places using (doc_id) left join items using (doc_id) left join close_items using (doc_id)
 """
 
 

@@ -28,8 +28,8 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), min_items=2, window=8)
-    return found.drop("n_near_items").withColumnRenamed("id", "doc_id")
+    found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), min_items=2, window=8, near=4)
+    return found.withColumnRenamed("id", "doc_id")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,45 @@ def test_proximity_finds_words_in_any_order_within_reach(spark, documents):
     assert got == {1: ([], ["1"]), 2: (["1"], []), 3: ([], []), 4: ([], [])}
 
 
+def plain_near(t, items, size, near):
+    """Items with a span of at most size + near words that holds all words of a window, found by counting every span."""
+    w = ALNUM.findall((t or "").translate(AZ))
+    out = set()
+    for item, u in items:
+        v = ALNUM.findall((u or "").translate(AZ))
+        k = min(size, len(v))
+        for a in range(len(v) - k + 1 if v else 0):
+            need = Counter(v[a : a + k])
+            if any(not need - Counter(w[i : i + k + near]) for i in range(len(w))):
+                out.add(str(item))
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 20, 400])
+def test_proximity_equals_brute_force(spark, documents, block):
+    rnd = np.random.default_rng(9)
+    items = [(k, " ".join(f"t{x}" for x in rnd.integers(0, 9, n))) for k, n in enumerate([9, 2, 12, 1, 0, 5, 7])] + [(7, None), (None, "t1 t2 t3 t4 t5")]
+    docs = [(i, " ".join(f"t{x}" for x in rnd.integers(0, 12, rnd.integers(0, 50)))) for i in range(60)] + [(None, items[0][1]), (100, None)]
+    bench = spark.createDataFrame([(*x, "clash", 1) for x in items], "item_id long, text string, id string, n_hit int")
+    found = decontaminate.find_overlaps(documents(docs), bench, window=4, near=2, block_bytes=block).collect()
+    named = [(k, t) for k, t in items if k is not None]
+    want = []
+    for i, t in docs:
+        exact = {str(k) for k, u in named if plain_overlap(t or "", [(k, u)], 4)[2]}
+        # an item without an id hits words but has no name
+        want.append((i, plain_overlap(t or "", items, 4)[1], sorted(exact), sorted(plain_near(t, named, 4, 2) - exact)))
+    got = [(r["id"], len(r["hits"]), r["items"], r["near_items"]) for r in found]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(bool(x[3]) for x in got) > 10
+
+
+def test_postings_are_stored_for_every_word_or_for_the_benchmarks(spark, documents, tmp_path):
+    df = documents([(1, "a b a c"), (2, None), (1, "B d")]).select("doc_id", "text")
+    every = decontaminate.build_index(df.coalesce(1), None, str(tmp_path / "every")).collect()
+    few = decontaminate.build_index(df.coalesce(1), np.zeros(0, np.uint64), str(tmp_path / "few")).collect()
+    assert sum(len(r["positions"]) // 4 for r in every) == 6 and sum(len(r["positions"]) for r in few) == 0
+    assert [i for r in few for i in r["ids"]] == [1, 2, 1] and [len(r["terms"]) // 8 for r in every] == [4]
+
+
 # -- toxicity ----------------------------------------------------------------------
 
 
