@@ -4,18 +4,25 @@ Writing makes one record for each page: `response` with an HTTP message, or
 `revisit` for a page whose payload of at least `min_bytes` another page with a
 smaller id has too. Bodies beyond `chunk_at` bytes use chunked transfer framing,
 and blocks beyond `segment` bytes are cut into a first record and `continuation`
-records, as ISO 28500 has it. Tasks write gzip members (one for each record) to
-archives in the shared folder under a temporary name and rename them when
-complete, so a task that is run again leaves one whole file or none.
+records, as ISO 28500 has it. Records leave tasks as rows and Spark's text writer
+puts them into gzip files, with the blank lines that end a record as its line
+separator: so archives go to any file system that Spark can open, and a task that is
+run again leaves its files once, by Spark's committer.
 
-Reading parses archives in parallel, groups continuation records by the id of
-their first record, orders them by segment number, verifies that none is missing
-and that lengths add up to the stated total, and decodes the transfer framing.
-Only segmented records are shuffled.
+Which pages are revisits is found on ids and digests alone. Payloads are not
+shuffled while the revisits are few enough to broadcast (they are counted first);
+beyond, they are joined by page id and digest, which no repeated payload makes
+uneven.
+
+Reading parses archives in parallel and as streams, groups continuation records by
+the id of their first record, orders them by segment number, verifies that none is
+missing and that lengths add up to the stated total, and decodes the transfer
+framing. Only segmented records are shuffled.
 
 Defined results: null html is an empty payload; rows that repeat a page id and
 payload are equally the smallest, so each is a response; a null page id sorts
-last among equals and is kept; an empty table gives no archive and no row.
+last among equals and is kept; an empty table gives no record and no row; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -28,15 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh_path, settle
+from ._shared import fresh_path, if_small, settle
 
-#: Compressed bytes after which a task begins another archive.
-ARCHIVE = 16 << 20
+#: Bytes of records, before compression, that an archive holds on average at most.
+ARCHIVE = 64 << 20
 SEGMENT = 32 << 10
 CHUNK_AT = 4 << 10
 CHUNK = 2 << 10
-#: Repeated payloads up to which their table is broadcast; beyond, a shuffled join.
+#: Revisits up to which their table is broadcast; beyond, a shuffled join.
 BROADCAST_ROWS = 200_000
+_END = b"\r\n\r\n"
 
 
 class WarcError(ValueError):
@@ -112,19 +120,35 @@ def page_records(page_id: int | None, payload: bytes, refers_to: int | None, tag
         yield record("continuation", f"{origin}:{k}", part, target | {"WARC-Segment-Origin-ID": f"<{origin}>", "WARC-Segment-Number": k} | last)
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of an archive, each decompressed."""
-    view, at = memoryview(data), 0
+def records_of(data: bytes, step: int = 64 << 10) -> Iterator[bytes]:
+    """The records of a gzip file of one or more members; a few of them are in memory at a time."""
+    held, view, at = bytearray(), memoryview(data), 0
     while at < len(view):
-        inflate, out = zlib.decompressobj(wbits=31), []
+        inflate = zlib.decompressobj(wbits=31)
         while not inflate.eof:
             if at >= len(view):
                 raise WarcError("archive ends within a record")
-            step = view[at : at + (16 << 10)]
-            out.append(inflate.decompress(step))
-            at += len(step)
+            part = view[at : at + step]
+            at += len(part)
+            held += inflate.decompress(part)
+            while (size := _record_size(held)) and size <= len(held):
+                yield bytes(held[:size])
+                del held[:size]
         at -= len(inflate.unused_data)
-        yield b"".join(out)
+    if held:
+        raise WarcError("archive ends within a record")
+
+
+def _record_size(held: bytearray) -> int:
+    """Bytes of the record that held begins with; 0 while its header is not complete."""
+    head = held.find(_END)
+    if head < 0:
+        return 0
+    for line in held[:head].split(b"\r\n"):
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"content-length":
+            return head + len(_END) + int(value) + len(_END)
+    raise WarcError("record without a length")
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -135,7 +159,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
         raise WarcError("not a WARC record")
     named = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
     size = int(named["content-length"])
-    if rest[size:] != b"\r\n\r\n":
+    if rest[size:] != _END:
         raise WarcError("record length differs from its header")
     return named, rest[:size]
 
@@ -148,52 +172,45 @@ def payload_digests(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha2(data, 256).alias("digest"), F.octet_length(data).cast("long").alias("n"))
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str = "html", min_bytes: int = 100, segment: int = SEGMENT, chunk_at: int = CHUNK_AT, archive: int = ARCHIVE) -> DataFrame:
-    """Write pages as .warc.gz files under path (a URI); returns (file, records)."""
-    repeated = payload_digests(pages, id_col, html_col).filter(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1 and first is not null").select("digest", "first")
-    repeated = settle(repeated)
-    few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def revisits_of(narrow: DataFrame, min_bytes: int) -> DataFrame:
+    """(page_id, digest, first) of the pages that repeat the payload of a smaller id; narrow: (page_id, digest, n)."""
+    long = narrow.filter(F.col("n") >= min_bytes)
+    repeated = settle(long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1 and first is not null").select("digest", "first"))
+    again = long.join(if_small(repeated, BROADCAST_ROWS), "digest").filter(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
+    return settle(again.select("page_id", "digest", "first").distinct())
+
+
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str = "html", min_bytes: int = 100, segment: int = SEGMENT, chunk_at: int = CHUNK_AT, archive: int = ARCHIVE) -> None:
+    """Write pages as gzip files of WARC records under path, in any file system that Spark can open."""
+    narrow = settle(payload_digests(pages, id_col, html_col))
+    again = revisits_of(narrow, min_bytes)
+    mean = narrow.agg(F.avg("n")).first()[0] or 0
     data = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), data.alias("payload"), F.when(F.octet_length(data) >= min_bytes, F.sha2(data, 256)).alias("digest"))
-    rows = rows.join(F.broadcast(repeated) if few else repeated, "digest", "left")
-    rows = rows.select("page_id", "payload", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first")).alias("refers_to"))
+    named = again.select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest"), F.col("first").alias("refers_to"))
+    met = rows["page_id"].eqNullSafe(F.col("of_page")) & (F.col("digest") == F.col("of_digest"))
+    rows = rows.join(if_small(named, BROADCAST_ROWS), met, "left").select("page_id", "payload", "refers_to")
 
     def each(batches):
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        attempt = TaskContext.get().taskAttemptId()
-        store, base = fs.FileSystem.from_uri(path)
-        state = {"out": None, "size": 0, "file": 0, "records": 0, "n": 0}
-        done = []
-
-        def close():
-            if state["out"] is not None:
-                state["out"].close()
-                name = f"{base}/part-{part:06d}-{state['file']:04d}.warc.gz"
-                store.move(f"{base}/.tmp-{part}-{attempt}", name)
-                done.append((name, state["records"]))
-                state.update(out=None, size=0, records=0, file=state["file"] + 1)
-
+        part, n = TaskContext.get().partitionId(), 0
         for b in batches:
-            for page_id, payload, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if state["out"] is None:
-                    store.create_dir(base, recursive=True)
-                    state["out"] = store.open_output_stream(f"{base}/.tmp-{part}-{attempt}")
-                state["n"] += 1
-                for r in page_records(page_id, payload, refers_to, f"{part}-{state['n']}", segment, chunk_at):
-                    z = zlib.compressobj(1, wbits=31)
-                    packed = z.compress(r) + z.flush()
-                    state["out"].write(packed)
-                    state["size"] += len(packed)
-                    state["records"] += 1
-                if state["size"] >= archive:
-                    close()
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["file", "records"])
-
-    return settle(rows.mapInArrow(each, "file string, records long"))
+            out, size = [], 0
+            for page_id, payload, refers_to in zip(*b.columns, strict=True):
+                n += 1
+                for r in page_records(page_id.as_py(), payload.as_py(), refers_to.as_py(), f"{part}-{n}", segment, chunk_at):
+                    out.append(r[: -len(_END)])
+                    size += len(r)
+                if size >= 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                    out, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+
+    # the cast keeps the bytes as they are
+    made = rows.mapInArrow(each, "record binary").select(F.col("record").cast("string").alias("value"))
+    per_file = max(1, archive // (int(mean) + 500))
+    made.write.option("lineSep", _END.decode()).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
 
 
 # -- reading ----------------------------------------------------------------
@@ -209,7 +226,7 @@ def _parse_archives(batches):
     for b in batches:
         for data in b.column(0).to_pylist():
             rows = []
-            for raw in members(data):
+            for raw in records_of(data):
                 head, block = parse(raw)
                 kind, page = head["warc-type"], number(head["warc-target-uri"])
                 digest = head.get("warc-payload-digest", "").removeprefix("sha256:") or None
@@ -258,7 +275,7 @@ def _reassemble(batches):
 
 def read_archives(spark, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the archives under path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     # kept once: payloads are digested already, only blocks of segmented records are in it
     parsed = settle(files.mapInArrow(_parse_archives, _PARSED))
     parts = parsed.filter("segment is not null")
@@ -281,7 +298,5 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     """Write pages as archives in the shared folder and read them back."""
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
-    written = write_archives(pages, path, id_col, html_col, **options)
-    if written.filter("records > 0").isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    write_archives(pages, path, id_col, html_col, **options)
     return read_archives(spark, path)

@@ -317,6 +317,43 @@ def test_archives_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def plain_records(rows, least=100):
+    out = []
+    for i, h in rows:
+        data = (h or "").encode()
+        first = min((k for k, x in rows if (x or "").encode() == data and k is not None), default=None)
+        again = len(data) >= least and first is not None and (i is None or i > first)
+        out.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", first if again else None))
+    return sorted(out, key=str)
+
+
+def test_archives_without_broadcasts_and_by_a_scheme_of_hadoop(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    rnd = random.Random(3)
+    rows = [(i if i % 13 else None, rnd.choice(["a" * 150, "b" * 99, "", None, f"page {i} " * 30, "\r\n\r\nWARC/1.1\r\n" * 40])) for i in range(160)]
+    rows += [(500, "x" * 3_000_000 + "é"), (501, "x" * 3_000_000 + "é"), (500, "x" * 3_000_000 + "é")]
+    pages = spark.createDataFrame([(*r, "u", "d", 1) for r in rows], "page_id long, html string, url string, digest string, payload int")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.warc.link./to", f"file://{tmp_path}")
+    warc.write_archives(pages, "viewfs://warc/to/archives", archive=20_000)
+    assert len(glob.glob(f"{tmp_path}/archives/*.gz")) > 4
+    assert sorted(map(tuple, warc.read_archives(spark, "viewfs://warc/to/archives").collect()), key=str) == plain_records(rows)
+
+
+@given(st.lists(st.binary(max_size=300), max_size=6), st.integers(1, 40), st.booleans())
+@settings(max_examples=60, deadline=None)
+def test_archives_are_read_as_streams(blocks, step, members):
+    import gzip
+
+    records = [warc.record("response", f"r{k}", b, {}) for k, b in enumerate(blocks)]
+    data = b"".join(map(gzip.compress, records)) if members else gzip.compress(b"".join(records))
+    assert list(warc.records_of(data, step)) == records
+    if records:
+        with pytest.raises(warc.WarcError):
+            list(warc.records_of(data[:-9], step))
+        with pytest.raises(warc.WarcError):
+            list(warc.records_of(gzip.compress(b"".join(records)[:-1]), step))
+
+
 # -- chat ------------------------------------------------------------------------
 
 hard = st.lists(st.sampled_from(["<", "|", "\\", "<|im_end|>", "<|im_start|>", "\n", "<|nl|>", "assistant", "x", "<\\|im_end|>"]), max_size=6).map("".join)
