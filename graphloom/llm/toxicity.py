@@ -11,13 +11,17 @@ NeurIPS 2017):
 and scores are the sigmoid of its output. Weights are kept at or above 0: a
 feature is evidence of toxicity or nothing, so a long clean text does not drift.
 
-The fit uses a bounded sample (`max_positive` confirmed examples and
-`max_unlabelled` texts, those with the smallest hash of their id); scoring is a
-map over all whole texts with the weights broadcast.
+The fit uses a bounded sample of the labelled rows: `max_positive` confirmed examples
+and `max_unlabelled` rows whose labels are not looked at, those with the smallest
+hash of their id. Both come from the labelled rows, so the share of confirmed
+examples there is the class prior of the unlabelled ones. The model has the
+`max_features` most telling features. Scoring is a map over all whole texts with the
+weights broadcast.
 
 Defined results: null and empty texts have the score of a text without features;
-without confirmed examples every score is 0; a null id is never held out; rows
-that repeat an id get their own rows; other columns are not read.
+without confirmed examples every score is 0; a null id is never held out and never
+learnt from; rows that repeat an id get their own rows; of labels that repeat an id,
+one toxic one makes it a confirmed example; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import _POSITION, _U, alnum_folded, as_bytes, chunks, mix, sliced, split_words
+from ._shared import settle
 
 #: Lengths in bytes of the word beginnings that are features, beside whole words.
 BEGINNINGS = (4, 5)
@@ -143,7 +148,7 @@ def _find_features(features: np.ndarray):
             for s in _distinct_features(as_bytes(b.column(0))):
                 at = np.searchsorted(s, features)
                 at[at == len(s)] = 0
-                found.append(np.flatnonzero(s[at] == features).astype(np.int16).tobytes() if len(s) else b"")
+                found.append(np.flatnonzero(s[at] == features).astype(np.int32).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1), b.column(2)], ["places", "positive", "unlabelled"])
 
     return each
@@ -152,7 +157,7 @@ def _find_features(features: np.ndarray):
 def presence(places: list[bytes], n: int) -> np.ndarray:
     out = np.zeros((len(places), n), dtype=np.float32)
     for i, x in enumerate(places):
-        out[i, np.frombuffer(x, np.int16)] = 1
+        out[i, np.frombuffer(x, np.int32)] = 1
     return out
 
 
@@ -184,18 +189,18 @@ def held_out(id_col: str):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 4000, max_unlabelled: int = 8000, max_features: int = 1024) -> Model | None:
     """A model from the rows that are not held out; None without confirmed examples."""
-    known = labels.filter(~held_out(id_col) & F.col(label_col).isNotNull())
+    known = labels.filter(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     n, toxic = known.agg(F.count("*"), F.sum((F.col(label_col) == 1).cast("long"))).first()
     if not n or not toxic:
         return None
     prior = min(0.9, max(1e-3, toxic / n))
     by_hash = lambda df, most, role: df.filter(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most).select(F.col(id_col).alias("id"), F.lit(role).alias("role"))
     positive = by_hash(known.filter(F.col(label_col) == 1).select(id_col), max_positive, 1)
-    unlabelled = by_hash(docs.filter(~held_out(id_col)).select(id_col), max_unlabelled, 0)
+    unlabelled = by_hash(known.select(id_col), max_unlabelled, 0)
     sample = positive.union(unlabelled).groupBy("id").agg(F.max("role").alias("positive"), (F.min("role") == 0).alias("unlabelled"))
 
-    # the sample has at most max_positive + max_unlabelled ids
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("text", "positive", "unlabelled")
+    # the sample has at most max_positive + max_unlabelled ids, and their texts are kept for two passes
+    texts = settle(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("text", "positive", "unlabelled"))
     n_positive, n_unlabelled = texts.agg(F.sum("positive"), F.sum(F.col("unlabelled").cast("int"))).first()
     if not n_positive or not n_unlabelled:
         return None
