@@ -12,9 +12,12 @@ source misses its target by less than one document.
 
 Duels run in a reduction tree: documents are dealt by hash into groups of bounded
 size within their source, each group folds its fractions into one survivor, and
-survivors meet in the next level until a source has one left, which is rounded to
-the nearer whole. Only DataFrame functions are used; draws are hashes of ids, so
-reruns agree.
+survivors meet in the next level until a source has one left, which is drawn at its
+own probability, so that no document's expectation is lost. Only DataFrame functions
+are used; draws are hashes of ids, so reruns agree.
+
+Targets are computed over one row for each source, in one task: sources are names in
+a list, and a million of them take seconds.
 
 Defined results: null text has size 0 and takes no part; a null source is a source
 of its own that comes last; sources without words get target 0; repeated rows are
@@ -120,20 +123,42 @@ def pivotal_round(fractions: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
         out = folded.select(F.explode("r.done").alias("d")).select("d.key", "d.take")
         settled = out if settled is None else settled.union(out)
         live, level = folded.select("part", "r.held.key", "r.held.size", "r.held.p"), level + 1
-    last = live.select("key", F.when(F.col("p") >= 0.5, 1).otherwise(0).cast("long").alias("take"))
+    last = live.select("key", F.when(_uniform("key", F.lit("last")) < F.col("p"), 1).otherwise(0).cast("long").alias("take"))
     return last if settled is None else settled.union(last)
 
 
+def _row_key() -> Column:
+    """A name of a numbered row; null is told from any name."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    return F.concat_ws("/", text("id"), text("nth"), text("size"), F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), F.col("source"))))
+
+
+#: Equal rows that one task numbers.
+EQUAL_ROWS = 100_000
+
+
+def numbered(measured: DataFrame, most: int = EQUAL_ROWS) -> DataFrame:
+    """measured with equal rows told apart by a column nth; equal rows are counted, never gathered."""
+    columns = measured.columns
+    counted = settle(measured.groupBy(*columns).agg(F.count("*").alias("times")))
+    if counted.filter(F.col("times") > most).isEmpty():
+        return counted.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth"))
+    # a row that many equal: numbered in stretches, which are dealt out before they are rows again
+    stretch = counted.select(*columns, "times", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(most).cast("long"))).alias("at"))
+    dealt = stretch.repartition(*columns, "at")
+    return dealt.select(*columns, F.explode(F.sequence(F.col("at") + 1, F.least(F.col("at") + most, F.col("times")))).alias("nth"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, fan_in: int = FAN_IN) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) for each row of docs."""
     measured = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size"))
-    # rows that repeat an id must not share a draw: number them within the id
-    sized = settle(measured.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("source", "size"))))
+    # rows that repeat an id must not share a draw
+    sized = settle(numbered(measured))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     named = settle(sources.withColumnRenamed("source", "of_source"))
     each = sized.join(named, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    each = each.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)).withColumn("key", F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("nth").cast("string")))
+    each = each.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)).withColumn("key", _row_key())
     each = settle(each)
     live = each.filter("size > 0 and p > 0").select(F.col("source").alias("part"), "key", "size", "p")
     taken = pivotal_round(live, fan_in)

@@ -429,6 +429,85 @@ def test_pivotal_rounding_keeps_expectations(spark):
         assert abs(sum(by[f"{k}/{i}"] * (1 + i % 3) for i in range(n)) - 0.3 * 18) < 3
 
 
+def spark_hash(*values):
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else struct.pack("<i", v)
+        h = xxhash.xxh64(data, seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_pivotal(rows, fan_in):
+    """Duels one after the other, in the order of the reduction tree; rows: (part, key, size, p)."""
+    u = lambda key, n: (spark_hash(key, n) % ((1 << 52) - 1) + 1) / float(1 << 52)
+    take, level = {}, 0
+    live = {}
+    for part, key, size, p in rows:
+        live.setdefault(part, []).append((key, size, p))
+    while any(len(x) > 1 for x in live.values()):
+        for part, docs in live.items():
+            groups = -(-len(docs) // fan_in)
+            dealt = {}
+            for d in docs:
+                at = spark_hash(d[0], level)
+                dealt.setdefault(at % groups, []).append((at, *d))
+            live[part] = []
+            if len(docs) == 1:
+                live[part] = docs
+                continue
+            for group in dealt.values():
+                held = None
+                for _, key, size, p in sorted(group):
+                    if held is None:
+                        held = (key, size, p)
+                        continue
+                    a, sa, pa = held
+                    up, down = min((1 - pa) * sa, p * size), min(pa * sa, (1 - p) * size)
+                    gain = u(key, -1 - level) * (up + down) < down
+                    move = up if gain else -down
+                    a_done = (1 - pa) * sa <= p * size if gain else pa * sa <= (1 - p) * size
+                    if a_done:
+                        take[a] = int(gain)
+                        held = (key, size, min(1.0, max(0.0, p - move / size)))
+                    else:
+                        take[key] = int(not gain)
+                        held = (a, sa, min(1.0, max(0.0, pa + move / sa)))
+                live[part].append(held)
+        level += 1
+    for docs in live.values():
+        for key, _, p in docs:
+            take[key] = int((spark_hash(key, "last") % ((1 << 52) - 1) + 1) / float(1 << 52) < p)
+    return take
+
+
+def test_pivotal_rounding_equals_plain_duels(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), f"k{i}", rnd.randint(1, 50), p) for i in range(300) for p in [rnd.choice([0.25, 0.5, 0.9, rnd.random() * 0.98 + 0.01])]]
+    rows.append(("alone", "k999", 7, 0.4))
+    got = {r["key"]: r["take"] for r in mixing.pivotal_round(spark.createDataFrame(rows, "part string, key string, size long, p double"), 5).collect()}
+    # a lone part waits while others fold, as in the plain version
+    assert got == plain_pivotal(rows, 5)
+
+
+def test_equal_rows_are_numbered_without_gathering(spark, documents):
+    rows = [(None, "w w", "en", "s")] * 25 + [(1, "w", "en", "s")] * 3 + [(2, None, "en", None)]
+    measured = documents(rows).select("doc_id", "source")
+    for most in (4, 1000):
+        got = sorted(map(tuple, mixing.numbered(measured, most).collect()), key=str)
+        assert got == sorted([(None, "s", k + 1) for k in range(25)] + [(1, "s", k + 1) for k in range(3)] + [(2, None, 1)], key=str)
+    mixed = mixing.mix(documents(rows)).collect()
+    assert len(mixed) == len(rows) and sum(r["taken"] for r in mixed) == 53
+
+
+def test_a_very_long_document_is_mixed(spark, documents):
+    got = {r["id"]: r for r in mixing.mix(documents([(1, "w " * 400_000, "en", "a"), (2, "w w", "en", "b"), (3, "", "en", "b")])).collect()}
+    assert got[1]["size"] == 400_000 and got[2]["target"] == 6.0 and got[2]["taken"] == 6 and got[3]["taken"] == 0 and got[1]["taken"] in (0, 400_000)
+
+
 # -- registered queries ------------------------------------------------------------
 
 

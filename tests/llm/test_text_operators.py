@@ -213,6 +213,43 @@ def test_toxicity_learns_without_negatives_and_leaves_held_out_labels_alone(spar
     assert toxicity.toxicity(documents([]), labels).count() == 0
 
 
+def test_toxicity_equals_plain_training_and_scoring(spark, documents):
+    import math
+    import zlib
+
+    rnd = np.random.default_rng(12)
+    docs = [(i, " ".join(f"Word{rnd.integers(0, 60)}" if rnd.random() < 0.8 else f"ab{rnd.integers(0, 9)}" for _ in range(rnd.integers(0, 40))) + (f" Vile{rnd.integers(0, 3)} vileness" if i % 6 == 0 else "")) for i in range(400)]
+    docs += [(900, None), (901, "éé vile日 VILE1"), docs[6], (None, "vile1 vileness")]
+    known = {i: int(i % 6 == 0) for i in range(330)}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    labels = spark.createDataFrame([(i, y, "x", "t", 1.0, 0) for i, y in known.items()] + [(None, 1, "x", "t", 1.0, 0), (3, None, "x", "t", 1.0, 0)], "doc_id long, toxic int, lang string, text string, score double, predicted int")
+
+    def features(t):
+        words = {w.encode() for w in ALNUM.findall((t or "").translate(AZ))}
+        return {("w", w) for w in words} | {(k, w[:k]) for w in words for k in (4, 5) if len(w) >= k}
+
+    train = [(features(t), known[i]) for i, t in docs if i in known and not held(i)]
+    ids = [i for i in known if not held(i)]
+    prior = sum(known[i] for i in ids) / len(ids)
+    n_p, n_u = sum(y for _, y in train), len(train)
+    p, u = Counter(f for fs, y in train if y for f in fs), Counter(f for fs, _ in train for f in fs)
+    clip = lambda x: min(1 - 1e-12, max(1e-12, x))
+
+    def chosen(f):
+        rate = clip((p[f] + u[f]) / (n_p + n_u))
+        gain = lambda k, n: k * math.log(clip(k / n) / rate) + (n - k) * math.log((1 - clip(k / n)) / (1 - rate))
+        share = p[f] / n_p
+        negative = max(0.0, (u[f] / n_u - prior * share) / (1 - prior))
+        return p[f] >= 3 and round(2 * (gain(p[f], n_p) + gain(u[f], n_u)), 6) > toxicity.SURPRISE and share > 3 * negative
+
+    names = sorted(filter(chosen, u), key=str)
+    matrix = lambda rows: np.array([[f in fs for f in names] for fs in rows], np.float32)
+    w, b = toxicity.fit_nnpu(matrix([fs for fs, y in train if y]), matrix([fs for fs, _ in train]), prior)
+    want = sorted((str(i), held(i), 1 / (1 + math.exp(-b - sum(x for f, x in zip(names, w, strict=True) if f in features(t))))) for i, t in docs)
+    got = sorted((str(r["id"]), r["held_out"], r["score"]) for r in toxicity.toxicity(documents(docs), labels).collect())
+    assert len(names) > 3 and [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=0.02)
+
+
 def test_risk_is_non_negative_where_the_plain_one_is_not():
     rnd = np.random.default_rng(0)
     xp, xu = (rnd.random((30, 40)) < 0.3).astype(np.float32), (rnd.random((30, 40)) < 0.3).astype(np.float32)
