@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import building, exporting, extraction, guardrails, packing, ranking, rendering, rollups, semantics, subgraph, validation
+from .operators import building, exporting, guardrails, packing, ranking, rendering, rollups, semantics, subgraph, validation
 from .plans.session import local_session
 from .sources import scan
 
@@ -56,11 +56,10 @@ class Project:
         made = building.build_graph(files, calls, references, scan.workspace_aliases(files, files), rules)
         nodes, edges = made.nodes, made.edges
         if semantic:
-            domain, layer, ends = semantics.domains(files), semantics.layers(files), extraction.endpoints(files)
-            flow = semantics.flows(ends, domain, layer, made.imported)
-            more = semantics.semantic_nodes(files, domain, layer, ends, flow).select("id", "type", "label", F.col("detail").alias("kind"))
+            p = semantics.detect(files, made.imported)
+            more = semantics.semantic_nodes(files, p.domain, p.layer, p.endpoints, p.flow).select("id", "type", "label", F.col("detail").alias("kind"))
             nodes = nodes.unionByName(more, allowMissingColumns=True)
-            edges = edges.unionByName(semantics.semantic_edges(domain, layer, ends, flow, made.imported))
+            edges = edges.unionByName(semantics.semantic_edges(p.domain, p.layer, p.endpoints, p.flow, made.imported))
         self.write("nodes", nodes)
         self.write("edges", edges)
 

@@ -129,7 +129,7 @@ def build_graph(files: DataFrame, with_calls: bool = False, with_references: boo
     source = settle(extraction.lines(files.filter("kind in ('code', 'test')")))
     symbols = settle(extraction.declarations(source))
     resolved = settle(resolve_imports(paths, extraction.imports(source), aliases, rules))
-    imported = settle(resolved.filter("target is not null").groupBy("path", "target").agg(F.min("line_no").alias("ord")))
+    imported = resolved.filter("target is not null").groupBy("path", "target").agg(F.min("line_no").alias("ord"))
     parents = extraction.heritage(source)
     lang = language(F.col("path"))
     nodes = _node(files, id=file_id(F.col("path")), type=F.lit("file"), label=basename(F.col("path")), path=F.col("path"), kind=F.col("kind"), lang=lang)

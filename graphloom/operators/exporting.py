@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import escape_dot, escape_xml
+from .ordering import number_rows
 
 # Colours, shapes and line styles of the DOT form.
 NODE_FILL = {"file": "#1f6feb", "symbol": "#21262d", "folder": "#484f58", "package": "#9e6a03"}
@@ -23,21 +24,26 @@ def _lookup(table: dict, key, other: str):
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key), F.lit(other))
 
 
+def _key(*columns: str):
+    """What nodes and edges of a document are sorted by: their ids, not their text."""
+    return F.array(*columns).alias("key")
+
+
 def number(weight):
     """A weight as text: whole numbers without a fraction."""
     return F.when(weight == F.floor(weight), F.floor(weight).cast("string")).otherwise(weight.cast("string"))
 
 
 def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(part, line): a DOT line for each node and edge; a document has them in that order."""
+    """(part, key, line): a DOT line for each node and edge; a document has them in the order of part and key."""
     q = lambda c: F.concat(F.lit('"'), escape_dot(c), F.lit('"'))
     hidden = F.when((F.col("type") == "symbol") & ~F.col("exported"), ',style="filled,dashed"').otherwise("")
-    n = nodes.select(F.lit(0).alias("part"), F.concat(
+    n = nodes.select(F.lit(0).alias("part"), _key("id"), F.concat(
         F.lit("  "), q(F.col("id")), F.lit(" [label="), q(F.col("label")), F.lit(",shape="), _lookup(NODE_SHAPE, F.col("type"), OTHER_SHAPE), F.lit(',style="filled",fillcolor="'),
         _lookup(NODE_FILL, F.col("type"), OTHER_FILL), F.lit('",color="#30363d",tooltip='), q(F.coalesce("path", "label")), hidden, F.lit("];"),
     ).alias("line"))
     style = lambda k: _lookup({t: s[k] for t, s in EDGE_STYLE.items()}, F.col("type"), OTHER_STYLE[k])
-    e = edges.select(F.lit(1), F.concat(
+    e = edges.select(F.lit(1), _key("src", "dst", "type"), F.concat(
         F.lit("  "), q(F.col("src")), F.lit(" -> "), q(F.col("dst")), F.lit(" [label="), q(F.col("type")), F.lit(',color="'), style(0), F.lit('",style="'), style(1),
         F.lit('",penwidth='), F.format_string("%.1f", F.coalesce("weight", F.lit(1.0))), F.lit("];"),
     ))
@@ -45,16 +51,14 @@ def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(part, line): a GraphML element for each node and edge; edges are numbered in order."""
+    """(part, key, line): a GraphML element for each node and edge; edges are numbered in order."""
     data = lambda k, c: F.when(c.isNotNull(), F.concat(F.lit(f'      <data key="{k}">'), escape_xml(c), F.lit("</data>\n"))).otherwise(F.lit(""))
-    n = nodes.select(F.lit(0).alias("part"), F.concat(
+    n = nodes.select(F.lit(0).alias("part"), _key("id"), F.concat(
         F.lit('    <node id="'), escape_xml(F.col("id")), F.lit('">\n'), data("d_label", F.col("label")), data("d_type", F.col("type")), data("d_path", F.col("path")),
         data("d_kind", F.col("kind")), data("d_lang", F.col("lang")), data("d_exported", F.col("exported").cast("string")), F.lit("    </node>"),
     ).alias("line"))
-    # a single document numbers its edges through, so this order is a total one
-    k = F.row_number().over(Window.orderBy("src", "dst", "type")) - 1
-    e = edges.select(F.lit(1), F.concat(
-        F.lit('    <edge id="e'), k.cast("string"), F.lit('" source="'), escape_xml(F.col("src")), F.lit('" target="'), escape_xml(F.col("dst")), F.lit('">\n'),
+    e = number_rows(edges, ["src", "dst", "type"]).select(F.lit(1), _key("src", "dst", "type"), F.concat(
+        F.lit('    <edge id="e'), F.col("k").cast("string"), F.lit('" source="'), escape_xml(F.col("src")), F.lit('" target="'), escape_xml(F.col("dst")), F.lit('">\n'),
         data("d_etype", F.col("type")), data("d_weight", number(F.col("weight"))), F.lit("    </edge>"),
     ))
     return n.union(e)
@@ -67,11 +71,11 @@ def file_list(files: DataFrame, with_score: bool = True) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str, head: str, tail: str) -> None:
-    """One local text file from (part, line), for documents that one reader opens."""
+    """One local text file from (part, key, line), for documents that one reader opens."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as out:
         out.write(head)
-        for row in lines.orderBy("part", "line").toLocalIterator():
+        for row in lines.orderBy("part", "key").select("line").toLocalIterator():
             out.write(row["line"] + "\n")
         out.write(tail)
 

@@ -89,7 +89,7 @@ def _exported(d: Declaration) -> Column:
 def declarations(source: DataFrame) -> DataFrame:
     """(path, line_no, kind, name, exported) of lines()."""
     found = _first([(_fits(d), F.struct(F.lit(d.kind).alias("kind"), F.regexp_extract("line", d.pattern, d.name).alias("name"), _exported(d).alias("exported"))) for d in DECLARATIONS])
-    return source.select("path", "line_no", found.alias("d")).filter("d is not null").select("path", "line_no", "d.kind", "d.name", "d.exported")
+    return source.select("path", "line_no", F.explode(F.array_compact(F.array(found))).alias("d")).select("path", "line_no", "d.kind", "d.name", "d.exported")
 
 
 def heritage_list(raw: Column) -> Column:
@@ -220,29 +220,32 @@ def endpoints(files: DataFrame) -> DataFrame:
     rows = code.select("path", "ext", F.posexplode(F.split("content", r"\r?\n")).alias("i", "line")).filter(~F.trim(F.regexp_replace("line", r"\s", " ")).rlike(r"^(//|\*|/\*|#)"))
     line, parts, base = F.col("line"), segments(F.col("path")), basename(F.col("path"))
     script = F.col("ext").isin(*SCRIPTS)
-    out = lambda df, m, u, f: df.select(m.alias("method"), u.alias("url"), "path", F.lit(f).alias("framework"))
     bare = lambda c: F.regexp_replace(c, "^/|/$", "")
     order = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     prefix = F.last(F.when(line.rlike(NEST_CONTROLLER), bare(F.regexp_extract("line", NEST_CONTROLLER, 1))), ignorenulls=True).over(order)
     nest = rows.filter(script).withColumn("prefix", F.coalesce(prefix, F.lit(""))).filter(line.rlike(NEST_METHOD))
     joined = F.concat(F.lit("/"), F.array_join(F.filter(F.array("prefix", bare(F.regexp_extract("line", NEST_METHOD, 2))), lambda x: x != ""), "/"))
     many = lambda rx, g: F.regexp_extract_all("line", F.lit(rx), F.lit(g))
-    express = rows.filter(script & line.rlike(EXPRESS)).select("path", F.explode(F.arrays_zip(many(EXPRESS, 1).alias("m"), many(EXPRESS, 2).alias("u"))).alias("x"))
-    fast = rows.filter((F.col("ext") == ".py") & line.rlike(FASTAPI))
-    route = rows.filter(script & F.array_contains(parts, "app") & base.rlike(r"^route\.(t|j)sx?$") & line.rlike(NEXT_ROUTE))
-    command = rows.filter(script & line.rlike(COMMAND)).select("path", F.explode(many(COMMAND, 1)).alias("x"))
-    page = code.filter(script & F.array_contains(parts, "app") & base.rlike(r"^page\.(t|j)sx?$"))
-    pages = code.filter(script & F.array_contains(parts, "pages") & ~((F.get(_after(F.col("path"), "pages"), F.lit(0)) != "api") & base.rlike(r"^_(app|document|error)\.(t|j)sx?$")))
-    api = F.when(F.get(_after(F.col("path"), "pages"), F.lit(0)) == "api", "ANY").otherwise("PAGE")
-    astro = code.filter(F.col("ext") == ".astro")
-    nuxt = code.filter((F.col("ext") == ".vue") & F.array_contains(parts, "pages"))
-    every = [
-        out(nest, F.upper(F.regexp_extract("line", NEST_METHOD, 1)), joined, "nest"), out(express, F.upper("x.m"), F.col("x.u"), "express"),
-        out(fast, F.upper(F.regexp_extract("line", FASTAPI, 1)), F.regexp_extract("line", FASTAPI, 2), "fastapi"), out(route, F.regexp_extract("line", NEXT_ROUTE, 1), app_route(F.col("path")), "next-route"),
-        out(command, F.lit("CLI"), F.col("x"), "commander"), out(page, F.lit("PAGE"), app_route(F.col("path")), "next-page"),
-        out(pages, api, page_route(F.col("path"), r"\.(tsx?|jsx?)$"), "next-pages"), out(astro, F.lit("PAGE"), page_route(F.col("path"), r"\.astro$"), "astro"), out(nuxt, F.lit("PAGE"), page_route(F.col("path"), r"\.vue$"), "nuxt"),
-    ]
-    found = every[0]
-    for e in every[1:]:
-        found = found.union(e)
-    return found.distinct()
+    made = lambda m, u, f: F.struct(m.alias("method"), u.alias("url"), F.lit(f).alias("framework"))
+    none = F.array().cast("array<struct<method:string,url:string,framework:string>>")
+    if_ = lambda fits, found: F.when(fits, found).otherwise(none)
+    one = lambda fits, m, u, f: if_(fits, F.array(made(m, u, f)))
+    in_app, in_pages = F.array_contains(parts, "app"), F.array_contains(parts, "pages")
+    first_page = F.get(_after(F.col("path"), "pages"), F.lit(0))
+    # all rules of a line at once, and all rules of a file's place at once
+    by_line = F.concat(
+        if_(script & line.rlike(EXPRESS), F.transform(F.arrays_zip(many(EXPRESS, 1).alias("m"), many(EXPRESS, 2).alias("u")), lambda x: made(F.upper(x["m"]), x["u"], "express"))),
+        one((F.col("ext") == ".py") & line.rlike(FASTAPI), F.upper(F.regexp_extract("line", FASTAPI, 1)), F.regexp_extract("line", FASTAPI, 2), "fastapi"),
+        one(script & in_app & base.rlike(r"^route\.(t|j)sx?$") & line.rlike(NEXT_ROUTE), F.regexp_extract("line", NEXT_ROUTE, 1), app_route(F.col("path")), "next-route"),
+        if_(script & line.rlike(COMMAND), F.transform(many(COMMAND, 1), lambda x: made(F.lit("CLI"), x, "commander"))),
+    )
+    hidden = (first_page != "api") & base.rlike(r"^_(app|document|error)\.(t|j)sx?$")
+    by_place = F.concat(
+        one(script & in_app & base.rlike(r"^page\.(t|j)sx?$"), F.lit("PAGE"), app_route(F.col("path")), "next-page"),
+        one(script & in_pages & ~hidden, F.when(first_page == "api", "ANY").otherwise("PAGE"), page_route(F.col("path"), r"\.(tsx?|jsx?)$"), "next-pages"),
+        one(F.col("ext") == ".astro", F.lit("PAGE"), page_route(F.col("path"), r"\.astro$"), "astro"),
+        one((F.col("ext") == ".vue") & in_pages, F.lit("PAGE"), page_route(F.col("path"), r"\.vue$"), "nuxt"),
+    )
+    nested = nest.select("path", made(F.upper(F.regexp_extract("line", NEST_METHOD, 1)), joined, "nest").alias("x"))
+    found = nested.union(rows.select("path", F.explode(by_line))).union(code.select("path", F.explode(by_place)))
+    return found.select("x.method", "x.url", "path", "x.framework").distinct()

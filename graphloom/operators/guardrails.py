@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import matches_glob
+from .ordering import number_rows
 
 
 def validate_guardrails(changed: DataFrame, loc_delta: int, allowed: list[str], forbidden: list[str], max_loc: int, max_files: int | None = None) -> DataFrame:
@@ -42,9 +43,10 @@ def derive_plan(packed: DataFrame, focus: DataFrame | None = None) -> DataFrame:
     files = packed.filter("mode in ('full', 'excerpt')").select("path").distinct()
     if focus is not None:
         files = files.join(focus.select("path").distinct(), "path", "left_semi")
-    n = F.count("*").over(Window.partitionBy())
-    # a pack is capped, so numbering it in one partition is too
-    return files.select(F.row_number().over(Window.orderBy("path")).cast("long").alias("task"), "path", F.greatest(F.lit(1), F.least(F.lit(1000), 50 * n)).alias("max_loc"), (n + 2).alias("max_files"))
+    numbered = number_rows(files, ["path"])
+    total = numbered.agg(F.count("*").alias("n"))
+    n = F.col("n")
+    return numbered.join(F.broadcast(total)).select((F.col("k") + 1).cast("long").alias("task"), "path", F.greatest(F.lit(1), F.least(F.lit(1000), 50 * n)).alias("max_loc"), (n + 2).alias("max_files"))
 
 
 #: Allowed steps of a plan's status.

@@ -15,7 +15,8 @@ def pack(scored: DataFrame, budget: int | Column) -> DataFrame:
     then dropped, until the budget is met. Each pass takes a prefix of that order,
     so running sums say where it stops: a file is cut while no total before it has
     met the budget (a running minimum, for cutting a tiny file raises the total).
-    Packs are independent; each is a window partition of capped size.
+    Packs are independent, and each is one window partition: callers rank a whole
+    repository first and pack its best files.
     """
     by = Window.partitionBy("pack_id")
     up = by.orderBy("score", F.desc("path"))

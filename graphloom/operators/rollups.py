@@ -209,9 +209,11 @@ def flow_steps(nodes: DataFrame, edges: DataFrame, flow_id: str) -> DataFrame:
 def edge_panel(edges: DataFrame, shown: int = 6) -> DataFrame:
     """(id, dir, n, more, first): for each node and direction its first neighbours and how many follow."""
     ends = edges.select(F.col("src").alias("id"), F.lit("out").alias("dir"), F.col("dst").alias("other"), "type").union(edges.select("dst", F.lit("in"), "src", "type"))
-    ranked = ends.withColumn("k", F.row_number().over(Window.partitionBy("id", "dir").orderBy("other", "type")))
-    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= shown, F.struct("k", "other")))), lambda x: x["other"]), ",")
-    return ranked.groupBy("id", "dir").agg(F.count("*").alias("n"), F.greatest(F.lit(0), F.count("*") - shown).alias("more"), first.alias("first"))
+    total = ends.groupBy("id", "dir").agg(F.count("*").alias("n"))
+    # the filter on the rank is applied before the shuffle too, so a hub sends a few neighbours from each task
+    ranked = ends.withColumn("k", F.row_number().over(Window.partitionBy("id", "dir").orderBy("other", "type"))).filter(F.col("k") <= shown)
+    first = ranked.groupBy("id", "dir").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "other"))), lambda x: x["other"]), ",").alias("first"))
+    return total.join(first, ["id", "dir"]).select("id", "dir", "n", F.greatest(F.lit(0), F.col("n") - shown).alias("more"), "first")
 
 
 def node_type_counts(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.names import endpoint_slug, slugify
 from ..functions.paths import ancestors, basename, dirname, segments
 from ..plans.session import settle
+from . import extraction
 from .ranking import default_weight
 
 # Folders that make no domain of their own, and files that mark an application.
@@ -99,7 +102,8 @@ def layers(files: DataFrame) -> DataFrame:
         value = F.struct(F.lit(layer).alias("layer"), F.lit(kind).alias("layer_kind"))
         found = F.when(fits, value) if found is None else found.when(fits, value)
     named = files.filter((F.col("kind") == "code") & ~base.isin(NO_LAYER) & ~base.rlike(TEST_NAME))
-    return named.select("path", found.alias("x")).filter("x is not null").select("path", "x.layer", "x.layer_kind")
+    # exploded, so that the rules are tried once and not for each field
+    return named.select("path", F.explode(F.array_compact(F.array(found))).alias("x")).select("path", "x.layer", "x.layer_kind")
 
 
 def flows(endpoints: DataFrame, domain: DataFrame, layer: DataFrame, imported: DataFrame, hops: int = HOPS) -> DataFrame:
@@ -132,6 +136,21 @@ def flows(endpoints: DataFrame, domain: DataFrame, layer: DataFrame, imported: D
     return numbered.select(flow_id.alias("flow_id"), "domain", F.concat("method", F.lit(" "), "url").alias("label"), F.col("path").alias("entry"), F.arrays_zip(F.col("s.files").alias("file"), F.col("s.layers").alias("layer")).alias("steps"))
 
 
+@dataclass
+class Parts:
+    """What the semantic passes find in some files, each settled once."""
+
+    domain: DataFrame
+    layer: DataFrame
+    endpoints: DataFrame
+    flow: DataFrame
+
+
+def detect(files: DataFrame, imported: DataFrame) -> Parts:
+    domain, layer, ends = settle(domains(files)), settle(layers(files)), settle(extraction.endpoints(files))
+    return Parts(domain, layer, ends, settle(flows(ends, domain, layer, imported)))
+
+
 # -- concepts ------------------------------------------------------------------
 
 MIN_FILES, MIN_MODULARITY, MIN_MEMBERS = 8, 0.3, 3

@@ -8,7 +8,7 @@ from ..operators.extraction import (
     PY_FROM, PY_IMPORT, RESERVED, SCRIPTS, SEPARATORS,
 )
 from ..operators.semantics import APP_MARKERS, LAYERS, NO_LAYER, SHARED, TEST_NAME
-from .fixtures import sql_values
+from .fixtures import DOCUMENTS_PER_TREE, sql_values
 from .star_oracles import EDGE_WEIGHTS, KIND, SLUG, _case, _list, _normal, extname
 
 
@@ -216,10 +216,16 @@ SQL: dict[str, str] = {
       (select count(*) from snodes where type = 'flow' and starts_with(id, 'flow:' || d.label || '/')) as n_flows from snodes d where type = 'domain'""", [*SEM, SNODES, SEDGES]),
     "architecture": _with("""select case type when 'belongs_to_domain' then 'domain' when 'exposes_endpoint' then 'endpoint' else 'flow' end as part, dst as id, any_value(label) as label, case when type = 'exposes_endpoint' then min(src)[6:] end as file
       from (select e.*, n.label from sedges e join snodes n on n.id = e.dst) where type in ('belongs_to_domain', 'exposes_endpoint', 'implements_flow') and starts_with(src, 'file:src/users/') group by type, dst""", [*SEM, SNODES, SEDGES]),
+    # two known communities of four: 12 of 13 edges inside, one node of 4 in each has the outer edge
+    "concepts": f"""select 'concept:shop' || k || '/' || g || '0' as concept_id, 'shop' || k as domain, 'src/shop' || k || '/' || g || '0.ts' as head, cast(4 as bigint) as n_files,
+      round(2 * (12.0 / 26 - (13.0 / 26) * (13.0 / 26)), 4) as modularity
+      from (select unnest(range(0, greatest(1, (select count(*) from documents) // {DOCUMENTS_PER_TREE}))) as k), (values ('a'), ('b')) as t(g)""",
     "enrichment_targets": _with("""select id, kind, p as priority from (select distinct id, kind, case when kind in ('class_declaration', 'class_definition') then 0 when kind = 'interface_declaration' then 1 when kind = 'type_alias_declaration' then 2 else 3 end as p
       from nodes where type = 'symbol' and exported and kind in ('class_declaration', 'class_definition', 'interface_declaration', 'type_alias_declaration', 'function_declaration', 'function_definition')) order by p, id limit 12""", GRAPH),
-    "manifest_entries": """select * from (values ('docs/skills/users.md', 'users-skill', true, 'domain', 'task touches src'), ('docs/skills/domain-packages-app.md', 'domain-packages-app', true, 'alwaysApply', 'skill marked alwaysApply'),
-      ('docs/skills/ctx.md', 'ctx-packages-app', true, 'explicit', 'task touches packages/app'), ('docs/rules/r.md', 'ctx-packages-app', false, null, 'domain not touched'), ('docs/skills/other.md', 'domain-none', false, null, 'domain not touched')) t(path, name, matched, match_type, reason)""",
+    "manifest_entries": f"""with trees as (select case when k = 0 then '' else cast(k as varchar) end as k from (select unnest(range(0, greatest(1, (select count(*) from documents) // {DOCUMENTS_PER_TREE}))) as k))
+      select 'docs/skills/users' || k || '.md' as path, 'users' || k || '-skill' as name, true as matched, 'domain' as match_type, 'task touches src' as reason from trees
+      union all select 'docs/skills/domain-packages-app' || k || '.md', 'domain-packages-app' || k, true, 'alwaysApply', 'skill marked alwaysApply' from trees
+      union all (values ('docs/skills/ctx.md', 'ctx-packages-app', true, 'explicit', 'task touches packages/app'), ('docs/rules/r.md', 'ctx-packages-app', false, null, 'domain not touched'), ('docs/skills/other.md', 'domain-none', false, null, 'domain not touched'))""",
     "health_report": """select name, m is not null as present, cast(greatest(0, floor((5000000 - m) / 60000 + 0.5)) as bigint) as age_minutes,
       case when m is null then name || ' missing' else nullif(concat_ws('; ', case when watched and greatest(0, floor((5000000 - m) / 60000 + 0.5)) > 60 then 'stale (' || cast(floor((5000000 - m) / 60000 + 0.5) as bigint) || 'm old)' end, case when g <> s then 'hash mismatch with scan' end), '') end as warning
       from (values ('scan', 1000000, true, 'a', 'b'), ('graph', 4000000, true, 'a', 'a'), ('pack', null, true, null, null), ('plan', 0, false, null, null)) t(name, m, watched, g, s)""",

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.names import shortstat_delta
 from ..operators import building, extraction, guardrails, ranking, rollups, semantics
 from ..sources import scan
-from .fixtures import CONFIG, code_files
+from .fixtures import CONFIG, DOCUMENTS_PER_TREE, code_files
+from .session import settle
 
 
-def _lines(spark):
-    return extraction.lines(code_files(spark))
+def _lines(spark, sf_dir):
+    return extraction.lines(code_files(spark, sf_dir))
 
 
 def _specs(c):
@@ -21,119 +22,122 @@ def _specs(c):
 
 
 def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.declarations(_lines(spark))
+    return extraction.declarations(_lines(spark, sf_dir))
 
 
 def heritage(spark, sf_dir):
-    return extraction.heritage(_lines(spark)).select("path", "line_no", "kind", "child", "parent")
+    return extraction.heritage(_lines(spark, sf_dir)).select("path", "line_no", "kind", "child", "parent")
 
 
 def imports(spark, sf_dir):
-    return extraction.imports(_lines(spark)).select("path", "line_no", "source", _specs("specifiers").alias("specifiers"))
+    return extraction.imports(_lines(spark, sf_dir)).select("path", "line_no", "source", _specs("specifiers").alias("specifiers"))
 
 
 def calls(spark, sf_dir):
-    return extraction.calls(_lines(spark))
+    return extraction.calls(_lines(spark, sf_dir))
 
 
 def references(spark, sf_dir):
-    return extraction.references(_lines(spark))
+    return extraction.references(_lines(spark, sf_dir))
 
 
 def likely_endpoints(spark, sf_dir):
-    return code_files(spark).select("path", extraction.likely_endpoint(F.col("path")).alias("likely"))
+    return code_files(spark, sf_dir).select("path", extraction.likely_endpoint(F.col("path")).alias("likely"))
 
 
 def endpoints(spark, sf_dir):
-    return extraction.endpoints(code_files(spark))
+    return extraction.endpoints(code_files(spark, sf_dir))
 
 
 def workspace_aliases(spark, sf_dir):
-    return scan.workspace_aliases(code_files(spark), code_files(spark))
+    return scan.workspace_aliases(code_files(spark, sf_dir), code_files(spark, sf_dir))
 
 
 def front_matter(spark, sf_dir):
-    found = scan.front_matter(code_files(spark).filter("path like 'docs/skills/%'"))
+    found = scan.front_matter(code_files(spark, sf_dir).filter("path like 'docs/skills/%'"))
     return found.select("path", "name", "description", F.array_join("domains", ",").alias("domains"), "always_apply")
 
 
-def _graph(spark):
-    files = code_files(spark)
+def _graph(spark, sf_dir):
+    files = code_files(spark, sf_dir)
     return building.build_graph(files, True, True, scan.workspace_aliases(files, files), scan.path_aliases(CONFIG))
 
 
 def resolved_imports(spark, sf_dir):
-    return _graph(spark).imported.select("path", "target")
+    return _graph(spark, sf_dir).imported.select("path", "target")
 
 
 def build_nodes(spark, sf_dir):
-    return _graph(spark).nodes.select("id", "type", "label", "kind", F.coalesce(F.col("exported").cast("string"), F.lit("")).alias("exported"))
+    return _graph(spark, sf_dir).nodes.select("id", "type", "label", "kind", F.coalesce(F.col("exported").cast("string"), F.lit("")).alias("exported"))
 
 
 def build_edges(spark, sf_dir):
-    return _graph(spark).edges
+    return _graph(spark, sf_dir).edges
 
 
 def build_stats(spark, sf_dir):
-    return _graph(spark).stats()
+    return _graph(spark, sf_dir).stats()
 
 
 def semantic_domains(spark, sf_dir):
-    return semantics.domains(code_files(spark))
+    return semantics.domains(code_files(spark, sf_dir))
 
 
 def semantic_layers(spark, sf_dir):
-    return semantics.layers(code_files(spark))
+    return semantics.layers(code_files(spark, sf_dir))
 
 
-def _semantic(spark):
-    files = code_files(spark)
-    imported = _graph(spark).imported
-    domain, layer, ends = semantics.domains(files), semantics.layers(files), extraction.endpoints(files)
-    return files, domain, layer, ends, semantics.flows(ends, domain, layer, imported), imported
+def _semantic(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    imported = _graph(spark, sf_dir).imported
+    return files, semantics.detect(files, imported), imported
+
+
+def _semantic_graph(spark, sf_dir):
+    files, p, imported = _semantic(spark, sf_dir)
+    return files, semantics.semantic_nodes(files, p.domain, p.layer, p.endpoints, p.flow), semantics.semantic_edges(p.domain, p.layer, p.endpoints, p.flow, imported)
 
 
 def semantic_flows(spark, sf_dir):
-    flow = _semantic(spark)[4]
+    flow = _semantic(spark, sf_dir)[1].flow
     return flow.select("flow_id", "domain", "label", "entry", F.array_join(F.transform("steps", lambda s: F.concat(s["layer"], F.lit("="), s["file"])), ",").alias("steps"))
 
 
 def semantic_nodes(spark, sf_dir):
-    files, domain, layer, ends, flow, _ = _semantic(spark)
-    return semantics.semantic_nodes(files, domain, layer, ends, flow)
+    return _semantic_graph(spark, sf_dir)[1]
 
 
 def semantic_edges(spark, sf_dir):
-    _, domain, layer, ends, flow, imported = _semantic(spark)
-    return semantics.semantic_edges(domain, layer, ends, flow, imported)
+    return _semantic_graph(spark, sf_dir)[2]
 
 
 def semantic_map(spark, sf_dir):
-    files, domain, layer, ends, flow, imported = _semantic(spark)
-    return rollups.semantic_map(semantics.semantic_nodes(files, domain, layer, ends, flow), semantics.semantic_edges(domain, layer, ends, flow, imported))
+    _, nodes, edges = _semantic_graph(spark, sf_dir)
+    return rollups.semantic_map(nodes, settle(edges))
 
 
 def architecture(spark, sf_dir):
-    files, domain, layer, ends, flow, imported = _semantic(spark)
-    nodes = semantics.semantic_nodes(files, domain, layer, ends, flow)
-    edges = semantics.semantic_edges(domain, layer, ends, flow, imported)
+    files, nodes, edges = _semantic_graph(spark, sf_dir)
     return rollups.architecture(nodes, edges, files.filter("path like 'src/users/%'"))
 
 
 def concepts(spark, sf_dir):
-    """Two groups of four files that import each other, joined by one edge."""
-    rows = [(f"src/shop/{g}{i}.ts", f"src/shop/{g}{j}.ts") for g in "ab" for i in range(4) for j in range(4) if i != j] + [("src/shop/a0.ts", "src/shop/b0.ts")]
-    imported = spark.createDataFrame(rows, "path string, target string")
-    domain = imported.select("path").distinct().withColumn("domain", F.lit("shop"))
+    """In each of many domains, two groups of four files that import each other, joined by one edge."""
+    trees = max(1, spark.read.parquet(f"{sf_dir}/documents.parquet").count() // DOCUMENTS_PER_TREE)
+    rows = [(f"{g}{i}.ts", f"{g}{j}.ts") for g in "ab" for i in range(4) for j in range(4) if i != j] + [("a0.ts", "b0.ts")]
+    pairs = spark.range(trees).crossJoin(F.broadcast(spark.createDataFrame(rows, "a string, b string"))).withColumn("domain", F.concat(F.lit("shop"), F.col("id").cast("string")))
+    at = lambda c: F.concat(F.lit("src/"), "domain", F.lit("/"), c).alias("path")
+    imported = pairs.select(at("a"), at("b").alias("target"))
+    domain = pairs.select("domain", at("a")).union(pairs.select("domain", at("b"))).distinct()
     return semantics.concepts(domain, imported)
 
 
 def enrichment_targets(spark, sf_dir):
-    return ranking.enrichment_targets(_graph(spark).nodes, 12).select("id", "kind", "priority")
+    return ranking.enrichment_targets(_graph(spark, sf_dir).nodes, 12).select("id", "kind", "priority")
 
 
 def manifest_entries(spark, sf_dir):
-    skills = scan.front_matter(code_files(spark).filter("path like 'docs/skills/%'")).withColumn("is_skill", F.lit(True)).select("path", "name", "domains", "always_apply", "is_skill")
+    skills = scan.front_matter(code_files(spark, sf_dir).filter("path like 'docs/skills/%'")).withColumn("is_skill", F.lit(True)).select("path", "name", "domains", "always_apply", "is_skill")
     more = spark.createDataFrame([("docs/skills/ctx.md", "ctx-packages-app", [], False, True), ("docs/rules/r.md", "ctx-packages-app", [], False, False), ("docs/skills/other.md", "domain-none", [], False, True)], "path string, name string, domains array<string>, always_apply boolean, is_skill boolean")
     packed = spark.createDataFrame([("packages/app/src/app.ts",), ("src/users/users.service.ts",)], "path string")
     return rollups.manifest(skills.union(more), packed)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import kind
@@ -44,12 +44,42 @@ FILES: dict[str, str] = {
 CONFIG = '{\n  // comment\n  "compilerOptions": { "baseUrl": ".", "paths": { "@lib/*": ["lib/*"], /* more */ "@exact": ["src/index.ts"], }, },\n}'
 
 
-def code_files(spark: SparkSession) -> DataFrame:
-    """(path, content, kind) of the tree."""
-    return spark.createDataFrame(list(FILES.items()), "path string, content string").withColumn("kind", kind(F.col("path")))
+#: Documents of the tables for each copy of the tree, so that the source tree grows with them.
+DOCUMENTS_PER_TREE = 20
+#: What tells the copies apart: in paths and contents, these are followed by the copy's number.
+MARKS = ["users", "shared/types", "billing", "apps/shop", "cmd/tool", "native", "java/", "web", "tools", "packages/core", "demo/core", "packages/app", '"app', "packages-app", "lib", "readme"]
+
+
+def code_files(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+    """(path, content, kind): the tree, with sf_dir as many copies of it as its documents ask for.
+
+    Copy 0 is the tree as it stands. Names of folders and packages differ from copy
+    to copy, names of symbols don't.
+    """
+    files = spark.createDataFrame(list(FILES.items()), "path string, content string")
+    if sf_dir is not None:
+        trees = max(1, spark.read.parquet(f"{sf_dir}/documents.parquet").count() // DOCUMENTS_PER_TREE)
+        files = spark.range(trees).crossJoin(F.broadcast(files)).select(_marked(F.col("path")).alias("path"), _marked(F.col("content")).alias("content"))
+    return files.withColumn("kind", kind(F.col("path")))
+
+
+def _marked(text: Column) -> Column:
+    out = text
+    for mark in MARKS:
+        out = F.replace(out, F.lit(mark), F.concat(F.lit(mark), F.col("id").cast("string")))
+    return F.when(F.col("id") == 0, text).otherwise(out)
 
 
 def sql_values() -> str:
     """The same rows as a SQL relation files(path, content)."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    return "(values " + ",\n".join(f"({q(p)}, {q(c)})" for p, c in FILES.items()) + ") as files(path, content)"
+
+    def marked(c: str) -> str:
+        out = c
+        for mark in MARKS:
+            out = f"replace({out}, {q(mark)}, {q(mark)} || k)"
+        return f"case when k = 0 then {c} else {out} end"
+
+    values = "(values " + ",\n".join(f"({q(p)}, {q(c)})" for p, c in FILES.items()) + ") as f(path, content)"
+    trees = f"(select unnest(range(0, greatest(1, (select count(*) from documents) // {DOCUMENTS_PER_TREE}))) as k) as trees"
+    return f"(select {marked('path')} as path, {marked('content')} as content from {values}, {trees}) as files"

@@ -166,8 +166,8 @@ KEBAB = r"lower(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z0-9])([A
 SQL: dict[str, str] = {
     "scan_files": _with("select path, ext, size, hash, kind, lang from files"),
     "ignored_paths": _with(f"select page_id, path, {_ignored()} as ignored from urls"),
-    "scan_cache": _with("""select coalesce(a.path, b.path) as path, case when a.path is null then 'evicted' when a.size = b.size and a.m = b.m then 'reused' else 'stale' end as status
-      from (select path, size, doc_id * 10 as m from files where doc_id % 5 <> 0) a full join (select path, size, doc_id * 10 + case when doc_id % 4 = 0 then 1 else 0 end as m from files where doc_id % 3 <> 0) b on a.path = b.path"""),
+    "scan_cache": _with("""select coalesce(a.path, b.path) as path, case when a.path is null then 'evicted' when a.size = b.size and a.m = b.m and a.c = b.c then 'reused' else 'stale' end as status
+      from (select path, size, doc_id * 10 as m, doc_id * 10 as c from files where doc_id % 5 <> 0) a full join (select path, size, doc_id * 10 + case when doc_id % 4 = 0 then 1 else 0 end as m, doc_id * 10 + case when doc_id % 7 = 0 then 1 else 0 end as c from files where doc_id % 3 <> 0) b on a.path = b.path"""),
     "graph_cache": _with("select case when doc_id % 3 = 0 and doc_id % 2 = 0 then 'reused' else 'reparsed' end as status, kind, count(*) as n from files group by all"),
     "constraint_violations": _with(_constraints("x", SCHEMAS["scan"], "doc_id", {}), "x as (select doc_id, case when doc_id % 11 <> 0 then path end as path, case when doc_id % 13 = 0 then -1 else size end as size, case when doc_id % 17 = 0 then hash[1:10] else hash end as hash, case when doc_id % 19 = 0 then 'other' else kind end as kind from files)"),
     "event_constraints": """with x as (select event_id, cast(json_extract_string(props, '$.k') as double) as k, value from events)
@@ -186,7 +186,7 @@ SQL: dict[str, str] = {
       from (select f.domain, f.path, f.kind, coalesce(d.n, 0) as degree from files f left join (select id, count(*) as n from (select src as id from edges union all select dst from edges) group by id) d using (id)))
       where n >= 2 and place <= case section when 'tests' then 5 else 8 end"""),
     "skill_index": _with("select domain, replace(domain, '/', '-') as slug, count(*) as n_files, count(*) < 50 as skipped, case when count(*) < 50 then 'only ' || count(*) || case when count(*) = 1 then ' file' else ' files' end || ' (< 50)' end as reason from files group by domain"),
-    "top_domain": _with("select domain, n from (select domain, count(*) as n, min(doc_id) as o from files where doc_id % 3 = 1 group by domain order by n desc, o limit 1)"),
+    "top_domain": _with("select domain, n from (select domain, count(*) as n, min(doc_id) as o from files group by domain order by n desc, o limit 1)"),
     "cross_domain_deps": _with(f"""select case when x.domain = '{DOMAIN}' then 'depends_on' else 'used_by' end as direction, case when x.domain = '{DOMAIN}' then y.domain else x.domain end as other, count(*) as n
       from fe join files x on x.id = src join files y on y.id = dst where type = 'imports' and x.domain <> y.domain and '{DOMAIN}' in (x.domain, y.domain) group by all"""),
     "degrees": _with("select id, count(*) as degree from (select src as id from edges union all select dst from edges) group by id"),
@@ -198,7 +198,7 @@ SQL: dict[str, str] = {
     "keywords": f"""select doc_id, count(*) as n, count(distinct w) as n_distinct from (select doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+')) as w from documents)
       where length(w) >= 3 and w not in ({_list(STOP_WORDS)}) group by doc_id""",
     "matched_domains": _with(MATCHED),
-    "scored_files": _with("select path, round(score, 6) as score, tokens from (select * from scored order by score desc, path limit 200) where score > 0.0015", *_rank_steps(ITERATIONS, UNIFORM), SCORED),
+    "scored_files": _with("select path, round(score, 6) as score, tokens from scored order by scored.score desc, path limit 200", *_rank_steps(ITERATIONS, UNIFORM), SCORED),
     "context_pack": _with("select path, round(score, 6) as score, mode, reason, tokens, estimated from packed", *_rank_steps(ITERATIONS, UNIFORM), SCORED, "best as (select 0 as pack_id, * from scored order by score desc, path limit 50)", *_pack("best", "8000")),
     "packer": _with("select pack_id, path, mode, reason, estimated from packed", MANY, *_pack("many", "cast('0x' || md5(pack_id)[1:4] as bigint) % 12000")),
     "token_ledger": _with("""select *, baseline - packed as saved, round((baseline - packed) * 100 / baseline, 2) as percent, round(baseline / packed, 2) as ratio from

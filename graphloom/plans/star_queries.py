@@ -38,8 +38,10 @@ def ignored_paths(spark, sf_dir):
 
 def scan_cache(spark, sf_dir):
     f = views.files(spark, sf_dir).select("doc_id", "path", "size")
-    now = f.filter("doc_id % 5 <> 0").select("path", "size", (F.col("doc_id") * 10).alias("mtime"))
-    before = f.filter("doc_id % 3 <> 0").select("path", "size", (F.col("doc_id") * 10 + F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)).alias("mtime"))
+    at = F.col("doc_id") * 10
+    now = f.filter("doc_id % 5 <> 0").select("path", "size", at.alias("mtime"), at.alias("ctime"))
+    later = lambda k: at + F.when(F.col("doc_id") % k == 0, 1).otherwise(0)
+    before = f.filter("doc_id % 3 <> 0").select("path", "size", later(4).alias("mtime"), later(7).alias("ctime"))
     return scan.merge_cache(now, before)
 
 
@@ -102,7 +104,7 @@ def skill_index(spark, sf_dir):
 
 
 def top_domain(spark, sf_dir):
-    return rollups.top_domain(views.files(spark, sf_dir).filter("doc_id % 3 = 1").select("path", F.col("doc_id").alias("ord")))
+    return rollups.top_domain(views.files(spark, sf_dir).select("path", F.col("doc_id").alias("ord")))
 
 
 def cross_domain_deps(spark, sf_dir):
@@ -249,11 +251,11 @@ def sync_report(spark, sf_dir):
 
 
 def dot_lines(spark, sf_dir):
-    return exporting.dot(views.nodes(spark, sf_dir), views.edges(spark, sf_dir))
+    return exporting.dot(views.nodes(spark, sf_dir), views.edges(spark, sf_dir)).select("part", "line")
 
 
 def graphml_lines(spark, sf_dir):
-    return exporting.graphml(views.nodes(spark, sf_dir), views.edges(spark, sf_dir))
+    return exporting.graphml(views.nodes(spark, sf_dir), views.edges(spark, sf_dir)).select("part", "line")
 
 
 def file_list(spark, sf_dir):

@@ -17,9 +17,9 @@ from ..functions.paths import DEFAULT_IGNORES, extname, ignored, kind, rule_line
 SCAN_SCHEMA = "path string, ext string, size long, hash string, kind string"
 
 
-def walk(root: str, rules: list[str]) -> Iterator[tuple[str, int, int]]:
-    """(path, size, mtime in ms) of regular files below root; dotfiles too, links not."""
-    for folder, names, files in os.walk(root):
+def walk(root: str, rules: list[str], below: str = ".") -> Iterator[tuple[str, int, int, int]]:
+    """(path, size, mtime, ctime in ms) of regular files below a folder of root; dotfiles too, links not."""
+    for folder, names, files in os.walk(os.path.join(root, below)):
         rel = os.path.relpath(folder, root).replace(os.sep, "/")
         inside = lambda n: n if rel == "." else f"{rel}/{n}"  # noqa: E731,B023
         names[:] = [n for n in names if not is_ignored(inside(n), rules) and not os.path.islink(os.path.join(folder, n))]
@@ -27,7 +27,7 @@ def walk(root: str, rules: list[str]) -> Iterator[tuple[str, int, int]]:
             full = os.path.join(folder, n)
             if not os.path.islink(full) and os.path.isfile(full) and not is_ignored(inside(n), rules):
                 at = os.stat(full)
-                yield inside(n), at.st_size, at.st_mtime_ns // 1_000_000
+                yield inside(n), at.st_size, at.st_mtime_ns // 1_000_000, at.st_ctime_ns // 1_000_000
 
 
 def is_ignored(path: str, rules: list[str]) -> bool:
@@ -51,8 +51,22 @@ def ignore_rules(root: str, name: str = ".scanignore") -> list[str]:
 
 
 def list_project(spark: SparkSession, root: str, ignore_name: str = ".scanignore") -> DataFrame:
-    """(path, size, mtime) of a tree that the driver sees."""
-    return spark.createDataFrame(list(walk(root, ignore_rules(root, ignore_name))), "path string, size long, mtime long")
+    """(path, size, mtime, ctime) of a tree; each folder at its top is listed by a task, which sees the tree too."""
+    rules = ignore_rules(root, ignore_name)
+    kinds = "path string, size long, mtime long, ctime long"
+    tops = sorted(e.name for e in os.scandir(root) if e.is_dir(follow_symlinks=False) and not is_ignored(e.name, rules))
+    own = [(e.name, at.st_size, at.st_mtime_ns // 1_000_000, at.st_ctime_ns // 1_000_000) for e in os.scandir(root) if e.is_file(follow_symlinks=False) and not is_ignored(e.name, rules) for at in [e.stat()]]
+    found = spark.createDataFrame(own, kinds)
+    if not tops:
+        return found
+
+    def each(frames):
+        for pdf in frames:
+            for top in pdf["top"]:
+                yield pd.DataFrame(list(walk(root, rules, top)), columns=["path", "size", "mtime", "ctime"])
+
+    dealt = spark.createDataFrame([(t,) for t in tops], "top string").repartition(min(len(tops), 4 * spark.sparkContext.defaultParallelism), "top")
+    return found.union(dealt.mapInPandas(each, kinds))
 
 
 def read_contents(listing: DataFrame, root: str) -> DataFrame:
@@ -76,19 +90,23 @@ def scan_project(spark: SparkSession, root: str, previous: DataFrame | None = No
     """The scan of a tree; content is read only where the previous scan can't be reused."""
     listing = list_project(spark, root, ignore_name)
     if previous is None:
-        return classify(read_contents(listing, root)).join(listing.select("path", "mtime"), "path")
+        return classify(read_contents(listing, root)).join(listing.select("path", "mtime", "ctime"), "path")
     fresh = merge_cache(listing, previous)
     todo = listing.join(fresh.filter("status = 'stale'").select("path"), "path", "left_semi")
-    new = classify(read_contents(todo, root)).join(todo.select("path", "mtime"), "path")
-    kept = previous.join(fresh.filter("status = 'reused'").select("path"), "path", "left_semi").select("path", "ext", "size", "hash", "kind", "mtime")
+    new = classify(read_contents(todo, root)).join(todo.select("path", "mtime", "ctime"), "path")
+    kept = previous.join(fresh.filter("status = 'reused'").select("path"), "path", "left_semi").select("path", "ext", "size", "hash", "kind", "mtime", "ctime")
     return kept.union(new.select(kept.columns))
 
 
 def merge_cache(listing: DataFrame, previous: DataFrame) -> DataFrame:
-    """(path, status): reused where size and mtime are as before, stale, or evicted if gone."""
-    now, old = listing.select("path", "size", "mtime"), previous.select("path", F.col("size").alias("old_size"), F.col("mtime").alias("old_mtime"))
+    """(path, status): reused where size, mtime and ctime are as before, stale, or evicted if gone."""
+    stamps = ("size", "mtime", "ctime")
+    now, old = listing.select("path", *stamps), previous.select("path", *(F.col(c).alias(f"old_{c}") for c in stamps))
     both = now.join(old, "path", "full_outer")
-    status = F.when(F.col("size").isNull(), "evicted").when((F.col("size") == F.col("old_size")) & (F.col("mtime") == F.col("old_mtime")), "reused").otherwise("stale")
+    same = F.lit(True)
+    for c in stamps:
+        same = same & (F.col(c) == F.col(f"old_{c}"))
+    status = F.when(F.col("size").isNull(), "evicted").when(same, "reused").otherwise("stale")
     return both.select("path", status.alias("status"))
 
 
