@@ -19,11 +19,17 @@ SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js")
 EXTERNAL = r"(?i)^(@[a-z0-9][\w.-]*/)?[a-z0-9][\w.-]*"
 
 
+#: What the extractors' results depend on beside a file's content; raise it when they change.
+PARSER_VERSION = "1"
+
+
 @dataclass
 class Graph:
     nodes: DataFrame
     edges: DataFrame
     imported: DataFrame  # (path, target, ord): resolved imports of each file
+    fragments: DataFrame  # what was found in each file, to be given to the next build
+    cached: DataFrame  # (status, n): files reused and reparsed
 
     def stats(self) -> DataFrame:
         by = lambda df, part: df.groupBy("type").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "type", "n")
@@ -121,16 +127,51 @@ def resolve_names(wanted: DataFrame, symbols: DataFrame, imported: DataFrame) ->
     return wanted.join(best, ["path", "name"]).withColumn("target", symbol_id(F.col("home"), F.col("name"))).drop("home")
 
 
-def build_graph(files: DataFrame, with_calls: bool = False, with_references: bool = False, aliases: DataFrame | None = None, rules: list[dict] | None = None) -> Graph:
-    """The structural graph of files (path, kind, content)."""
+def parse_fragments(code: DataFrame, names: bool = True) -> DataFrame:
+    """What the extractors find in code files (path, hash, content), as rows of one table.
+
+    part says what a row is: file (one for each), symbol, import, heritage and, with
+    `names`, call and reference.
+    """
+    source = settle(extraction.lines(code.select("path", "content")))
+    found = {"symbol": extraction.declarations(source), "import": extraction.imports(source), "heritage": extraction.heritage(source)}
+    if names:
+        found |= {"call": extraction.calls(source), "reference": extraction.references(source)}
+    out = code.select("path", F.lit("file").alias("part"))
+    for part, df in found.items():
+        out = out.unionByName(df.withColumn("part", F.lit(part)), allowMissingColumns=True)
+    return out.join(code.select("path", "hash"), "path").withColumn("version", F.lit(PARSER_VERSION))
+
+
+def _fragments(files: DataFrame, before: DataFrame | None, names: bool) -> tuple[DataFrame, DataFrame]:
+    """(fragments of all code files, (status, n)); those of unchanged files come from `before`."""
+    held = files if "hash" in files.columns else files.withColumn("hash", F.sha2(F.col("content").cast("binary"), 256))
+    code = held.filter("kind in ('code', 'test')").select("path", "hash", "content")
+    count = lambda df, status: df.agg(F.count("*").alias("n")).select(F.lit(status).alias("status"), "n")
+    if before is None:
+        found = settle(parse_fragments(code, names))
+        return found, count(found.filter("part = 'file'"), "reparsed").union(count(found.filter("false"), "reused"))
+    good = before.filter(F.col("version") == PARSER_VERSION).join(code.select("path", "hash"), ["path", "hash"], "left_semi")
+    todo = code.join(good.filter("part = 'file'").select("path", "hash"), ["path", "hash"], "left_anti")
+    fresh = settle(parse_fragments(todo))
+    found = settle(good.unionByName(fresh))
+    return found, count(fresh.filter("part = 'file'"), "reparsed").union(count(good.filter("part = 'file'"), "reused"))
+
+
+def build_graph(files: DataFrame, with_calls: bool = False, with_references: bool = False, aliases: DataFrame | None = None, rules: list[dict] | None = None, fragments: DataFrame | None = None) -> Graph:
+    """The structural graph of files (path, kind, content[, hash]).
+
+    fragments is the table of an earlier build: files whose path, content hash and
+    parser version are in it are not parsed again.
+    """
     from ..plans.views import folder_edges
 
     paths = files.select("path")
-    source = settle(extraction.lines(files.filter("kind in ('code', 'test')")))
-    symbols = settle(extraction.declarations(source))
-    resolved = settle(resolve_imports(paths, extraction.imports(source), aliases, rules))
+    found, cached = _fragments(files, fragments, with_calls or with_references or fragments is not None)
+    symbols = found.filter("part = 'symbol'").select("path", "line_no", "kind", "name", "exported")
+    resolved = settle(resolve_imports(paths, found.filter("part = 'import'").select("path", "line_no", "source", "specifiers"), aliases, rules))
     imported = resolved.filter("target is not null").groupBy("path", "target").agg(F.min("line_no").alias("ord"))
-    parents = extraction.heritage(source)
+    parents = found.filter("part = 'heritage'").select("path", "line_no", "ord", "kind", "child", "parent")
     lang = language(F.col("path"))
     nodes = _node(files, id=file_id(F.col("path")), type=F.lit("file"), label=basename(F.col("path")), path=F.col("path"), kind=F.col("kind"), lang=lang)
     nodes = nodes.union(_node(symbols, id=symbol_id(F.col("path"), F.col("name")), type=F.lit("symbol"), label=F.col("name"), path=F.col("path"), kind=F.col("kind"), lang=lang, exported=F.col("exported"), line=F.col("line_no")))
@@ -143,12 +184,12 @@ def build_graph(files: DataFrame, with_calls: bool = False, with_references: boo
     kin = resolve_names(parents.withColumnRenamed("parent", "name"), symbols, imported)
     edges = edges.union(_edge(kin, symbol_id(F.col("path"), F.col("child")), F.col("target"), F.col("kind")))
     if with_calls or with_references:
-        called = settle(extraction.calls(source))
+        called = found.filter("part = 'call'").select("path", "line_no", "name")
         if with_calls:
             edges = edges.union(_edge(resolve_names(called, symbols, imported), file_id(F.col("path")), F.col("target"), "calls"))
         if with_references:
             handled = called.select("path", "name").union(parents.select("path", "parent")).distinct()
-            rest = extraction.references(source).join(handled, ["path", "name"], "left_anti")
+            rest = found.filter("part = 'reference'").select("path", "line_no", "name").join(handled, ["path", "name"], "left_anti")
             edges = edges.union(_edge(resolve_names(rest, symbols, imported), file_id(F.col("path")), F.col("target"), "references"))
     edges = edges.distinct().withColumn("weight", default_weight(F.col("type")))
-    return Graph(nodes, edges, imported)
+    return Graph(nodes, edges, imported, found, cached)

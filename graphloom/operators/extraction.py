@@ -7,7 +7,9 @@ fits decides. All of it runs in the JVM.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,6 +175,66 @@ def references(source: DataFrame) -> DataFrame:
     return source.filter(F.col("language").isin(*JS, "python") & ~skip).select("path", "line_no", F.explode(found).alias("name"))
 
 
+# -- parser engines ---------------------------------------------------------------
+
+
+class Engine(Protocol):
+    """A parser that can take the place of the line patterns; it is sent to the tasks."""
+
+    def load_grammar(self, language: str) -> None: ...
+
+    def parse(self, source: str, language: str) -> object: ...
+
+    def capture(self, tree: object, language: str) -> list[tuple[str, str, int, bool]]: ...
+
+
+_CAPTURES = "array<struct<kind:string,name:string,line_no:long,exported:boolean>>"
+
+
+def parse_files(files: DataFrame, engine: Engine | None = None) -> DataFrame:
+    """(path, ok, language, engine, reason, captures) of files (path, content), by an engine or the line patterns.
+
+    reason says why a file has no captures: unsupported_language, grammar_unavailable
+    or parse_failed (its content can't be read, or the engine fails on it). With an
+    engine only captures are found.
+    """
+    named = files.select("path", "content", language(F.col("path")).alias("language"))
+    known = named.filter("language is not null and content is not null")
+    if engine is None:
+        found = declarations(lines(known.select("path", "content"))).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "kind", "name", "exported"))).alias("found"))
+        captures = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["name"].alias("name"), x["line_no"].alias("line_no"), x["exported"].alias("exported")))
+        parsed = known.select("path").join(found, "path", "left").select("path", F.lit(None).cast("string").alias("failed"), captures.alias("captures"))
+    else:
+
+        def each(frames):
+            loaded: dict[str, bool] = {}
+            for pdf in frames:
+                rows = []
+                for path, content, lang in zip(pdf["path"], pdf["content"], pdf["language"], strict=True):
+                    if lang not in loaded:
+                        try:
+                            engine.load_grammar(lang)
+                            loaded[lang] = True
+                        except Exception:  # noqa: BLE001 - whatever an engine raises is its reason to fall back
+                            loaded[lang] = False
+                    if not loaded[lang]:
+                        rows.append((path, "grammar_unavailable", []))
+                        continue
+                    try:
+                        got = engine.capture(engine.parse(content, lang), lang)
+                        rows.append((path, None, [dict(zip(("kind", "name", "line_no", "exported"), c, strict=True)) for c in got]))
+                    except Exception:  # noqa: BLE001
+                        rows.append((path, "parse_failed", []))
+                yield pd.DataFrame(rows, columns=["path", "failed", "captures"])
+
+        parsed = known.mapInPandas(each, f"path string, failed string, captures {_CAPTURES}")
+    reason = F.when(F.col("language").isNull(), "unsupported_language").when(F.col("content").isNull(), "parse_failed").otherwise(F.col("failed"))
+    none = F.array().cast(_CAPTURES)
+    out = named.join(parsed, "path", "left").withColumn("reason", reason)
+    used = F.when(F.col("reason").isNull(), F.lit("lines" if engine is None else type(engine).__name__)).otherwise("none")
+    return out.select("path", F.col("reason").isNull().alias("ok"), "language", used.alias("engine"), "reason", F.coalesce("captures", none).alias("captures"))
+
+
 # -- endpoints ----------------------------------------------------------------
 
 # HTTP methods and endpoint patterns.

@@ -34,6 +34,22 @@ def pack(scored: DataFrame, budget: int | Column) -> DataFrame:
     return x.select("pack_id", "path", "score", mode.alias("mode"), reason.alias("reason"), "tokens", "hash", "estimated")
 
 
+#: Lines of a file that an excerpt shows.
+EXCERPT_LINES = 50
+
+
+def with_content(packed: DataFrame, contents: DataFrame) -> DataFrame:
+    """packed without what it left out, and what each file shows: all of it, its first lines, or its name.
+
+    contents: (path, content). A file that has none shows null.
+    """
+    held = packed.filter("mode <> 'excluded'").join(contents.select("path", "content"), "path", "left")
+    head = F.concat(F.array_join(F.slice(F.split("content", "\n"), 1, EXCERPT_LINES), "\n"), F.lit("\n// ... (excerpt)"))
+    note = F.concat(F.lit("// Summary: "), "path", F.lit(" - "), "reason")
+    shown = F.when(F.col("content").isNull(), None).when(F.col("mode") == "full", F.col("content")).when(F.col("mode") == "excerpt", head).otherwise(note)
+    return held.select(*packed.columns, shown.alias("shown"))
+
+
 def token_ledger(files: DataFrame, packed: DataFrame) -> DataFrame:
     """One row: tokens of all files, of the pack, and what the pack saves."""
     base = files.agg(F.sum(F.greatest(F.lit(20), F.ceil(F.coalesce("size", F.lit(500)) / 4))).cast("long").alias("baseline"), F.count("*").alias("baseline_files"))

@@ -142,14 +142,23 @@ def manifest(entries: DataFrame, packed: DataFrame, prefixes: tuple[str, ...] =
     that the name spells.
     """
     touched = packed.agg(F.array_sort(F.collect_set(structural_domain(F.col("path")))).alias("touched"))
-    met = entries.crossJoin(F.broadcast(touched))
+    return match_entries(entries.crossJoin(F.broadcast(touched)), [], prefixes).drop("globs")
+
+
+def match_entries(met: DataFrame, keys: list[str], prefixes: tuple[str, ...] = ("domain-", "ctx-")) -> DataFrame:
+    """(keys, path, name, matched, match_type, reason, globs) of entries beside the domains touched.
+
+    globs are the patterns of a rule's own domains that are touched, where they made
+    it match.
+    """
     own = F.coalesce("domains", F.array().cast("array<string>"))
     hit = F.get(F.filter(own, lambda d: F.array_contains("touched", d)), F.lit(0))
     spelled = F.replace(F.regexp_extract("name", f"^(?:{'|'.join(prefixes)})(.+)$", 1), F.lit("-"), F.lit("/"))
     by_name = F.when((F.size(own) == 0) & F.col("is_skill") & (spelled != "") & F.array_contains("touched", spelled), spelled)
     kind = F.when(F.col("always_apply"), "alwaysApply").when(hit.isNotNull(), "domain").when(by_name.isNotNull(), "explicit")
     reason = F.when(F.col("always_apply"), "skill marked alwaysApply").when(F.coalesce(hit, by_name).isNotNull(), F.concat(F.lit("task touches "), F.coalesce(hit, by_name))).otherwise("domain not touched")
-    return met.select("path", "name", kind.isNotNull().alias("matched"), kind.alias("match_type"), reason.alias("reason"))
+    globs = F.when((kind == "domain") & ~F.col("is_skill"), F.array_sort(F.transform(F.filter(own, lambda d: F.array_contains("touched", d)), lambda d: F.concat(d, F.lit("/**")))))
+    return met.select(*keys, "path", "name", kind.isNotNull().alias("matched"), kind.alias("match_type"), reason.alias("reason"), globs.alias("globs"))
 
 
 # -- neighbourhoods ----------------------------------------------------------

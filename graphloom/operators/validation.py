@@ -40,7 +40,12 @@ SCHEMAS: dict[str, list[Rule]] = {
     "scan": [Rule("path", True, "^.+$"), Rule("size", True, at_least=0), Rule("hash", True, "^[0-9a-f]{64}$"), Rule("kind", True, one_of=["code", "config", "doc", "asset", "test", "schema", "unknown"])],
     "nodes": [Rule("id", True, "^(file|symbol|folder|package|external-symbol|domain|layer|endpoint|flow|step|concept):.+$"), Rule("type", True), Rule("label", True)],
     "edges": [Rule("src", True), Rule("dst", True), Rule("type", True), Rule("weight", at_least=0)],
-    "pack": [Rule("path", True), Rule("mode", True, one_of=["full", "excerpt", "summary"]), Rule("reason", True, one_of=["seed", "direct_import", "transitive_dep", "test_for", "manual"])],
+    "subset": [Rule("change_id", True, "^[a-zA-Z0-9._-]+$"), Rule("n_nodes", True, at_least=0), Rule("n_edges", True, at_least=0), Rule("depth", True, at_least=0), Rule("mode", one_of=["compact", "full"])],
+    "ledger": [Rule("baseline", True, at_least=0), Rule("packed", True, at_least=0), Rule("baseline_files", at_least=0), Rule("packed_files", at_least=0), *(Rule(f"n_{m}", at_least=0) for m in ("full", "excerpt", "summary"))],
+    "plan": [Rule("task", True, at_least=1), Rule("path", True, "^.+$"), Rule("max_loc", True, at_least=1), Rule("max_files", at_least=1), Rule("status", one_of=["plan_only", "approved_for_edit", "rejected", "completed"])],
+    "manifest": [Rule("path", True), Rule("name", True), Rule("reason", True), Rule("match_type", one_of=["domain", "alwaysApply", "explicit"])],
+    "spec": [Rule("change_id", True, "^[a-z0-9][a-z0-9-]*$"), Rule("path", True, "^.+$"), Rule("reason", True), Rule("mode", True, one_of=["full", "excerpt", "summary"]), Rule("domain", True, "^.+$")],
+    "pack": [Rule("path", True), Rule("mode", True, one_of=["full", "excerpt", "summary"]), Rule("reason", True, one_of=["seed", "direct_import", "transitive_dep", "test_for", "referenced_symbol", "called_by_seed", "manual"])],
 }
 
 

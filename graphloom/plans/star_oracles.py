@@ -107,6 +107,27 @@ def _pack(source: str, budget: str) -> list[str]:
 
 
 MANY = "many as (select source as pack_id, path, cast((doc_id * 7919) % 1009 as double) as score, cast(greatest(20, ceil(coalesce(size, 500) / 4)) as bigint) as tokens, doc_id % 31 = 0 as is_seed, hash from files)"
+CONTEXT = [*_rank_steps(ITERATIONS, UNIFORM), SCORED, "best as (select 0 as pack_id, * from scored order by score desc, path limit 50)", *_pack("best", "8000")]
+ENTRIES = """entries as (select * from (values ('s/a.md', 'a', ['packages/src1', 'packages/src2'], false, true, ''), ('s/b.md', 'domain-packages-src3', [], false, true, 'packages/src3'), ('s/c.md', 'always', [], true, true, ''),
+  ('r/d.md', 'd', ['packages/src2', 'packages/src0', 'other'], false, false, ''), ('r/e.md', 'ctx-packages-src1', [], false, false, '')) t(path, name, domains, always, is_skill, spelled))"""
+FOCUS = "focus as (select 'change-' || split_part(path, '/', 3) as change_id, path, id, domain, case when split_part(path, '/', 3) in ('de', 'fr') then 'full' else 'compact' end as mode from files where doc_id % 40 = 1)"
+
+
+def _manifest(touched: str, keys: str = "", globs: bool = False) -> str:
+    """Entries beside touched (keys, touched)."""
+    hit = "list_filter(domains, lambda d: list_contains(touched, d))[1]"
+    explicit = "case when len(domains) = 0 and is_skill and spelled <> '' and list_contains(touched, spelled) then spelled end"
+    match = f"case when always then 'alwaysApply' when {hit} is not null then 'domain' when {explicit} is not null then 'explicit' end"
+    return f"""select {keys}path, name, {match} is not null as matched, {match} as match_type,
+      case when always then 'skill marked alwaysApply' when coalesce({hit}, {explicit}) is not null then 'task touches ' || coalesce({hit}, {explicit}) else 'domain not touched' end as reason
+      {f", case when not always and {hit} is not null and not is_skill then array_to_string(list_sort(list_transform(list_filter(domains, lambda d: list_contains(touched, d)), lambda d: d || '/**')), ',') end as globs" if globs else ""}
+      from entries, {touched}"""
+
+
+def _change_reach(edges: str) -> list[str]:
+    return [BOTH.format(edges), "c0 as (select distinct change_id, id from focus)", "c1 as (select * from c0 union select change_id, y from c0 join sym on x = id)"]
+
+
 BOTH = "sym as (select src as x, dst as y from {0} union select dst, src from {0})"
 
 
@@ -204,7 +225,40 @@ SQL: dict[str, str] = {
     "token_ledger": _with("""select *, baseline - packed as saved, round((baseline - packed) * 100 / baseline, 2) as percent, round(baseline / packed, 2) as ratio from
       (select cast(sum(greatest(20, ceil(coalesce(size, 500) / 4))) as bigint) as baseline, count(*) as baseline_files from files),
       (select coalesce(max(estimated), 0) as packed, count(*) as packed_files, count(*) filter (mode = 'full') as n_full, count(*) filter (mode = 'excerpt') as n_excerpt, count(*) filter (mode = 'summary') as n_summary from packed where mode <> 'excluded')""",
-        MANY, "one as (select * from many where pack_id = 'src1')", *_pack("one", "5000")),
+        *CONTEXT),
+    "context_content": _with("""select p.path, mode, length(shown) as n_chars, sha256(shown) as shown_sha256 from (
+        select path, mode, case when text is null then null when mode = 'full' then text when mode = 'excerpt' then array_to_string(string_split(text, chr(10))[1:50], chr(10)) || chr(10) || '// ... (excerpt)' else '// Summary: ' || path || ' - ' || reason end as shown
+        from packed join files using (path) join documents using (doc_id) where mode <> 'excluded') p""", *CONTEXT),
+    "spec_parts": _with("""select 'domain' as part, 'name' as key, (select domain from top) as value union all select 'budget', 'most', '8000' union all select 'budget', 'used', cast(coalesce(max(estimated), 0) as varchar) from kept
+      union all select 'file', path, reason || '|' || mode || '|' || """ + KEBAB.format("regexp_replace(regexp_extract(path, '[^/]*$'), '\\.(ts|py)$', '')") + """ from kept
+      union all select case when x.domain = (select domain from top) then 'depends_on' else 'used_by' end, case when x.domain = (select domain from top) then y.domain else x.domain end, cast(count(*) as varchar)
+        from fe join files x on x.id = src join files y on y.id = dst where type = 'imports' and x.domain <> y.domain and (select domain from top) in (x.domain, y.domain) group by all
+      union all select distinct 'touches domain', 'domain:' || source, source from kept join files using (path)""",
+        *CONTEXT, "kept as (select * from packed where mode <> 'excluded')", "top as (select domain from (select domain, count(*) as n, min(path) as o from kept join files using (path) group by domain order by n desc, o limit 1))"),
+    "select_agent_context": _with(_manifest("t"), *CONTEXT, ENTRIES, "t as (select list(distinct domain) as touched from packed join files using (path) where mode <> 'excluded')"),
+    "change_manifests": _with(_manifest("t", "change_id, ", True), ENTRIES, FOCUS, "t as (select change_id, list(distinct domain) as touched from focus group by change_id)"),
+    "change_graph_stats": _with("""select change_id, 'node' as part, type, count(*) as n from nodes join c1 using (id) group by change_id, type
+      union all select a.change_id, 'edge', type, count(*) from edges join c1 a on a.id = src join c1 b on b.id = dst and b.change_id = a.change_id group by a.change_id, type""", FOCUS, *_change_reach("edges")),
+    "change_refresh": _with("""select change_id, 'refreshed' as state, (select count(*) from c1 join nodes using (id) where c1.change_id = f.change_id) as n_nodes,
+        (select count(*) from fe join c1 a on a.id = src join c1 b on b.id = dst where a.change_id = f.change_id and b.change_id = f.change_id) as n_edges from (select distinct change_id from focus) f
+      union all values ('empty', 'skipped', null, null), ('none', 'skipped', null, null)""", FOCUS, *_change_reach("fe")),
+    "artifact_status": _with("""select 'scan' as name, true as present, cast(67 as bigint) as age_minutes, count(*) || ' files' as detail from files
+      union all select 'graph', true, 17, (select count(*) from edges) || ' edges, ' || (select count(*) from nodes) || ' nodes' union all select 'plan', true, 2, 'status: plan_only' union all select 'pack', false, null, 'not found'"""),
+    "visible_nodes": _with("""select n.id, n.type, n.label, n.path, f.doc_id is not null and f.doc_id % 9 = 0 as in_pack, case when f.doc_id % 9 = 0 then 'seed' end as reason, case when f.doc_id % 9 = 0 then 'full' end as mode,
+      case when f.id is not null then 'grp:' || f.domain || coalesce('/' || nullif(regexp_replace(f.path[length(f.domain) + 2:], '/?[^/]*$', ''), ''), '') end as parent from nodes n left join files f using (id)"""),
+    "visible_edges": _with("select src, dst, type, weight from edges where src in (select id from v) and dst in (select id from v)", "v as (select id from nodes where type <> 'file' union select id from files where doc_id % 9 = 0)"),
+    "legend_counts": _with("""select 'kind' as legend, kind as entry, count(*) as n from nodes where kind is not null group by kind union all select 'node', 'in pack', count(*) from files where doc_id % 9 = 0 having count(*) > 0
+      union all select 'edge', type, count(*) from edges group by type"""),
+    "closed_neighbourhood": _with("select 'domain:src2' as id union select src from edges where dst = 'domain:src2' union select dst from edges where src = 'domain:src2'"),
+    "file_summaries": _with("""select id, cast(0 as bigint) as defines, (select count(*) from fe where src = id and type = 'imports') as imports, (select count(*) from fe where dst = id and type = 'imports') as imported_by,
+      (select count(*) from fe where dst = id and type = 'tests') as tested_by from files"""),
+    "group_leaves": _with("""select 'grp:' || domain as "group", cast(null as varchar) as parent, count(*) as n_leaves from files group by domain
+      union all select 'grp:' || domain || '/' || split_part(path, '/', 3), 'grp:' || domain, count(*) from files group by domain, split_part(path, '/', 3)"""),
+    "viewer_payload": _with("""select 'node' as part, '{"id":"' || id || '","type":"' || type || '"}' as line from nodes union all select 'edge', '{"src":"' || src || '","dst":"' || dst || '","type":"' || type || '"}' from edges"""),
+    "artifact_constraints": _with("""select artifact, "column", problem, count(*) as n from (
+      select 'plan' as artifact, 'task' as "column", 'minimum' as problem from files where doc_id % 5 = 0 union all select 'plan', 'path', 'required' from files where doc_id % 7 = 0 union all select 'plan', 'max_loc', 'minimum' from files where doc_id % 3 = 0
+      union all select 'plan', 'status', 'enum' from files where doc_id % 11 = 0 union all select 'spec', 'change_id', 'pattern' from files where doc_id % 13 = 0 union all select 'spec', 'mode', 'enum' from files where doc_id % 17 = 0
+      union all select 'spec', 'domain', 'pattern' from files) group by all"""),
     "change_nodes": _with("select id, type from nodes where id in (select id from h2)", *_reach("fe", 2)),
     "change_edges": _with("select * from edges where type <> 'belongs_to_domain' and src in (select id from h1) and dst in (select id from h1)", *_reach("fe", 1)),
     "change_stats": _with("select 'node' as part, type, count(*) as n from nodes where id in (select id from h1) group by type union all select 'edge', type, count(*) from edges where src in (select id from h1) and dst in (select id from h1) group by type", *_reach("edges", 1)),
@@ -214,7 +268,7 @@ SQL: dict[str, str] = {
       where ({_glob_any(["**/*.html", "en/9*"])}) or not ({_glob_any(["en/**", "fr/?*", "de/1*"])})
       union all select 'maxLocDelta', null, '1200 > 1000' union all select 'maxFilesChanged', null, count(*) || ' > 50' from u having count(*) > 50""", "u as (select distinct path from urls where path <> '')"),
     "plan_tasks": _with("select row_number() over (order by path) as task, path, greatest(1, least(1000, 50 * count(*) over ())) as max_loc, count(*) over () + 2 as max_files from packed where mode in ('full', 'excerpt') and path in (select path from files where doc_id % 2 = 0)",
-        MANY, "one as (select * from many where pack_id = 'src2')", *_pack("one", "6000")),
+        *CONTEXT),
     "neighbors": _with("""select distinct * from (
         select case type when 'imports' then 'imports' else 'tests' end as section, dst[6:] as item from fe where src = (select id from me)
         union all select case type when 'imports' then 'imported_by' else 'tested_by' end, src[6:] from fe where dst = (select id from me)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
-from ..operators import exporting, guardrails, packing, ranking, rendering, rollups, subgraph, validation
+from ..operators import changes, exporting, guardrails, packing, ranking, rendering, rollups, subgraph, validation, viewing
 from ..sources import scan
 from . import views
+from .session import settle
 from .views import table
 
 TASK = "Fix the src1 billing import bug in src12"
@@ -170,9 +171,22 @@ def packer(spark, sf_dir):
     return packing.pack(_packs(spark, sf_dir), F.conv(F.substring(F.md5("pack_id"), 1, 4), 16, 10).cast("long") % 12000).select("pack_id", "path", "mode", "reason", "estimated")
 
 
+def _context(spark, sf_dir):
+    """The flagship pack, settled, as several queries start from it."""
+    f = views.files(spark, sf_dir)
+    return settle(ranking.select_context(views.nodes(spark, sf_dir), views.edges(spark, sf_dir), f.select("path", "size"), 8000, task=TASK, iterations=ITERATIONS))
+
+
 def token_ledger(spark, sf_dir):
-    packed = packing.pack(_packs(spark, sf_dir).filter("pack_id = 'src1'"), 5000)
-    return packing.token_ledger(views.files(spark, sf_dir), packed)
+    return packing.token_ledger(views.files(spark, sf_dir), _context(spark, sf_dir))
+
+
+def context_content(spark, sf_dir):
+    """The pack with what it shows of each file."""
+    f = views.files(spark, sf_dir).select("doc_id", "path")
+    contents = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")).join(f, "doc_id")
+    shown = packing.with_content(_context(spark, sf_dir), contents)
+    return shown.select("path", "mode", F.length("shown").alias("n_chars"), F.sha2(F.col("shown").cast("binary"), 256).alias("shown_sha256"))
 
 
 def change_nodes(spark, sf_dir):
@@ -204,9 +218,8 @@ def guardrail_violations(spark, sf_dir):
 
 
 def plan_tasks(spark, sf_dir):
-    packed = packing.pack(_packs(spark, sf_dir).filter("pack_id = 'src2'"), 6000)
     focus = views.files(spark, sf_dir).filter("doc_id % 2 = 0").select("path")
-    return guardrails.derive_plan(packed, focus)
+    return guardrails.derive_plan(_context(spark, sf_dir), focus)
 
 
 def neighbors(spark, sf_dir):
@@ -280,10 +293,95 @@ def url_shapes(spark, sf_dir):
     return u.select("page_id", paths.basename(p).alias("base"), paths.dirname(p).alias("dir"), paths.extname(p).alias("ext"), paths.normalize(F.concat(F.lit("a/./b/../"), p, F.lit("/../x"))).alias("normal"), paths.structural_domain(p).alias("domain"), paths.sub_folder(F.concat(F.lit("packages/p/"), p), F.lit("packages/p")).alias("sub"))
 
 
-def spec_input(spark, sf_dir):
+def spec_parts(spark, sf_dir):
     n, e = views.nodes(spark, sf_dir), views.edges(spark, sf_dir)
-    packed = packing.pack(_packs(spark, sf_dir).filter("pack_id = 'src3'"), 5000)
-    return rendering.spec_input(n, e, packed, "some-change", TASK)
+    return rendering.spec_parts(n, e, _context(spark, sf_dir), 8000)
+
+
+def _entries(spark):
+    rows = [("s/a.md", "a", ["packages/src1", "packages/src2"], False, True), ("s/b.md", "domain-packages-src3", [], False, True), ("s/c.md", "always", None, True, True), ("r/d.md", "d", ["packages/src2", "packages/src0", "other"], False, False), ("r/e.md", "ctx-packages-src1", [], False, False)]
+    return spark.createDataFrame(rows, "path string, name string, domains array<string>, always_apply boolean, is_skill boolean")
+
+
+def select_agent_context(spark, sf_dir):
+    """Which skills and rules a task needs: the pack's domains decide."""
+    return rollups.manifest(_entries(spark), _context(spark, sf_dir).filter("mode <> 'excluded'"))
+
+
+def _focus(spark, sf_dir):
+    """Some files of each language are a change; every other change is a full one."""
+    f = views.files(spark, sf_dir).filter("doc_id % 40 = 1")
+    return f.select(F.concat(F.lit("change-"), "lang_code").alias("change_id"), "path", F.when(F.col("lang_code").isin("de", "fr"), "full").otherwise("compact").alias("mode"))
+
+
+def change_graph_stats(spark, sf_dir):
+    return changes.change_subgraphs(views.nodes(spark, sf_dir), views.edges(spark, sf_dir), _focus(spark, sf_dir), 1).stats()
+
+
+def change_refresh(spark, sf_dir):
+    """Stored changes with new subgraphs; one has no focus."""
+    stored = _focus(spark, sf_dir).groupBy("change_id").agg(F.collect_list("path").alias("focus"), F.max("mode").alias("mode"))
+    stored = stored.union(spark.createDataFrame([("empty", [], None), ("none", None, "full")], "change_id string, focus array<string>, mode string"))
+    graphs, state = changes.refresh(stored, views.nodes(spark, sf_dir), views.edges(spark, sf_dir, False))
+    return state.join(graphs.totals(), "change_id", "left")
+
+
+def change_manifests(spark, sf_dir):
+    found = changes.change_manifests(_entries(spark), _focus(spark, sf_dir))
+    return found.withColumn("globs", F.array_join("globs", ","))
+
+
+def artifact_status(spark, sf_dir):
+    f, e = views.files(spark, sf_dir), views.edges(spark, sf_dir)
+    known = f.agg(F.count("*").alias("n")).select(F.lit("scan").alias("name"), F.lit(1_000_000).cast("long").alias("mtime_ms"), F.create_map(F.lit("files"), "n").alias("counts"), F.lit(None).cast("string").alias("value"))
+    n = views.nodes(spark, sf_dir).agg(F.count("*").alias("nodes")).crossJoin(e.agg(F.count("*").alias("edges")))
+    graph = n.select(F.lit("graph"), F.lit(4_000_000).cast("long"), F.create_map(F.lit("nodes"), "nodes", F.lit("edges"), "edges"), F.lit(None).cast("string"))
+    plan = spark.createDataFrame([("plan", 4_900_000, None, "status: plan_only"), ("pack", None, None, None)], "name string, mtime_ms long, counts map<string,long>, value string")
+    return changes.artifact_status(known.union(graph).union(plan), 5_000_000)
+
+
+def _some_packed(spark, sf_dir):
+    return views.files(spark, sf_dir).filter("doc_id % 9 = 0").select("path", F.lit("seed").alias("reason"), F.lit("full").alias("mode"))
+
+
+def visible_nodes(spark, sf_dir):
+    return viewing.visible(views.nodes(spark, sf_dir), views.edges(spark, sf_dir), _some_packed(spark, sf_dir))[0]
+
+
+def visible_edges(spark, sf_dir):
+    """With packed files only."""
+    return viewing.visible(views.nodes(spark, sf_dir), views.edges(spark, sf_dir), _some_packed(spark, sf_dir), pack_only=True)[1]
+
+
+def legend_counts(spark, sf_dir):
+    return viewing.legend_counts(views.nodes(spark, sf_dir), views.edges(spark, sf_dir), _some_packed(spark, sf_dir))
+
+
+def closed_neighbourhood(spark, sf_dir):
+    return viewing.closed_neighbourhood(views.edges(spark, sf_dir), "domain:src2")
+
+
+def file_summaries(spark, sf_dir):
+    return viewing.file_summaries(views.nodes(spark, sf_dir), views.edges(spark, sf_dir))
+
+
+def group_leaves(spark, sf_dir):
+    return viewing.group_leaves(views.nodes(spark, sf_dir))
+
+
+def viewer_payload(spark, sf_dir):
+    n, e = views.nodes(spark, sf_dir), views.edges(spark, sf_dir)
+    return viewing.payload(n.select("id", "type"), e.select("src", "dst", "type"))
+
+
+def artifact_constraints(spark, sf_dir):
+    """A plan, a spec and a ledger with rows that break their schemas."""
+    f = views.files(spark, sf_dir)
+    k = F.col("doc_id")
+    plan = f.select("doc_id", F.when(k % 5 == 0, 0).otherwise(k + 1).alias("task"), F.when(k % 7 != 0, F.col("path")).alias("path"), (k % 3).alias("max_loc"), F.lit(2).alias("max_files"), F.when(k % 11 == 0, "done").otherwise("plan_only").alias("status"))
+    spec = f.select("doc_id", F.when(k % 13 == 0, "Bad Id").otherwise("some-change").alias("change_id"), "path", F.lit("seed").alias("reason"), F.when(k % 17 == 0, "half").otherwise("full").alias("mode"), F.lit("").alias("domain"))
+    n = lambda df, name: validation.violations(df, validation.SCHEMAS[name], "doc_id").groupBy("column", "problem").agg(F.count("*").alias("n")).select(F.lit(name).alias("artifact"), "column", "problem", "n")
+    return n(plan, "plan").union(n(spec, "spec"))
 
 
 QUERIES = {

@@ -173,11 +173,46 @@ def workspace_aliases(manifests: DataFrame, files: DataFrame) -> DataFrame:
     return tried.join(files.select("path").distinct(), "path", "left_semi").groupBy("name").agg(F.min_by("path", "ord").alias("path"))
 
 
-def enrich(targets: DataFrame, describe: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Targets with a summary from a callable that gets and returns batches (id, summary)."""
+#: Symbols that one request describes.
+ENRICH_BATCH = 12
+# What a description may say of a symbol's complexity.
+COMPLEXITIES = ("low", "medium", "high")
+
+
+def parse_reply(raw: str) -> dict[str, dict]:
+    """Descriptions by id from a reply: a JSON object {"entries": [...]}, whatever text is around it; else nothing."""
+    start, end = raw.find("{"), raw.rfind("}")
+    try:
+        entries = json.loads(raw[start : end + 1]).get("entries") if 0 <= start < end else None
+    except (ValueError, AttributeError):
+        return {}
+    return {str(e["id"]): describe(e) for e in entries or [] if isinstance(e, dict) and e.get("id")}
+
+
+def describe(entry: dict) -> dict:
+    """An entry within bounds: a summary of 200 characters, three lower-case tags, a known complexity."""
+    tags = entry.get("tags")
+    tags = [t.lower().strip() for t in tags if isinstance(t, str)] if isinstance(tags, list) else []
+    complexity = entry.get("complexity")
+    return {"summary": str(entry.get("summary") or "")[:200].strip(), "tags": [t for t in tags if t][:3], "complexity": complexity if complexity in COMPLEXITIES else COMPLEXITIES[0]}
+
+
+def enrich(targets: DataFrame, ask: Callable[[str], str], batch: int = ENRICH_BATCH) -> DataFrame:
+    """targets with summary, tags and complexity from a callable that answers a JSON list of symbols with text.
+
+    Requests are made where the targets' partitions are, `batch` symbols each; a
+    reply that can't be read describes nothing.
+    """
+    sent = [c for c in ("id", "label", "kind", "lang", "exported", "path") if c in targets.columns]
 
     def each(frames):
         for pdf in frames:
-            yield describe(pdf)[["id", "summary"]]
-
-    return targets.join(targets.mapInPandas(each, "id string, summary string"), "id", "left")
+            rows = []
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at : at + batch]
+                asked = json.loads(part[sent].rename(columns={"label": "name"}).to_json(orient="records"))
+                rows += [(i, d["summary"], d["tags"], d["complexity"]) for i, d in parse_reply(ask(json.dumps(asked))).items()]
+            yield pd.DataFrame(rows, columns=["id", "summary", "tags", "complexity"])
+
+    found = targets.mapInPandas(each, "id string, summary string, tags array<string>, complexity string").dropDuplicates(["id"])
+    return targets.join(found, "id", "left")
