@@ -57,7 +57,7 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if again.isEmpty():
         return kept
     once = without(kept, again)
-    return once.union(kept.join(again, F.col("doc_id") == F.col("id"), "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    return once.union(kept.join(again.withColumnRenamed("id", "_again"), F.col("doc_id") == F.col("_again"), "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
