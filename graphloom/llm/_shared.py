@@ -26,8 +26,27 @@ def shared_folder(spark: SparkSession) -> str:
     return re.sub(r"^file:/+", "file:///", named)
 
 
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path in the shared folder; clean_up() removes it."""
+    _MADE.append(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Remove the indexes, archives and stage tables that this process wrote to the shared folder; how many there were.
+
+    To be called when their results have been read: queries are lazy. Checkpoints go
+    with their tables if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    conf, at = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    n = 0
+    while _MADE:
+        path = at(_MADE.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -539,6 +539,44 @@ def test_pipeline_keeps_columns_and_applies_its_decisions(spark, tmp_path):
     assert {r["doc_id"] for r in docs.collect()} == set(before)
 
 
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def staged(spark, tmp_path, benchmark, labels):
+    """A folder with the tables that stages read beside documents."""
+    spark.createDataFrame(benchmark, "item_id long, text string, id string, n_hit int").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int, lang string, text string, score double").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_one_planted_window_is_enough_to_go(spark, tmp_path):
+    items = [(k, " ".join(f"q{k}w{i}" for i in range(12)), "x", 1) for k in range(3)]
+    sf = staged(spark, tmp_path, items, [])
+    filler = " ".join(f"f{i}" for i in range(30))
+    rows = [(1, f"{filler} {' '.join(items[0][1].split()[2:10])} {filler}", "en", "s", 1), (2, f"{filler} {' '.join(items[0][1].split()[2:9])} {filler}", "en", "s", 1), (3, f"{items[1][1]} {items[2][1]}", "en", "s", 1), (4, None, None, None, None), (None, items[1][1], "en", "s", 1)]
+    got = corpus_pipeline.contaminated_out(spark, spark.createDataFrame(rows, DOCUMENT), sf)
+    # a row without an id can't be named, so it stays
+    assert sorted((r["doc_id"] for r in got.collect()), key=str) == [2, 4, None] and got.columns == DOCUMENT.replace(" long", "").replace(" string", "").split(", ")
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_empty_tables_clashing_columns_nulls_and_repeats(spark, tmp_path, name, stage):
+    sf = staged(spark, tmp_path, [(1, "one two three four five six seven eight", "x", 1), (None, None, None, None)], [(1, 1, 0, "en", "t", 0.5), (2, 0, 1, "en", "t", 0.5), (None, None, 1, None, None, None)])
+    more = ", id string, score int, predicted int, kept int, component_id int, size string, held_out int, `key` string, hits int"
+    text = " ".join(f"w{i}" for i in range(70))
+    rows = [(i, t, lang, src, 1, "i", 1, 1, 1, 1, "s", 1, "k", 1) for i, t, lang, src in [(1, text, "en", "a"), (1, text, "en", "a"), (2, text + " x", "en", None), (3, None, None, "a"), (4, "", "en", "a"), (None, text, "en", "a"), (5, "w " * 100_000, "en", "a")]]
+    docs = spark.createDataFrame(rows, DOCUMENT + more)
+    empty = stage(spark, docs.limit(0), sf)
+    assert empty.count() == 0
+    got = stage(spark, docs, sf)
+    if name != "mixing":
+        assert got.columns == docs.columns == empty.columns
+        kept = Counter(r["doc_id"] for r in got.collect())
+        assert kept[None] == 1 and all(n <= 2 for n in kept.values())
+    else:
+        assert got.count() == len(rows) and all(r["taken"] == r["copies"] * r["size"] for r in got.collect())
+
+
 def test_repeated_rows_leave_one(spark):
     rows = [(1, "a b c d e f g", "en", "s", 1)] * 3 + [(2, "a b c d e f g", "en", "s", 1), (3, None, "en", "s", 1), (None, "x", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -546,6 +584,14 @@ def test_repeated_rows_leave_one(spark):
     assert [r[0] for r in got] == [1, 3, None]
 
 
+def test_what_was_written_can_be_removed(spark):
+    from graphloom.llm import _shared
+
+    path = _shared.fresh_path(spark, "probe")
+    spark.range(3).write.parquet(path)
+    assert _shared.clean_up(spark) >= 1 and not os.path.exists(path.removeprefix("file://")) and _shared.clean_up(spark) == 0
+
+
 def test_all_are_registered():
     assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 11))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and set(oracles.SQL) <= set(entry.oracle_sql())
