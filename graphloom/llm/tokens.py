@@ -9,8 +9,9 @@ the driver holds more than a few summaries. It only saves time: counts do not
 depend on it.
 
 Pre-tokens are found by `re` where that agrees with the library's normaliser and
-splitter (texts in Latin letters without control strings); any other text is
-encoded as a whole by the library.
+splitter (texts in Latin letters), and by the library's own elsewhere; both kinds go
+through the two tiers. Only texts that may hold a special token, and all texts of
+tokenizers without a splitter, are encoded as a whole.
 
 Defined results: null and empty texts have 0 tokens; special strings in a text
 count as the library's default has them; texts are never cut; each row keeps its
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 #: Entries of the broadcast table, and of each partial summary.
 TABLE = 1 << 16
 SUMMARY = 1 << 15
-#: Entries of a worker's cache; when full, it is emptied.
+#: Entries of a worker's cache beyond which it is emptied before the next texts (2 MB of them at most, or one text).
 CACHE = 1 << 18
 
 #: Characters for which fast_split() is the same as the library's own splitter:
@@ -72,15 +73,32 @@ class Counter2:
             self._tokenizers[self.path] = made
         return self._tokenizers[self.path]
 
+    def split(self, text: str) -> list[str] | None:
+        """The pre-tokens of a text, or None if only encoding it as a whole is right.
+
+        What the library splits and no tier knows yet is encoded here, as the library's
+        model has it: byte-level pieces are not normalised again.
+        """
+        if (words := fast_split(text)) is not None or _CONTROL in text or self.tokenizer.pre_tokenizer is None:
+            return words
+        tokenizer, table, cache = self.tokenizer, self.table, self.cache
+        plain = tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer is not None else text
+        words = []
+        for piece, (a, z) in tokenizer.pre_tokenizer.pre_tokenize_str(plain):
+            word = plain[a:z]
+            words.append(word)
+            if word not in table and word not in cache:
+                cache[word] = len(tokenizer.model.tokenize(piece))
+        return words
+
     def encode(self, texts: list[str]) -> list[int]:
         return [len(x.ids) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def count(self, texts: list[str]) -> list[int]:
-        split = [fast_split(t) for t in texts]
-        misses = {w for words in split if words for w in set(words) if w not in self.table and w not in self.cache}
-        if len(self.cache) + len(misses) > CACHE:
+        if len(self.cache) > CACHE:
             self.cache.clear()
-            misses = {w for words in split if words for w in set(words) if w not in self.table}
+        split = [self.split(t) for t in texts]
+        misses = {w for words in split if words for w in set(words) if w not in self.table and w not in self.cache}
         todo = sorted(misses)
         for at in range(0, len(todo), 4096):
             part = todo[at : at + 4096]
@@ -97,14 +115,17 @@ def _merge(a: dict[str, int], b: dict[str, int], size: int) -> dict[str, int]:
     return dict(both.most_common(size)) if len(both) > size else dict(both)
 
 
-def frequent_pretokens(docs: DataFrame, text_col: str = "text", size: int = TABLE, summary: int = SUMMARY) -> list[str]:
+def frequent_pretokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", size: int = TABLE, summary: int = SUMMARY) -> list[str]:
     """Up to `size` frequent pre-tokens of all texts, by merged bounded summaries."""
 
     def summarise(batches):
         held: Counter = Counter()
+        splitter = Counter2(tokenizer_path, {})
         for b in batches:
             for text in b.column(0).to_pylist():
-                if text and (words := fast_split(text)):
+                if text and (words := splitter.split(text)):
+                    if len(splitter.cache) > CACHE:
+                        splitter.cache.clear()
                     held.update(words)
                     if len(held) > 8 * summary:
                         held = Counter(dict(held.most_common(summary)))
@@ -118,7 +139,7 @@ def frequent_pretokens(docs: DataFrame, text_col: str = "text", size: int = TABL
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, table_size: int = TABLE) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for each row of docs."""
     spark = docs.sparkSession
-    words = frequent_pretokens(docs, text_col, table_size)
+    words = frequent_pretokens(docs, tokenizer_path, text_col, table_size)
     lengths = Counter2(tokenizer_path, {})
     table = {}
     it = iter(words)

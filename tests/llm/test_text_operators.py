@@ -114,6 +114,24 @@ def test_fast_split_counts_as_the_library_does(texts):
     assert c.count(texts) == c.encode(texts)
 
 
+@given(st.lists(st.text(max_size=40), max_size=6), st.lists(st.text(alphabet="日本語 ни́وبيК̈éİ²٣①😀_'s\u0301\u0085\u1680\u200b’İ́ΐﬁ\u0345", max_size=40), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_other_scripts_count_as_the_library_does(texts, more):
+    c = tokens.Counter2(queries.tokenizer_path(), {})
+    for part in (texts, more, texts + more):
+        part = [t.encode("utf-8", "ignore").decode() for t in part]
+        assert c.count(part) == c.encode(part)
+
+
+def test_other_scripts_go_through_both_tiers(spark, documents):
+    texts = ["привет мир привет", "日本 日本", "hello мир", "<|x привет"] * 3
+    path = queries.tokenizer_path()
+    found = tokens.frequent_pretokens(documents(list(enumerate(texts))), path)
+    assert {"привет", "мир", "日本", "hello"} <= set(found)
+    c = tokens.Counter2(path, {"мир": 100})
+    assert c.count(["мир мир 日本"])[0] == 200 + c.cache["日本"] and c.split("<|x привет") is None
+
+
 # -- decontamination -------------------------------------------------------------
 
 
