@@ -24,6 +24,11 @@ def _paths_of(spark, sf_dir, ids):
     return [r[0] for r in views.files(spark, sf_dir).filter(F.col("doc_id").isin(list(ids))).select("path").orderBy("path").collect()]
 
 
+def _edges(spark, sf_dir, semantic=True):
+    """The view's edges, a join of three tables, made once for operators that read them several times."""
+    return settle(views.edges(spark, sf_dir, semantic))
+
+
 def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:]*://[^/?#]*/([^?#]*)", 1)
     return table(spark, sf_dir, "pages").select("page_id", p.alias("path"))
@@ -190,17 +195,17 @@ def context_content(spark, sf_dir):
 
 
 def change_nodes(spark, sf_dir):
-    s = subgraph.change_subgraph(views.nodes(spark, sf_dir), views.edges(spark, sf_dir, False), _paths_of(spark, sf_dir, FOCUS_DOCS), 2)
+    s = subgraph.change_subgraph(views.nodes(spark, sf_dir), _edges(spark, sf_dir, False), _paths_of(spark, sf_dir, FOCUS_DOCS), 2)
     return s.nodes.select("id", "type")
 
 
 def change_edges(spark, sf_dir):
-    s = subgraph.change_subgraph(views.nodes(spark, sf_dir), views.edges(spark, sf_dir, False), _paths_of(spark, sf_dir, FOCUS_DOCS), 1)
+    s = subgraph.change_subgraph(views.nodes(spark, sf_dir), _edges(spark, sf_dir, False), _paths_of(spark, sf_dir, FOCUS_DOCS), 1)
     return s.edges
 
 
 def change_stats(spark, sf_dir):
-    return subgraph.change_subgraph(views.nodes(spark, sf_dir), views.edges(spark, sf_dir), _paths_of(spark, sf_dir, FOCUS_DOCS), 1).stats()
+    return subgraph.change_subgraph(views.nodes(spark, sf_dir), _edges(spark, sf_dir), _paths_of(spark, sf_dir, FOCUS_DOCS), 1).stats()
 
 
 def topological_tiers(spark, sf_dir):
@@ -223,7 +228,7 @@ def plan_tasks(spark, sf_dir):
 
 
 def neighbors(spark, sf_dir):
-    n, e = views.nodes(spark, sf_dir), views.edges(spark, sf_dir)
+    n, e = views.nodes(spark, sf_dir), _edges(spark, sf_dir)
     return rollups.neighbors(n, e, _paths_of(spark, sf_dir, [20])[0])
 
 
@@ -294,7 +299,7 @@ def url_shapes(spark, sf_dir):
 
 
 def spec_parts(spark, sf_dir):
-    n, e = views.nodes(spark, sf_dir), views.edges(spark, sf_dir)
+    n, e = views.nodes(spark, sf_dir), _edges(spark, sf_dir)
     return rendering.spec_parts(n, e, _context(spark, sf_dir), 8000)
 
 
@@ -315,14 +320,14 @@ def _focus(spark, sf_dir):
 
 
 def change_graph_stats(spark, sf_dir):
-    return changes.change_subgraphs(views.nodes(spark, sf_dir), views.edges(spark, sf_dir), _focus(spark, sf_dir), 1).stats()
+    return changes.change_subgraphs(views.nodes(spark, sf_dir), _edges(spark, sf_dir), _focus(spark, sf_dir), 1).stats()
 
 
 def change_refresh(spark, sf_dir):
     """Stored changes with new subgraphs; one has no focus."""
     stored = _focus(spark, sf_dir).groupBy("change_id").agg(F.collect_list("path").alias("focus"), F.max("mode").alias("mode"))
     stored = stored.union(spark.createDataFrame([("empty", [], None), ("none", None, "full")], "change_id string, focus array<string>, mode string"))
-    graphs, state = changes.refresh(stored, views.nodes(spark, sf_dir), views.edges(spark, sf_dir, False))
+    graphs, state = changes.refresh(stored, views.nodes(spark, sf_dir), _edges(spark, sf_dir, False))
     return state.join(graphs.totals(), "change_id", "left")
 
 
