@@ -410,12 +410,23 @@ def cluster(ids: list[int], sets: list[np.ndarray], percent: int) -> tuple[list[
     return [union.find(i) for i in ids], leader_of, distance
 
 
+#: Elements of the texts that one task searches, where groups are smaller.
+TASK_ELEMENTS = 1 << 18
+
+
+def _search_tasks(sized: DataFrame) -> int:
+    """How many tasks search the texts of `sized` (size); by their elements, as bytes say little about the work."""
+    spark = sized.sparkSession
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_ELEMENTS)
+
+
 def _set_of(text: str | None, n: int) -> np.ndarray:
     return next(shingle_sets([(text or "").encode()], n))
 
 
 def local_clusters(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """(grp, rep, root, leader, distance) after a search within each block of `placed` (rep, grp, block)."""
+    """(grp, rep, root, leader, distance) after a search within each block of `placed` (rep, size, grp, block)."""
 
     def each(batches):
         for (grp, _), rows in _blocks(batches):
@@ -424,7 +435,8 @@ def local_clusters(docs: DataFrame, placed: DataFrame, id_col: str, text_col: st
             yield pa.RecordBatch.from_arrays([pa.array([grp] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(root, pa.int64()), pa.array([ids[k] for k in leader], pa.int64()), pa.array(distance, pa.float64())], ["grp", "rep", "root", "leader", "distance"])
 
     texts = _texts_of(docs, placed, id_col, text_col).select("grp", "block", "rep", "text")
-    return texts.repartition("grp", "block").sortWithinPartitions("grp", "block", "rep").mapInArrow(each, "grp long, rep long, root long, leader long, distance double")
+    dealt = texts.repartition(_search_tasks(placed), "grp", "block").sortWithinPartitions("grp", "block", "rep")
+    return dealt.mapInArrow(each, "grp long, rep long, root long, leader long, distance double")
 
 
 def _blocks(batches):
@@ -505,7 +517,7 @@ def class_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str,
     # a large group is dealt by hash into chunks of about `block` elements, small ones are whole
     n_chunks = F.ceil(F.col("total") / F.lit(block))
     placed = settle(sized.select("rep", "size", "grp", (F.pmod(F.xxhash64("rep"), n_chunks)).cast("long").alias("block"), (n_chunks > 1).alias("split")))
-    local = settle(local_clusters(docs, placed.select("rep", "grp", "block"), id_col, text_col, n, percent))
+    local = settle(local_clusters(docs, placed.select("rep", "size", "grp", "block"), id_col, text_col, n, percent))
     split = placed.filter("split").select("rep", "size", "grp")
     if split.isEmpty():
         return local.select("rep", F.col("root").alias("component"))
@@ -641,7 +653,7 @@ def link_counts(docs: DataFrame, groups: DataFrame, classes: DataFrame, id_col:
     grid = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)))
     lo, hi = F.least("chunk", "other"), F.greatest("chunk", "other")
     side = (F.col("chunk") > F.col("other")).cast("long")
-    placed = settle(grid.join(classes, "rep").select("rep", "grp", (lo * F.lit(1 << 30) + hi).alias("block"), side.alias("side"), (lo < hi).alias("across"), "n_copies"))
+    placed = settle(grid.join(classes, "rep").select("rep", "size", "grp", (lo * F.lit(1 << 30) + hi).alias("block"), side.alias("side"), (lo < hi).alias("across"), "n_copies"))
 
     def each(batches):
         for _, rows in _blocks(batches):
@@ -650,4 +662,5 @@ def link_counts(docs: DataFrame, groups: DataFrame, classes: DataFrame, id_col:
             yield pa.RecordBatch.from_arrays([pa.array([r["rep"] for r in rows], pa.int64()), pa.array(links, pa.int64())], ["rep", "links"])
 
     texts = _texts_of(docs, placed, id_col, text_col).select("grp", "block", "rep", "side", "across", "n_copies", "text")
-    return texts.repartition("grp", "block").sortWithinPartitions("grp", "block", "rep").mapInArrow(each, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    dealt = texts.repartition(_search_tasks(placed), "grp", "block").sortWithinPartitions("grp", "block", "rep")
+    return dealt.mapInArrow(each, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
