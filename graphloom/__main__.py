@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.paths import structural_domain
-from .operators import building, changes, exporting, guardrails, packing, ranking, rendering, rollups, semantics, subgraph, validation
+from .operators import building, changes, exporting, guardrails, packing, ranking, rendering, rollups, semantics, subgraph, validation, viewing
 from .plans.session import local_session, settle
 from .sources import scan
 
@@ -174,6 +174,9 @@ def parser() -> argparse.ArgumentParser:
     verbs.add_parser("impact", help="ages, staleness and coverage of the stored tables")
     verbs.add_parser("status", help="what is stored, and the changes")
     verbs.add_parser("refresh", help="new subgraphs of all changes")
+    verbs.add_parser("archive", help="drop a change, rebuild, and refresh the others").add_argument("change")
+    verbs.add_parser("rebuild", help="scan and build for a hook: reports, and never fails")
+    verbs.add_parser("viz", help="what a viewer loads, as JSON lines").add_argument("out")
     n = verbs.add_parser("neighbors", help="what is next to a file")
     n.add_argument("path")
     verbs.add_parser("domains", help="the map of domains")
@@ -226,6 +229,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if not p.graph(a.with_calls, a.with_refs, not a.no_semantic, a.concepts, a.force):
             print("nothing changed since the last build")
         return show(p.read("edges").groupBy("type").count())
+    if a.verb == "rebuild":
+        try:
+            p.scan()
+            print("rebuilt" if p.graph() else "nothing changed")
+        except Exception as problem:  # noqa: BLE001 - a hook must not stop what called it
+            print(f"not rebuilt: {problem}")
+        return 0
+    if a.verb == "archive":
+        known = p.read("changes").filter(F.col("change_id") != changes.check_name(a.change))
+        p.write("changes", settle(known))
+        p.scan()
+        p.graph()
+        return show(p.freeze())
     if a.verb == "init":
         p.scan()
         p.graph()
@@ -260,6 +276,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         plan = _plan(p, a.change).withColumn("status", F.lit("plan_only"))
         validation.validate_or_raise(plan, "plan", "path")
         return show(p.write("plan", settle(plan)))
+    if a.verb == "viz":
+        shown, kept = viewing.visible(nodes, edges, p.read("pack").filter("mode <> 'excluded'"))
+        viewing.payload(shown, kept).select("line").write.mode("overwrite").text(a.out)
+        return 0
     if a.verb == "docs":
         print("\n".join(p.write_texts(rendering.docs_scaffold(nodes, edges, os.path.basename(p.root)))))
         return 0

@@ -17,6 +17,24 @@ def skill_slug(domain: Column) -> Column:
     return F.replace(domain, F.lit("/"), F.lit("-"))
 
 
+def domain_of_slug(slug: Column) -> Column:
+    """A skill slug as a domain again; names with hyphens of their own are lost."""
+    return F.replace(slug, F.lit("-"), F.lit("/"))
+
+
+# Fill and border of the eight colours that domains have.
+DOMAIN_COLOURS = [("#0c2d6b", "#1f6feb"), ("#0a3622", "#238636"), ("#3d1f8c", "#6e40c9"), ("#3d2e00", "#9e6a03"), ("#2d1500", "#b94900"), ("#1a2d1a", "#2ea043"), ("#1c1c3d", "#6b7de0"), ("#2d1a2d", "#a371f7")]
+
+
+def domain_colour(name: Column) -> Column:
+    """struct(fill, border) of a domain, by a hash of its name's characters in 32 bits."""
+    codes = F.transform(F.split(name, ""), lambda c: F.ascii(c).cast("long"))
+    wrap = lambda x: F.pmod(x + (1 << 31), F.lit(1 << 32)) - (1 << 31)
+    h = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: wrap(a * 31 + c))
+    palette = F.array(*(F.struct(F.lit(a).alias("fill"), F.lit(b).alias("border")) for a, b in DOMAIN_COLOURS))
+    return F.get(palette, (F.abs(h) % len(DOMAIN_COLOURS)).cast("int"))
+
+
 def camel_to_kebab(value: Column) -> Column:
     x = F.regexp_replace(value, "([a-z0-9])([A-Z])", "$1-$2")
     x = F.regexp_replace(x, "([A-Z]+)([A-Z][a-z])", "$1-$2")

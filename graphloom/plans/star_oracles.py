@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.names import STOP_WORDS, glob_to_regex
+from ..functions.names import DOMAIN_COLOURS, STOP_WORDS, glob_to_regex
 from ..functions.paths import ASSET, CODE, CONFIG, DOC, LANGUAGES
 from ..operators.exporting import EDGE_STYLE, NODE_FILL, NODE_SHAPE, OTHER_FILL, OTHER_SHAPE, OTHER_STYLE
 from ..operators.ranking import EDGE_WEIGHTS
@@ -229,6 +229,8 @@ SQL: dict[str, str] = {
     "context_content": _with("""select p.path, mode, length(shown) as n_chars, sha256(shown) as shown_sha256 from (
         select path, mode, case when text is null then null when mode = 'full' then text when mode = 'excerpt' then array_to_string(string_split(text, chr(10))[1:50], chr(10)) || chr(10) || '// ... (excerpt)' else '// Summary: ' || path || ' - ' || reason end as shown
         from packed join files using (path) join documents using (doc_id) where mode <> 'excluded') p""", *CONTEXT),
+    "type_counts": _with("""select source, coalesce(counts, '(none)') as counts from (select distinct source from files) left join (
+        select source, string_agg(kind || '=' || n, ', ' order by kind) as counts from (select source, kind, count(*) as n from files group by all having count(*) > 1) group by source) using (source)"""),
     "spec_parts": _with("""select 'domain' as part, 'name' as key, (select domain from top) as value union all select 'budget', 'most', '8000' union all select 'budget', 'used', cast(coalesce(max(estimated), 0) as varchar) from kept
       union all select 'file', path, reason || '|' || mode || '|' || """ + KEBAB.format("regexp_replace(regexp_extract(path, '[^/]*$'), '\\.(ts|py)$', '')") + """ from kept
       union all select case when x.domain = (select domain from top) then 'depends_on' else 'used_by' end, case when x.domain = (select domain from top) then y.domain else x.domain end, cast(count(*) as varchar)
@@ -296,6 +298,9 @@ SQL: dict[str, str] = {
       array_to_string(list_transform(list_filter(regexp_split_to_array(p_name || '-' || p_type, '[-_\\s]+'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' ') as title,
       {KEBAB.format("case when p_size % 2 = 0 then string_split(p_type, ' ')[-1] else 'SomeHTTPFile' end")} as purpose,
       {SLUG.format("case when p_size % 3 = 0 then 'cli' else 'get' end || '-' || lower(p_brand) || '/id/x'")} as endpoint,
+      replace(replace(replace('<i>' || p_name || '&', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as html, replace(replace(p_type || '/' || p_brand, '/', '-'), '-', '/') as domain,
+      [{", ".join(f"'{b}'" for _, b in DOMAIN_COLOURS)}][abs(list_reduce(list_prepend(cast(0 as bigint), list_transform(string_split(p_name, ''), lambda c: cast(ascii(c) as bigint))),
+        lambda a, c: (((a * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296) - 2147483648)) % {len(DOMAIN_COLOURS)} + 1] as colour,
       {_xml("'<a b=''' || p_name || '''>&\"'")} as xml, {_dot("'a\"' || chr(92) || p_name")} as dot from part""",
     "url_shapes": _with(f"""select page_id, regexp_extract(path, '[^/]*$') as base, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '.' end as dir, {extname("path")} as ext,
       {_normal("'a/./b/../' || path || '/../x'")} as normal, {DOMAIN_OF.format("path")} as domain, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') end as sub from urls"""),

@@ -288,6 +288,7 @@ def name_shapes(spark, sf_dir):
         "p_partkey", n.slugify(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug"), n.camel_to_kebab(raw).alias("kebab"), n.title_case(F.concat_ws("-", "p_name", "p_type")).alias("title"),
         n.purpose(F.concat(F.lit("src/"), F.regexp_replace("p_type", " ", "/"), F.when(F.col("p_size") % 2 == 0, "/index.ts").otherwise("/SomeHTTPFile.py"))).alias("purpose"),
         n.endpoint_slug(F.when(F.col("p_size") % 3 == 0, "CLI").otherwise("GET"), F.concat(F.lit("/"), F.lower("p_brand"), F.lit("/:id/{x}"))).alias("endpoint"),
+        n.escape_html(F.concat(F.lit("<i>"), "p_name", F.lit("&"))).alias("html"), n.domain_of_slug(n.skill_slug(F.concat_ws("/", "p_type", "p_brand"))).alias("domain"), n.domain_colour(F.col("p_name"))["border"].alias("colour"),
         n.escape_xml(F.concat(F.lit("<a b='"), "p_name", F.lit("'>&\""))).alias("xml"), n.escape_dot(F.concat(F.lit('a"\\'), "p_name")).alias("dot"),
     )
 
@@ -298,6 +299,15 @@ def url_shapes(spark, sf_dir):
     return u.select("page_id", paths.basename(p).alias("base"), paths.dirname(p).alias("dir"), paths.extname(p).alias("ext"), paths.normalize(F.concat(F.lit("a/./b/../"), p, F.lit("/../x"))).alias("normal"), paths.structural_domain(p).alias("domain"), paths.sub_folder(F.concat(F.lit("packages/p/"), p), F.lit("packages/p")).alias("sub"))
 
 
+def type_counts(spark, sf_dir):
+    """What each source holds, by kind, as text; kinds of one file are left out."""
+    f = views.files(spark, sf_dir)
+    n = f.groupBy("source", "kind").agg(F.count("*").cast("int").alias("n")).filter("n > 1")
+    maps = n.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("counts"))
+    none = F.create_map().cast("map<string,int>")
+    return f.select("source").distinct().join(maps, "source", "left").select("source", names.type_counts(F.coalesce("counts", none)).alias("counts"))
+
+
 def spec_parts(spark, sf_dir):
     n, e = views.nodes(spark, sf_dir), _edges(spark, sf_dir)
     return rendering.spec_parts(n, e, _context(spark, sf_dir), 8000)

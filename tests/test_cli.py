@@ -58,10 +58,16 @@ def test_changes_from_spec_to_status(spark, project, capsys):
         run("implement", "--approve")
     assert run("impact") == 0 and "covered" in said() and run("docs") == 0 and (project / "docs/reference/module-relationships.md").exists()
     assert run("neighbors", "elsewhere/users.service.ts") == 0 and "similar" in said()
+    assert run("viz", str(project / "viz")) == 0 and any('"id":"file:' in x.read_text() for x in (project / "viz").glob("*.txt"))
+    assert run("archive", "users-rework") == 0 and "users-rework" not in said() and run("rebuild") == 0 and "nothing changed" in said()
     with pytest.raises(ValueError, match="change name"):
         run("spec", "no/slashes")
 
 
+def test_a_hook_never_fails(spark, tmp_path, capsys):
+    assert main(["--root", str(tmp_path / "none"), "rebuild"], spark) == 0 and "not rebuilt" in capsys.readouterr().out
+
+
 def test_a_write_that_was_cut_short_loses_nothing(spark, tmp_path):
     p = Project(spark, str(tmp_path))
     p.write("t", spark.range(3))
