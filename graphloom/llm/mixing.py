@@ -57,7 +57,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap:
     before, all_ = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     v = w.withColumns({
         "left_words": F.sum("source_size").over(all_).cast("double") - F.coalesce(F.sum("room").over(before), F.lit(0.0)),
-        "left_weight": F.sum("weight").over(fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+        # from the total, as a frame that ends at the last row is summed anew for each row
+        "left_weight": F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
     })
     v = v.withColumn("full", F.col("left_words") * F.col("weight") >= F.col("room") * F.col("left_weight"))
     # the fulls are a prefix of this order; the rest share what is left after the last of them
