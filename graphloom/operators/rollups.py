@@ -88,14 +88,20 @@ def architecture(nodes: DataFrame, edges: DataFrame, affected: DataFrame) -> Dat
 
 
 def health(artifacts: DataFrame, now_ms: int | Column, stale_minutes: int = 60) -> DataFrame:
-    """(name, present, age_minutes, warning) for (name, mtime_ms, watched, graph_hash, scan_hash)."""
+    """(name, present, age_minutes, warning) for (name, mtime_ms, watched, graph_hash, scan_hash[, tokens, budget]).
+
+    With tokens and budget there is budget_used too, in percent; more than 90 is a warning.
+    """
+    budgeted = {"tokens", "budget"} <= set(artifacts.columns)
+    used = F.when(F.col("budget") > 0, F.round(F.col("tokens") / F.col("budget") * 100, 1)) if budgeted else F.lit(None).cast("double")
+    full = F.when(used > 90, F.concat(F.lit("budget at "), used.cast("string"), F.lit("%")))
     now = now_ms if isinstance(now_ms, Column) else F.lit(now_ms)
     age = F.greatest(F.lit(0), F.floor((now - F.col("mtime_ms")) / 60000 + 0.5)).cast("long")
     gone = F.col("mtime_ms").isNull()
     stale = F.when(F.col("watched") & (age > stale_minutes), F.concat(F.lit("stale ("), age.cast("string"), F.lit("m old)")))
     differs = F.when(F.col("graph_hash") != F.col("scan_hash"), F.lit("hash mismatch with scan"))
-    warning = F.when(gone, F.concat("name", F.lit(" missing"))).otherwise(F.nullif(F.concat_ws("; ", stale, differs), F.lit("")))
-    return artifacts.select("name", (~gone).alias("present"), age.alias("age_minutes"), warning.alias("warning"))
+    warning = F.when(gone, F.concat("name", F.lit(" missing"))).otherwise(F.nullif(F.concat_ws("; ", stale, differs, full), F.lit("")))
+    return artifacts.select("name", (~gone).alias("present"), age.alias("age_minutes"), warning.alias("warning"), *([used.alias("budget_used")] if budgeted else []))
 
 
 def tag_covers(tag: Column, domain: Column) -> Column:

@@ -161,8 +161,8 @@ def manifest_entries(spark, sf_dir):
 
 
 def health_report(spark, sf_dir):
-    rows = [("scan", 1_000_000, True, "a", "b"), ("graph", 4_000_000, True, "a", "a"), ("pack", None, True, None, None), ("plan", 0, False, None, None)]
-    return rollups.health(spark.createDataFrame(rows, "name string, mtime_ms long, watched boolean, graph_hash string, scan_hash string"), 5_000_000)
+    rows = [("scan", 1_000_000, True, "a", "b", None, None), ("graph", 4_000_000, True, "a", "a", None, 0), ("pack", None, True, None, None, None, None), ("plan", 0, False, None, None, 9051, 10_000), ("old", 0, True, None, None, 9, 30)]
+    return rollups.health(spark.createDataFrame(rows, "name string, mtime_ms long, watched boolean, graph_hash string, scan_hash string, tokens long, budget long"), 5_000_000)
 
 
 def skill_coverage(spark, sf_dir):
