@@ -17,3 +17,10 @@ def test_changes_are_merged_once(spark, tmp_path):
     assert now == {"a.ts": "class A {"}
     scan, found = incremental.tables(incremental.read(spark, table))
     assert [(r["path"], r["kind"]) for r in scan.collect()] == [("a.ts", "code")] and [r["name"] for r in found.collect()] == ["A"]
+    # a batch leaves the buckets that it does not touch where they are
+    many = {f"f{k}.ts": f"let a = {k};" for k in range(200)}
+    assert send("3.json", [(p, c, 5) for p, c in many.items()]) == {"a.ts": "class A {", **many}
+    assert send("4.json", [("f7.ts", "new", 6)]) == {"a.ts": "class A {", **many, "f7.ts": "new"}
+    written = {v: len(list((tmp_path / "table" / v).glob("bucket=*"))) for v in ("v=2", "v=3")}
+    assert written["v=2"] > 30 and written["v=3"] == 1
+    assert {r["path"]: r["content"] for r in incremental.read(spark, table, before=3).collect()} == {"a.ts": "class A {", **many}
