@@ -33,6 +33,7 @@ other than id and text are not read.
 from __future__ import annotations
 
 import heapq
+from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -573,10 +574,10 @@ class _Family:
 
     def __init__(self, leader: np.ndarray):
         self.leader = leader
-        self.who: list[int] = []
-        self.sizes: list[int] = []
-        self.lost: list[int] = []  # elements of the leader that a member lacks
-        self.holders: dict[int, list[int]] = defaultdict(list)  # members by an element in which they differ
+        # arrays that grow, and that numpy reads without a copy
+        self.who, self.sizes = array("q"), array("q")
+        self.lost = array("q")  # elements of the leader that a member lacks
+        self.holders: dict[int, array] = defaultdict(lambda: array("q"))  # members by an element in which they differ
 
     def difference(self, s: np.ndarray) -> tuple[list[int], int]:
         """What s and the leader don't share, and how many of these s lacks."""
@@ -599,9 +600,9 @@ class _Family:
         plus what both have beside it; only the last two need the inverted lists.
         """
         differs, lost = self.difference(s)
-        sizes = np.array(self.sizes, np.int64)
-        both = len(self.leader) - lost - np.array(self.lost, np.int64)
-        lists = [x for e in differs if (x := self.holders.get(e))]
+        sizes = np.frombuffer(self.sizes, np.int64)
+        both = len(self.leader) - lost - np.frombuffer(self.lost, np.int64)
+        lists = [np.frombuffer(x, np.int64) for e in differs if (x := self.holders.get(e))]
         if lists:
             both += np.bincount(np.concatenate(lists), minlength=len(sizes))
         return np.flatnonzero(100 * both >= percent * (len(s) + sizes - both))
@@ -625,7 +626,7 @@ def count_links(sets: list[np.ndarray], weights: list[int], percent: int, sides:
             whole = len(s) + index.sizes[c] - both
             if 100 * both < loose * whole:
                 continue
-            held = np.array(families[c].who, np.int64)[families[c].linked(s, percent)]
+            held = np.frombuffer(families[c].who, np.int64)[families[c].linked(s, percent)]
             if sides is not None:
                 held = held[side[held] != side[x]]
             out[x] += weight[held].sum()
