@@ -52,7 +52,7 @@ from .components import connected_components
 
 _U = np.uint64
 #: Elements that a map task holds before it combines and sends them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Elements of the texts that are searched in one place.
 BLOCK = 1 << 22
 #: Ids up to which a set of ids is broadcast to filter texts; beyond, a shuffled join.
@@ -247,11 +247,12 @@ def prefix_survivors(docs: DataFrame, id_col: str, text_col: str, n: int, percen
     credits its texts, and by id, where credits add up beside the set's size.
     """
     spark = docs.sparkSession
-    n_parts = 4 * max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), bytes_of(docs) >> 27)
+    n_tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), bytes_of(docs) >> 27)
+    # hashing does not deal few numbers evenly, so there are more ranges than tasks if those are few
+    n_parts = 4 * n_tasks if n_tasks < 1024 else n_tasks
     blobs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_prefix_blobs(n, percent, n_parts), _BLOBS)
-    # four ranges for each partition, as hashing alone does not deal few numbers evenly
-    credits = blobs.repartition(n_parts // 4, "part").mapInArrow(_credits(n_parts), _BLOBS)
-    kept = credits.repartition(n_parts // 4, "part").mapInArrow(_reach(percent), "id long, size long, f1 long, f2 long")
+    credits = blobs.repartition(n_tasks, "part").mapInArrow(_credits(n_parts), _BLOBS)
+    kept = credits.repartition(n_tasks, "part").mapInArrow(_reach(percent), "id long, size long, f1 long, f2 long")
     return kept.groupBy("size", "f1", "f2").agg(F.min("id").alias("rep")).select("rep", "size")
 
 
