@@ -41,12 +41,15 @@ def clean_up(spark: SparkSession) -> int:
     To be called when their results have been read: queries are lazy. Checkpoints go
     with their tables if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    conf, at = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    n = 0
-    while _MADE:
-        path = at(_MADE.pop())
-        n += path.getFileSystem(conf).delete(path, True)
-    return n
+    return sum(remove(spark, path) for path in list(_MADE))
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Remove a folder in any file system that Spark can open; whether it was there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if path in _MADE:
+        _MADE.remove(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
 
 
 def settle(df: DataFrame) -> DataFrame:

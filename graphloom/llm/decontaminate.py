@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import alnum_folded, as_bytes, chunks, sliced, split_words
-from ._shared import fresh_path, settle
+from ._shared import fresh_path, remove, settle
 
 _U = np.uint64
 #: Bytes of window hashes and item ids in one block.
@@ -322,11 +322,12 @@ def _few_rows_a_batch(spark, rows: int = 4):
         spark.conf.set(name, before)
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, near: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, near: int = 0, block_bytes: int = BLOCK_BYTES, index_path: str | None = None) -> DataFrame:
     """(id, n_words, hits, items, near_items) for each row of docs.
 
     hits are the positions of words inside a matched window, items the ids of the
-    items with a matched window, near_items those that only match by proximity.
+    items with a matched window, near_items those that only match by proximity. The
+    index is kept at index_path if one is named, and removed after the last pass if not.
     """
     spark = docs.sparkSession
     pairs = settle(window_pairs(benchmark, item_col, item_text_col, window))
@@ -336,7 +337,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     terms = _terms_of(pairs)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    index = build_index(source, terms, fresh_path(spark, "postings"))
+    path = index_path or fresh_path(spark, "postings")
+    index = build_index(source, terms, path)
     found = None
     for k in range(n_blocks):
         held = spark.sparkContext.broadcast(Windows.of(block(k), window))
@@ -345,6 +347,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             rows = settle(rows if k == 0 else rows.filter("size(hits) > 0 or size(near_items) > 0"))
         held.unpersist()
         found = rows if found is None else found.union(rows)
+    if index_path is None:
+        remove(spark, path)
     if n_blocks == 1:
         return found.drop("segment", "doc")
     every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)

@@ -206,6 +206,8 @@ def test_postings_are_stored_for_every_word_or_for_the_benchmarks(spark, documen
     every = decontaminate.build_index(df.coalesce(1), None, str(tmp_path / "every")).collect()
     few = decontaminate.build_index(df.coalesce(1), np.zeros(0, np.uint64), str(tmp_path / "few")).collect()
     assert sum(len(r["positions"]) // 4 for r in every) == 6 and sum(len(r["positions"]) for r in few) == 0
+    kept = decontaminate.find_overlaps(df.coalesce(1), spark.createDataFrame([(1, "a b")], "item_id int, text string"), index_path=str(tmp_path / "kept"))
+    assert kept.filter("size(hits) > 0").count() == 1 and spark.read.parquet(str(tmp_path / "kept")).count() == 1
     assert [i for r in few for i in r["ids"]] == [1, 2, 1] and [len(r["terms"]) // 8 for r in every] == [4]
 
 
