@@ -86,7 +86,7 @@ def change_manifests(entries: DataFrame, focus: DataFrame) -> DataFrame:
     all entries; entries are a project's skills and rules, a short list.
     """
     touched = focus.groupBy("change_id").agg(F.array_sort(F.collect_set(structural_domain(F.col("path")))).alias("touched"))
-    return match_entries(touched.crossJoin(F.broadcast(entries)), ["change_id"])
+    return match_entries(touched.crossJoin(entries), ["change_id"])
 
 
 def artifact_status(artifacts: DataFrame, now_ms: int) -> DataFrame:
