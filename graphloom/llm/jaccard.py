@@ -17,12 +17,13 @@ pairs of a group:
    nobody shares, drop texts left with fewer than T, and connect through their
    rarest n - T + 1 elements. Linked texts are always connected there.
 4. Each connected group is searched in one place, or in chunks of bounded size
-   if large. A text is searched against an inverted index of group leaders by
-   DivideSkip: the short inverted lists are heap-merged, the long ones probed by
-   binary search, and sets that reach the required overlap are kept. The Jaccard
-   distance is a metric, so members within the threshold of a leader need their
-   own comparison only if the distances to the leader leave it open; a family of
-   any number of near copies costs one comparison each, and no link is lost.
+   if large. A text is searched against an inverted index of its group, with the
+   lists divided as by DivideSkip: the short ones are merged by counting, the long
+   ones, kept as bit maps, probed for the sets that may still reach the required
+   overlap. A family of near copies, in which every pair meets, so costs a few
+   machine words a pair. Each pair of chunks of a larger group is searched in one
+   place, and what they connect is joined; no link is lost, and no row is made for
+   a pair.
 
 Defined results: a null or blank text has no shingles and links with nothing; a
 text of fewer words than `n` is a single shingle; repeated rows are copies of
@@ -32,13 +33,7 @@ other than id and text are not read.
 
 from __future__ import annotations
 
-import heapq
-from array import array
-from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import groupby
-from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +50,8 @@ _U = np.uint64
 FLUSH = 1 << 19
 #: Elements of the texts that are searched in one place.
 BLOCK = 1 << 22
+#: Elements that a short text counts as there, since pairs cost time as well.
+LEAST_SIZE = 64
 #: Ids up to which a set of ids is broadcast to filter texts; beyond, a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -69,16 +66,6 @@ def slack(n):
     return 1 + n // 20
 
 
-def in_families(percent):
-    """Whether leaders can speak for others: sets with leaders that share nothing are never linked."""
-    return 3 * (100 - percent) < 100
-
-
-def within(percent, times):
-    """The similarity, in percent, of two sets at most `times` the linking distance apart."""
-    return 100 - times * (100 - percent) if in_families(percent) else percent
-
-
 def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for _, part in chunks(texts):
@@ -303,64 +290,82 @@ def candidate_groups(docs: DataFrame, reps: DataFrame, id_col: str, text_col: st
 class InvertedIndex:
     """Sets by element, for T-occurrence search."""
 
-    #: The cost ratio of DivideSkip's rule for the number of long lists.
-    MU = 0.01
-
-    def __init__(self):
-        self.lists: dict[int, list[int]] = defaultdict(list)
-        self.sizes: list[int] = []
-
-    def add(self, elements: list[int]) -> int:
-        """Index a set; its number is larger than all before, so lists stay sorted."""
-        k = len(self.sizes)
-        self.sizes.append(len(elements))
-        for e in elements:
-            self.lists[e].append(k)
-        return k
-
-    def search(self, elements: list[int], least: int) -> list[tuple[int, int]]:
+    #: A list is long if it has more sets than this, and more than one in SPARSE of all.
+    SHORT = 16
+    #: Long lists are bit maps, which are no larger than the lists if one in 32 bits is set.
+    SPARSE = 32
+
+    def __init__(self, sets=()):
+        self.sets: list[np.ndarray] = []
+        for s in sets:
+            self.add(s)
+        self._build()
+
+    def add(self, elements) -> int:
+        """Index a set of distinct elements; its number is larger than all before. The next search builds the index."""
+        self.sets.append(np.asarray(elements, _U))
+        return len(self.sets) - 1
+
+    def _build(self) -> None:
+        n = len(self.sets)
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        every = np.concatenate([*self.sets, np.zeros(0, _U)])
+        order = np.argsort(every, kind="stable")  # so lists are sorted by number
+        every = every[order]
+        self.holders = np.repeat(np.arange(n, dtype=np.int32), self.sizes)[order]
+        self.start = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+        self.length = np.diff(np.r_[self.start, len(every)])
+        self.elements = every[self.start]
+        long = np.flatnonzero(self.length > max(self.SHORT, n // self.SPARSE))
+        self.column = np.full(len(self.start), -1, np.int64)
+        self.column[long] = np.arange(len(long))
+        self.bits = np.zeros((-(-len(long) // 64), n), _U)
+        for k, e in enumerate(long.tolist()):
+            self.bits[k // 64, self.holders[self.start[e] : self.start[e] + self.length[e]]] |= _U(1 << k % 64)
+
+    def overlaps(self, elements: np.ndarray, least: int, below: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (less than `below`) and overlaps of the indexed sets that share at least `least` elements."""
+        if len(self.sizes) != len(self.sets):
+            self._build()
+        n, least = len(self.sets) if below is None else below, max(1, least)
+        at = np.searchsorted(self.elements, elements)
+        known = at < len(self.elements)
+        at, elements = at[known], elements[known]
+        at = at[self.elements[at] == elements]
+        if len(at) < least:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        column = self.column[at]
+        short, long = at[column < 0], column[column >= 0]
+        # the sets in short lists are counted
+        length = self.length[short]
+        total = int(length.sum())
+        where = np.repeat(self.start[short] - np.cumsum(length) + length, length) + np.arange(total)
+        got = np.bincount(self.holders[where], minlength=n)[:n]
+        if len(long) < least:
+            found = np.flatnonzero(got >= least - len(long))
+            got = got[found]
+        else:
+            found = None
+        # the long ones are probed for what may still reach `least`
+        if found is None or len(found):
+            wanted = np.zeros(len(self.bits), _U)
+            np.bitwise_or.at(wanted, long // 64, _U(1) << (long % 64).astype(_U))
+            for w in np.flatnonzero(wanted):
+                held = self.bits[w, :n] if found is None else self.bits[w, found]
+                got += np.bitwise_count(held & wanted[w])
+        enough = np.flatnonzero(got >= least)
+        return enough if found is None else found[enough], got[enough]
+
+    def search(self, elements, least: int) -> list[tuple[int, int]]:
         """(number, overlap) of the indexed sets that share at least `least` elements."""
-        get = self.lists.get
-        lists = [x for e in elements if (x := get(e)) is not None]
-        least = max(1, least)
-        if len(lists) < least:
-            return []
-        lists.sort(key=len)
-        n_long = min(least - 1, int(least / (self.MU * log2(max(2, len(lists[-1]))) + 1)))
-        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        out = []
-        for number, same in groupby(heapq.merge(*short)):
-            got = sum(1 for _ in same)
-            if got + n_long < least:
-                continue
-            for left, x in zip(range(n_long, 0, -1), long, strict=True):
-                if got + left < least:
-                    break
-                at = bisect_left(x, number)
-                got += at < len(x) and x[at] == number
-            if got >= least:
-                out.append((number, got))
-        return out
-
-
-class _Union:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up = self.up
-        root = x
-        while (p := up.get(root, root)) != root:
-            root = p
-        while (p := up.get(x, x)) != root:
-            up[x] = root
-            x = p
-        return root
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.find(x), self.find(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
+        found, both = self.overlaps(np.asarray(elements, _U), least)
+        return list(zip(found.tolist(), both.tolist(), strict=True))
+
+    def linked(self, s: np.ndarray, percent: int, below: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (less than `below`) of the indexed sets that are at least `percent` % similar to s, and overlaps."""
+        found, both = self.overlaps(s, ceil_share(len(s), percent), below)
+        near = 100 * both >= percent * (len(s) + self.sizes[found] - both)
+        return found[near], both[near]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -375,41 +380,33 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def cluster(ids: list[int], sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int], list[float]]:
-    """Components of the links among some sets, by search against leaders.
+def cluster(ids: list[int], sets: list[np.ndarray], percent: int, weights: list[int] | None = None, sides: list[int] | None = None) -> tuple[list[int], list[int], np.ndarray]:
+    """Components of the links among some sets; with `sides` (0 or 1), of the links between the two.
 
-    Returns for each set the smallest id of its component, the index of a leader
-    that it is linked with (itself, if it leads) and its distance to that leader.
+    Returns for each set the smallest id of its component, the index of the most
+    similar set that was linked with it in its own search (itself, if none), and the
+    weight of all sets that it is linked with. Without sides, sets are searched among
+    those before them.
     """
-    far, loose = 1 - percent / 100, within(percent, 2)
-    index, union = InvertedIndex(), _Union()
-    leaders: list[int] = []
-    led: list[list[tuple[float, int]]] = []
-    leader_of, distance = [0] * len(ids), [0.0] * len(ids)
-    for x, s in enumerate(sets):
-        elements = s.tolist()
-        near, ring = None, []
-        for c, both in index.search(elements, ceil_share(len(s), loose)):
-            whole = len(s) + index.sizes[c] - both
-            if 100 * both >= percent * whole:
-                union.join(ids[x], ids[leaders[c]])
-                if near is None or both / whole > near[0]:
-                    near = (both / whole, c)
-            if 100 * both >= loose * whole:
-                ring.append((c, 1 - both / whole))
-        for c, d in ring:
-            for r, m in led[c]:
-                if abs(d - r) <= far + 1e-9 and union.find(ids[m]) != union.find(ids[x]) and linked(s, sets[m], percent):
-                    union.join(ids[x], ids[m])
-        if near is None or not in_families(percent):
-            leaders.append(x)
-            led.append([])
-            leader_of[x] = x
-            index.add(elements)
-        else:
-            leader_of[x], distance[x] = leaders[near[1]], 1 - near[0]
-            led[near[1]].append((distance[x], x))
-    return [union.find(i) for i in ids], leader_of, distance
+    weight = np.ones(len(sets), np.int64) if weights is None else np.array(weights, np.int64)
+    side = np.zeros(len(sets), np.int64) if sides is None else np.array(sides, np.int64)
+    held = np.flatnonzero(side == 0)
+    index = InvertedIndex(sets[x] for x in held)
+    root, nearest, links = np.array(ids, np.int64), list(range(len(sets))), np.zeros(len(sets), np.int64)
+    for x in range(len(sets)) if sides is None else np.flatnonzero(side == 1).tolist():
+        found, both = index.linked(sets[x], percent, x if sides is None else None)
+        if not len(found):
+            continue
+        nearest[x] = int(held[found[(both / (len(sets[x]) + index.sizes[found] - both)).argmax()]])
+        found = held[found]
+        links[x] += weight[found].sum()
+        links[found] += weight[x]
+        met = root[found]
+        least = min(met.min(), root[x])
+        if (met != least).any():
+            root[np.isin(root, met)] = least
+        root[x] = least
+    return root.tolist(), nearest, links
 
 
 #: Elements of the texts that one task searches, where groups are smaller.
@@ -427,20 +424,6 @@ def _set_of(text: str | None, n: int) -> np.ndarray:
     return next(shingle_sets([(text or "").encode()], n))
 
 
-def local_clusters(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """(grp, rep, root, leader, distance) after a search within each block of `placed` (rep, size, grp, block)."""
-
-    def each(batches):
-        for (grp, _), rows in _blocks(batches):
-            ids = [r["rep"] for r in rows]
-            root, leader, distance = cluster(ids, [_set_of(r["text"], n) for r in rows], percent)
-            yield pa.RecordBatch.from_arrays([pa.array([grp] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(root, pa.int64()), pa.array([ids[k] for k in leader], pa.int64()), pa.array(distance, pa.float64())], ["grp", "rep", "root", "leader", "distance"])
-
-    texts = _texts_of(docs, placed, id_col, text_col).select("grp", "block", "rep", "text")
-    dealt = texts.repartition(_search_tasks(placed), "grp", "block").sortWithinPartitions("grp", "block", "rep")
-    return dealt.mapInArrow(each, "grp long, rep long, root long, leader long, distance double")
-
-
 def _blocks(batches):
     """((grp, block), rows) of sorted batches; a row that repeats an id is dropped."""
     now, held = None, []
@@ -457,87 +440,36 @@ def _blocks(batches):
         yield now, held
 
 
-def _pairs_between(docs, pairs, members, id_col, text_col, n, percent):
-    """Links between the members of two leaders, for each of `pairs` (p, a, b)."""
+def class_links(docs: DataFrame, groups: DataFrame, classes: DataFrame | None, id_col: str, text_col: str, n: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """(rep, component, links): the smallest representative that links reach from rep, and how many rows of other classes rep is linked with.
 
-    def each(batches):
-        for (p, _), rows in _blocks(batches):
-            sides: dict[int, list] = defaultdict(list)
-            for r in rows:
-                sides[r["side"]].append((r["rep"], _set_of(r["text"], n)))
-            index = InvertedIndex()
-            for _, s in sides[0]:
-                index.add(s.tolist())
-            out = []
-            for i, s in sides[1]:
-                for k, both in index.search(s.tolist(), ceil_share(len(s), percent)):
-                    if 100 * both >= percent * (len(s) + index.sizes[k] - both):
-                        out.append((i, sides[0][k][0]))
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-
-    sides = pairs.select("p", F.col("a").alias("leader"), F.lit(0).alias("side")).union(pairs.select("p", F.col("b"), F.lit(1)))
-    wanted = members.join(sides, "leader").select("rep", F.col("p").alias("grp"), F.col("side").cast("long").alias("block"), "side")
-    texts = _texts_of(docs, wanted, id_col, text_col).select("grp", F.lit(0).cast("long").alias("block"), "side", "rep", "text")
-    return texts.repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(each, "a long, b long")
-
-
-def _leader_pairs(docs, leaders, id_col, text_col, n, percent, block):
-    """Leaders of large groups: linked pairs, and pairs whose members may be linked.
-
-    Leaders are dealt in chunks; each pair of chunks of a group is searched in one
-    place, so that any number of leaders needs bounded memory.
+    classes: (rep, n_copies); without it, links are counted in classes. The classes
+    of a connected group are searched in one place, or if large, dealt by hash into
+    chunks of which each pair is searched in one place.
     """
-    near, loose = percent, within(percent, 3)
+    total = groups.groupBy("grp").agg(F.sum(F.greatest("size", F.lit(LEAST_SIZE))).alias("total"), F.count("*").alias("texts")).filter("texts > 1")
+    n_chunks = F.when(F.col("total") <= block, F.lit(1)).otherwise(F.ceil(F.col("total") / F.lit(max(1, block // 2)))).cast("long")
+    cut = groups.join(total, "grp").withColumn("n_chunks", n_chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("n_chunks")))
+    grid = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)))
+    grid = grid.withColumn("n_copies", F.lit(1).cast("long")) if classes is None else grid.join(classes, "rep")
+    lo, hi = F.least("chunk", "other"), F.greatest("chunk", "other")
+    side = (F.col("chunk") > F.col("other")).cast("long")
+    placed = settle(grid.select("rep", "size", "grp", (lo * F.lit(1 << 30) + hi).alias("block"), side.alias("side"), (lo < hi).alias("across"), "n_copies"))
 
     def each(batches):
         for _, rows in _blocks(batches):
-            index, out = InvertedIndex(), []
-            for k, r in enumerate(rows):
-                s = _set_of(r["text"], n).tolist()
-                for c, both in index.search(s, ceil_share(len(s), loose)):
-                    whole = len(s) + index.sizes[c] - both
-                    if 100 * both >= loose * whole:
-                        out.append((r["rep"], rows[c]["rep"], 100 * both >= near * whole))
-                index.add(s)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_())], ["a", "b", "link"])
-
-    room = max(1, block // 2)
-    total = leaders.groupBy("grp").agg(F.ceil(F.sum("size") / F.lit(room)).alias("n_chunks"))
-    cut = leaders.join(total, "grp").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("n_chunks")))
-    grid = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)))
-    lo, hi = F.least("chunk", "other"), F.greatest("chunk", "other")
-    placed = grid.withColumn("block", lo * F.lit(1 << 30) + hi).select("rep", "grp", "block")
-    texts = _texts_of(docs, placed, id_col, text_col).select("grp", "block", "rep", "text")
-    return texts.repartition("grp", "block").sortWithinPartitions("grp", "block", "rep").mapInArrow(each, "a long, b long, link boolean").distinct()
-
-
-def class_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, n: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """(rep, component): the smallest representative that links reach from rep."""
-    total = groups.groupBy("grp").agg(F.sum("size").alias("total"), F.count("*").alias("texts")).filter("texts > 1")
-    sized = groups.join(total, "grp")
-    # a large group is dealt by hash into chunks of about `block` elements, small ones are whole
-    n_chunks = F.ceil(F.col("total") / F.lit(block))
-    placed = settle(sized.select("rep", "size", "grp", (F.pmod(F.xxhash64("rep"), n_chunks)).cast("long").alias("block"), (n_chunks > 1).alias("split")))
-    local = settle(local_clusters(docs, placed.select("rep", "size", "grp", "block"), id_col, text_col, n, percent))
-    split = placed.filter("split").select("rep", "size", "grp")
-    if split.isEmpty():
-        return local.select("rep", F.col("root").alias("component"))
-    members = local.join(split.select("rep"), "rep", "left_semi").select("rep", "leader")
-    leaders = split.join(members.select(F.col("leader").alias("rep")).distinct(), "rep", "left_semi")
-    pairs = settle(_leader_pairs(docs, leaders, id_col, text_col, n, percent, block))
-    links = settle(local.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(pairs.filter("link").select("a", "b")))
-    label = settle(connected_components(links, "a", "b"))
-    of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
-    open_pairs = (
-        pairs.filter("not link").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        .filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select(F.xxhash64("a", "b").alias("p"), "a", "b")
-    )
-    open_pairs = settle(open_pairs)
-    if not open_pairs.isEmpty():
-        more = _pairs_between(docs, open_pairs, members, id_col, text_col, n, percent)
-        label = settle(connected_components(links.union(more), "a", "b"))
-    return local.select("rep").join(label, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
+            ids = [r["rep"] for r in rows]
+            sides = [r["side"] for r in rows] if rows[0]["across"] else None
+            root, _, links = cluster(ids, [_set_of(r["text"], n) for r in rows], percent, [r["n_copies"] for r in rows], sides)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, root, links)], ["rep", "root", "links"])
+
+    texts = _texts_of(docs, placed, id_col, text_col).select("grp", "block", "rep", "side", "across", "n_copies", "text")
+    dealt = texts.repartition(_search_tasks(placed), "grp", "block").sortWithinPartitions("grp", "block", "rep")
+    found = settle(dealt.mapInArrow(each, "rep long, root long, links long"))
+    if placed.filter("across").isEmpty():
+        return found.withColumnRenamed("root", "component")
+    label = connected_components(found, "rep", "root")
+    return found.groupBy("rep").agg(F.sum("links").alias("links")).join(label, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"), "links")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block: int = BLOCK, links: bool = False) -> DataFrame:
@@ -553,116 +485,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sigs = settle(fingerprints(docs, id_col, text_col, n))
     survivors = settle(prefix_survivors(docs, id_col, text_col, n, percent))
     groups = settle(candidate_groups(docs, survivors, id_col, text_col, n, percent))
-    near = class_links(docs, groups, id_col, text_col, n, percent, block)
     classes = sigs.filter("n_shingles > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
     if links:
         classes = settle(classes)
-        near = near.join(link_counts(docs, groups, classes.select("rep", "n_copies"), id_col, text_col, n, percent, block), "rep", "left")
-    else:
-        near = near.withColumn("links", F.lit(0).cast("long"))
+    near = class_links(docs, groups, classes.select("rep", "n_copies") if links else None, id_col, text_col, n, percent, block)
     named = classes.join(near, "rep", "left").filter("n_copies > 1 or component is not null").select(*same, "n_copies", F.coalesce("component", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
     known = F.col("id").isNotNull()
     copies = F.when(known, F.coalesce("n_copies", F.lit(1))).otherwise(F.lit(1)).cast("long")
     out = sigs.join(named, same, "left").select("id", "n_shingles", F.when(known, F.coalesce("component_id", "id")).alias("component_id"), copies.alias("n_copies"), (copies - 1 + F.when(known, F.coalesce("links", F.lit(0))).otherwise(F.lit(0))).cast("long").alias("n_links"))
     return out if links else out.drop("n_links")
-
-
-# -- links of each class -----------------------------------------------------
-
-
-class _Family:
-    """The members of one leader, by how they differ from it."""
-
-    def __init__(self, leader: np.ndarray):
-        self.leader = leader
-        # arrays that grow, and that numpy reads without a copy
-        self.who, self.sizes = array("q"), array("q")
-        self.lost = array("q")  # elements of the leader that a member lacks
-        self.holders: dict[int, array] = defaultdict(lambda: array("q"))  # members by an element in which they differ
-
-    def difference(self, s: np.ndarray) -> tuple[list[int], int]:
-        """What s and the leader don't share, and how many of these s lacks."""
-        lacks = self.leader[~np.isin(self.leader, s, assume_unique=True)]
-        has = s[~np.isin(s, self.leader, assume_unique=True)]
-        return [*lacks.tolist(), *has.tolist()], len(lacks)
-
-    def add(self, x: int, s: np.ndarray) -> None:
-        differs, lost = self.difference(s)
-        for e in differs:
-            self.holders[e].append(len(self.who))
-        self.who.append(x)
-        self.sizes.append(len(s))
-        self.lost.append(lost)
-
-    def linked(self, s: np.ndarray, percent: int) -> np.ndarray:
-        """The places of the members that are linked with s.
-
-        Two sets share all of the leader but what either lacks, plus what both lack,
-        plus what both have beside it; only the last two need the inverted lists.
-        """
-        differs, lost = self.difference(s)
-        sizes = np.frombuffer(self.sizes, np.int64)
-        both = len(self.leader) - lost - np.frombuffer(self.lost, np.int64)
-        lists = [np.frombuffer(x, np.int64) for e in differs if (x := self.holders.get(e))]
-        if lists:
-            both += np.bincount(np.concatenate(lists), minlength=len(sizes))
-        return np.flatnonzero(100 * both >= percent * (len(s) + sizes - both))
-
-
-def count_links(sets: list[np.ndarray], weights: list[int], percent: int, sides: list[int] | None = None) -> np.ndarray:
-    """For each set the weight of the others that it is linked with; with `sides`, of those on the other side.
-
-    Sets meet through leaders, as in cluster(): two linked sets have leaders within
-    twice the distance of either, which DivideSkip finds. Within a family, overlaps
-    are counted on what members do not share with their leader, which is little.
-    """
-    loose = within(percent, 2)
-    index, out = InvertedIndex(), np.zeros(len(sets), np.int64)
-    weight, side = np.array(weights, np.int64), np.array(sides if sides is not None else [0] * len(sets))
-    families: list[_Family] = []
-    for x, s in enumerate(sets):
-        elements = s.tolist()
-        near = None
-        for c, both in index.search(elements, ceil_share(len(s), loose)):
-            whole = len(s) + index.sizes[c] - both
-            if 100 * both < loose * whole:
-                continue
-            held = np.frombuffer(families[c].who, np.int64)[families[c].linked(s, percent)]
-            if sides is not None:
-                held = held[side[held] != side[x]]
-            out[x] += weight[held].sum()
-            out[held] += weight[x]
-            if 100 * both >= percent * whole and (near is None or both * near[1] > near[0] * whole):
-                near = (both, whole, c)
-        if near is None or not in_families(percent):
-            families.append(_Family(s))
-            families[-1].add(x, s)
-            index.add(elements)
-        else:
-            families[near[2]].add(x, s)
-    return out
-
-
-def link_counts(docs: DataFrame, groups: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """(rep, links): how many rows of other classes each class of `groups` is linked with.
-
-    classes: (rep, n_copies). The classes of a connected group are searched in one
-    place, or if large, in chunks of which each pair is searched in one place.
-    """
-    total = groups.groupBy("grp").agg(F.sum("size").alias("total"), F.count("*").alias("texts")).filter("texts > 1")
-    n_chunks = F.when(F.col("total") <= block, F.lit(1)).otherwise(F.ceil(F.col("total") / F.lit(max(1, block // 2)))).cast("long")
-    cut = groups.join(total, "grp").withColumn("n_chunks", n_chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("n_chunks")))
-    grid = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)))
-    lo, hi = F.least("chunk", "other"), F.greatest("chunk", "other")
-    side = (F.col("chunk") > F.col("other")).cast("long")
-    placed = settle(grid.join(classes, "rep").select("rep", "size", "grp", (lo * F.lit(1 << 30) + hi).alias("block"), side.alias("side"), (lo < hi).alias("across"), "n_copies"))
-
-    def each(batches):
-        for _, rows in _blocks(batches):
-            sides = [r["side"] for r in rows] if rows[0]["across"] else None
-            links = count_links([_set_of(r["text"], n) for r in rows], [r["n_copies"] for r in rows], percent, sides)
-            yield pa.RecordBatch.from_arrays([pa.array([r["rep"] for r in rows], pa.int64()), pa.array(links, pa.int64())], ["rep", "links"])
-
-    texts = _texts_of(docs, placed, id_col, text_col).select("grp", "block", "rep", "side", "across", "n_copies", "text")
-    dealt = texts.repartition(_search_tasks(placed), "grp", "block").sortWithinPartitions("grp", "block", "rep")
-    return dealt.mapInArrow(each, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -158,6 +159,61 @@ def test_local_search_loses_no_link(groups):
     assert roots == up and all(jaccard.linked(sets[x], sets[y], 80) for x, y in enumerate(leaders))
 
 
+def wide_family(n, size=140, edits=8):
+    """Copies of one set, each with up to `edits` stretches of five elements replaced, so that few are near one leader."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    base = np.arange(size, dtype=np.uint64)
+    for k in range(n):
+        s = base.copy()
+        for at in rnd.integers(0, size, rnd.integers(0, edits + 1)):
+            s[at : at + 5] = rnd.integers(size, 1 << 60, len(s[at : at + 5]), dtype=np.uint64)
+        yield np.unique(s)
+
+
+def linked_pairs(sets, percent=80):
+    """Whether each two sets are linked, by a matrix of all overlaps."""
+    import numpy as np
+
+    every, at = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros((len(sets), len(every)), np.float32)
+    held[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), at] = 1
+    both = held @ held.T
+    size = np.diag(both)
+    return 100 * both >= percent * (size[:, None] + size[None, :] - both)
+
+
+def test_components_of_a_wide_family_are_found_quickly():
+    sets = list(wide_family(1500))
+    began = time.process_time()
+    roots, _, _ = jaccard.cluster(list(range(len(sets))), sets, 80)
+    assert time.process_time() - began < 3
+    near = linked_pairs(sets)
+    want = list(range(len(sets)))
+    while (new := [min(want[b] for b in row.nonzero()[0]) for row in near]) != want:
+        want = new
+    assert roots == want and 100 < len(set(roots)) < 1400
+
+
+def test_no_row_for_each_pair_of_a_split_family(spark, documents):
+    rnd = random.Random(9)
+    rows = list(enumerate(family(rnd, [f"b{i}" for i in range(60)], 150, 5)))
+    docs = documents(rows)
+    sizes = spark.createDataFrame([(i, len(s), 0) for i, s in sets_of(rows).items()], "rep long, size long, grp long")
+    made = []
+    settle = jaccard.settle
+    try:
+        jaccard.settle = lambda df: made.append(settle(df)) or made[-1]
+        got = {r["rep"]: (r["component"], r["links"]) for r in jaccard.class_links(docs, sizes, None, "doc_id", "text", 5, 80, block=4800).collect()}
+    finally:
+        jaccard.settle = settle
+    s = sets_of(rows)
+    links = {a: sum(b != a and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]) for b in s) for a in s}
+    assert got == {i: (root, links[i]) for i, (_, root) in plain_components(rows).items()}
+    assert max(df.count() for df in made) <= 5 * len(rows) < max(links.values()) * len(rows)
+
+
 @given(st.lists(st.frozensets(st.integers(0, 30), min_size=1, max_size=15), min_size=1, max_size=20), st.frozensets(st.integers(0, 30), min_size=1), st.integers(1, 12))
 @settings(max_examples=150, deadline=None)
 def test_divide_skip_equals_counting(groups, query, least):
