@@ -196,6 +196,19 @@ def test_components_of_a_wide_family_are_found_quickly():
     assert roots == want and 100 < len(set(roots)) < 1400
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_links_of_a_wide_family_are_counted_quickly(split):
+    sets = list(wide_family(1500))
+    sides = [x % 3 % 2 for x in range(len(sets))] if split else None
+    weights = [1 + x % 4 for x in range(len(sets))]
+    began = time.process_time()
+    links = jaccard.cluster(list(range(len(sets))), sets, 80, weights, sides)[2]
+    assert time.process_time() - began < 3
+    near = linked_pairs(sets)
+    want = [sum(weights[b] for b in row.nonzero()[0] if b != x and (sides is None or sides[b] != sides[x])) for x, row in enumerate(near)]
+    assert links.tolist() == want
+
+
 def test_no_row_for_each_pair_of_a_split_family(spark, documents):
     rnd = random.Random(9)
     rows = list(enumerate(family(rnd, [f"b{i}" for i in range(60)], 150, 5)))
