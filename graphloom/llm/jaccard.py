@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import as_bytes, chunks, mix, runs, sliced, spaced_folded, split_words
@@ -253,33 +253,140 @@ def _texts_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> D
 # -- stage 3 ---------------------------------------------------------------
 
 
-def candidate_groups(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """(rep, size, grp): texts connected through their rarest shared elements."""
+#: Elements that one task counts.
+COUNT_ELEMENTS = 1 << 20
+
+
+def _post_blobs(n: int, n_parts: int):
+    """Map side: elements by range (kind 0), their hashes cut to 40 bits, and the sizes of texts by id (kind 1).
 
-    def elements(batches):
+    What two elements have in common by the cut only makes texts candidates.
+    """
+
+    def flush(sets, ids):
+        size = np.array([len(s) for s in sets], np.int64)
+        tok, rep = mix(np.concatenate(sets)), np.array(ids, np.int64)
+        rows = [(p, 1, rep[k].tobytes(), size[k].tobytes(), b"") for p, k in _by_part(rep, n_parts)]
+        part, rep = (tok % _U(n_parts)).astype(np.int32), np.repeat(rep, size)
+        order = np.argsort(part, kind="stable")
+        tok, rep, part = tok[order], rep[order], part[order]
+        high, low = (tok >> _U(32)).astype(np.uint32), (tok >> _U(24)).astype(np.uint8)
+        edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        rows += [(int(part[a]), 0, high[a:z].tobytes(), rep[a:z].tobytes(), low[a:z].tobytes()) for a, z in zip(edge, np.r_[edge[1:], len(tok)], strict=True)]
+        return _blob_batch(rows)
+
+    def each(batches):
+        sets, ids, held = [], [], 0
         for b in sliced(batches):
-            sets = list(shingle_sets(as_bytes(b.column(1)), n))
-            ids = np.repeat(np.array(b.column(0)), [len(s) for s in sets])
-            size = np.repeat([len(s) for s in sets], [len(s) for s in sets])
-            tok = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            for at in range(0, len(tok), 1 << 17):
-                z = slice(at, at + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[z], pa.int64()), pa.array(size[z], pa.int64()), pa.array(tok[z], pa.int64())], ["rep", "size", "tok"])
-
-    # the ids are distinct, but rows of the table may repeat an id: the first text counts
-    texts = _texts_of(docs, reps.select("rep"), id_col, text_col)
-    posts = texts.mapInArrow(elements, "rep long, size long, tok long")
-    df = posts.groupBy("tok").agg(F.count("*").alias("df"), F.min("rep").alias("hub")).filter("df > 1")
-    entries = posts.join(df, "tok").groupBy("rep", "size", "df", "hub").agg(F.count("*").alias("k"))
-    need = F.floor((F.col("size") * percent + 99) / 100)
-    by_rep = Window.partitionBy("rep")
-    ranked = (
-        entries.withColumn("shared", F.sum("k").over(by_rep))
-        .filter(F.col("shared") >= need)
-        .withColumn("before", F.col("size") - F.col("shared") + F.sum("k").over(by_rep.orderBy("df", "hub")) - F.col("k"))
-        .filter(F.col("before") < F.col("size") - need + 1)
-    )
-    edges = settle(ranked.select("rep", "size", "hub").distinct())
+            for i, s in zip(b.column(0).to_pylist(), shingle_sets(as_bytes(b.column(1)), n), strict=True):
+                if not len(s):
+                    continue
+                sets.append(s)
+                ids.append(i)
+                held += len(s)
+                if held >= FLUSH:
+                    yield flush(sets, ids)
+                    sets, ids, held = [], [], 0
+        if held:
+            yield flush(sets, ids)
+
+    return each
+
+
+def _frequencies(n_parts: int):
+    """Reduce side: for each text, how many of its elements are held by df texts of which hub is the least (kind 2: rep, hub, df and count)."""
+
+    def each(batches):
+        high, low, rep = [], [], []
+        for b in batches:
+            known = b.filter(pc.field("kind") == 1)
+            if known.num_rows:
+                yield known
+            for x, y, z in zip(*(b.filter(pc.field("kind") == 0).column(c).to_pylist() for c in "abc"), strict=True):
+                high.append(np.frombuffer(x, np.uint32))
+                rep.append(np.frombuffer(y, np.int64))
+                low.append(np.frombuffer(z, np.uint8))
+        if not rep:
+            return
+        tok = np.concatenate(high).astype(_U) << _U(8) | np.concatenate(low)
+        ids, text = np.unique(np.concatenate(rep), return_inverse=True)
+        del high, low, rep
+        order = np.argsort(tok)
+        tok, text = tok[order], text[order]
+        first = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
+        df = np.diff(np.r_[first, len(tok)])
+        place = np.repeat(np.where(df > 1, df * len(ids) + np.minimum.reduceat(text, first), 0), df)
+        text, place = text[place > 0], place[place > 0]
+        if not len(text):
+            return
+        order = np.lexsort((place, text))
+        text, place = text[order], place[order]
+        first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (place[1:] != place[:-1])])
+        rep, hub = ids[text[first]], ids[place[first] % len(ids)]
+        counts = np.stack([place[first] // len(ids), np.diff(np.r_[first, len(text)])], axis=1).astype(np.uint32)
+        yield _blob_batch([(p, 2, rep[k].tobytes(), hub[k].tobytes(), counts[k].tobytes()) for p, k in _by_part(rep, n_parts)])
+
+    return each
+
+
+def _rarest(percent: int):
+    """(rep, size, hub), each once: what the rarest n - T + 1 elements of a text connect it with, if it shares T at all."""
+
+    def each(batches):
+        known, size_of, rep, hub, counts = [], [], [], [], []
+        for b in batches:
+            for kind, x, y, z in zip(*(b.column(c).to_pylist() for c in ("kind", "a", "b", "c")), strict=True):
+                (known if kind == 1 else rep).append(np.frombuffer(x, np.int64))
+                (size_of if kind == 1 else hub).append(np.frombuffer(y, np.int64))
+                if kind == 2:
+                    counts.append(np.frombuffer(z, np.uint32).reshape(-1, 2))
+        if not rep:
+            return
+        known, at = np.unique(np.concatenate(known), return_index=True)
+        size_of = np.concatenate(size_of)[at]
+        rep, hub, counts = np.concatenate(rep), np.concatenate(hub), np.concatenate(counts).astype(np.int64)
+        order = np.lexsort((hub, counts[:, 0], rep))
+        rep, hub, df, k = rep[order], hub[order], counts[order, 0], counts[order, 1]
+        new = np.r_[True, rep[1:] != rep[:-1]]
+        # elements of one place are taken or left together
+        first = np.flatnonzero(new | np.r_[True, (hub[1:] != hub[:-1]) | (df[1:] != df[:-1])])
+        k, rep, hub, new = np.add.reduceat(k, first), rep[first], hub[first], new[first]
+        start = np.flatnonzero(new)
+        n_places = np.diff(np.r_[start, len(rep)])
+        shared, upto = np.add.reduceat(k, start), np.cumsum(k) - k
+        size = size_of[np.searchsorted(known, rep[start])]
+        need = ceil_share(size, percent)
+        before = upto - np.repeat(upto[start] - size + shared, n_places)
+        kept = np.repeat(shared >= need, n_places) & (before < np.repeat(size - need + 1, n_places))
+        rep, hub, size = rep[kept], hub[kept], np.repeat(size, n_places)[kept]
+        order = np.lexsort((hub, rep))
+        rep, hub, size = rep[order], hub[order], size[order]
+        once = np.r_[True, (rep[1:] != rep[:-1]) | (hub[1:] != hub[:-1])][: len(rep)]
+        rep, hub, size = rep[once], hub[once], size[once]
+        for at in range(0, len(rep), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (rep, size, hub)], ["rep", "size", "hub"])
+
+    return each
+
+
+def candidate_edges(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """(rep, size, hub): texts and the least text that each place of their rarest shared elements belongs to.
+
+    Two shuffles of blobs, as in stage 2: by element and by id. No row is made for an element.
+    """
+    spark = docs.sparkSession
+    total = reps.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    n_tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), total // COUNT_ELEMENTS)
+    n_parts = 4 * n_tasks if n_tasks < 1024 else n_tasks
+    # the ids are distinct, but rows of the table may repeat an id: their elements count again, which makes more candidates
+    posts = _texts_of(docs, reps.select("rep"), id_col, text_col).mapInArrow(_post_blobs(n, n_parts), _BLOBS)
+    met = posts.repartition(n_tasks, "part").mapInArrow(_frequencies(n_parts), _BLOBS)
+    return met.repartition(n_tasks, "part").mapInArrow(_rarest(percent), "rep long, size long, hub long")
+
+
+def candidate_groups(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """(rep, size, grp): texts connected through their rarest shared elements."""
+    edges = settle(candidate_edges(docs, reps, id_col, text_col, n, percent))
     grouped = connected_components(edges, "rep", "hub")
     return edges.select("rep", "size").distinct().join(grouped, F.col("rep") == F.col("node")).select("rep", "size", F.col("component").alias("grp"))
 
