@@ -58,6 +58,24 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send Python batches of BATCH_BYTES at most, or of what is set, if less.
+
+    Spark's own batches of whole texts take up to 64 MB, beside as much again while
+    they grow, in the executor for each task and again in each worker. Results do not
+    depend on it. It stays set, since plans are lazy.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    least = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) if now else 0
+    if not 0 < least <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def bytes_of(df: DataFrame) -> int:
     """The optimizer's estimate of a plan's input size, for partition counts only; 0 where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import alnum_folded, as_bytes, chunks, sliced, split_words
-from ._shared import fresh_path, remove, settle
+from ._shared import fresh_path, remove, settle, small_batches
 
 _U = np.uint64
 #: Bytes of window hashes and item ids in one block.
@@ -330,6 +330,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     index is kept at index_path if one is named, and removed after the last pass if not.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     pairs = settle(window_pairs(benchmark, item_col, item_text_col, window))
     n_pairs, width = pairs.agg(F.count("*"), F.coalesce(F.avg(F.octet_length("terms") + F.coalesce(F.octet_length("item"), F.lit(0)) + 24), F.lit(1))).first()
     n_blocks = max(1, -(-int(n_pairs * width) // block_bytes))

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import as_bytes, chunks, mix, runs, sliced, spaced_folded, split_words
-from ._shared import bytes_of, settle
+from ._shared import bytes_of, settle, small_batches
 from .components import connected_components
 
 _U = np.uint64
@@ -588,6 +588,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows that repeat an id must repeat its text. Rows with a null id take part in
     no link: their component is null and they are one copy.
     """
+    small_batches(docs.sparkSession)
     same = ["n_shingles", "f1", "f2"]
     sigs = settle(fingerprints(docs, id_col, text_col, n))
     survivors = settle(prefix_survivors(docs, id_col, text_col, n, percent))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import SPACED, as_bytes, chunks, runs, sliced, spaced_exact, split_words
-from ._shared import settle
+from ._shared import settle, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
@@ -74,6 +74,7 @@ def counts_of(texts: list[bytes], window: int = 3):
 
 def text_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs and the COUNTS of its text."""
+    small_batches(docs.sparkSession)
     keep = keep or []
     picked = docs.select(F.col(text_col).alias("_text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)))
     kept = [picked.schema[f"_{i}"].dataType.simpleString() for i in range(len(keep))]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import _POSITION, _U, alnum_folded, as_bytes, chunks, mix, sliced, split_words
-from ._shared import settle
+from ._shared import settle, small_batches
 
 #: Lengths in bytes of the word beginnings that are features, beside whole words.
 BEGINNINGS = (4, 5)
@@ -214,6 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **options) -> DataFrame:
     """(id, held_out, score, predicted) for each row of docs."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, **options))
 
     def each(batches):

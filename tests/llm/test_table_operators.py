@@ -10,6 +10,7 @@ import time
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from graphloom.llm import chat, components, jaccard, mixing, oracles, queries, urls, warc
+from graphloom.llm._shared import small_batches
 
 SF = "/root/testdata/sf0.001"
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -670,6 +672,27 @@ def test_stages_take_empty_tables_clashing_columns_nulls_and_repeats(spark, tmp_
         assert got.count() == len(rows) and all(r["taken"] == r["copies"] * r["size"] for r in got.collect())
 
 
+@pytest.mark.parametrize("name", ["toxicity", "quality_rules", "ngram_jaccard_join", "benchmark_decontamination"])
+def test_stages_send_python_small_batches(spark, tmp_path, name):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    folder = staged(spark, tmp_path, [(1, "one two three", "x", 0)], [(1, 0, 0, "en", "x", 0.0)])
+    docs = spark.createDataFrame([(1, "some text", "en", "a"), (2, "other text", "en", "a")], "doc_id long, text string, lang string, source string")
+    dict(corpus_pipeline.STAGES)[name](spark, docs, folder).count()
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    texts = spark.range(0, 3000, 1, 1).selectExpr("repeat('some text ', 600) as text")
+    seen = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(seen) > 17_000_000 and max(seen) < 6_000_000
+    spark.conf.set(key, "64k")  # a smaller limit stays
+    small_batches(spark)
+    assert spark.conf.get(key) == "64k"
+    spark.conf.unset(key)
+
+
 def test_repeated_rows_leave_one(spark):
     rows = [(1, "a b c d e f g", "en", "s", 1)] * 3 + [(2, "a b c d e f g", "en", "s", 1), (3, None, "en", "s", 1), (None, "x", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
