@@ -376,7 +376,8 @@ def candidate_edges(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str
     """
     spark = docs.sparkSession
     total = reps.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    n_tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), total // COUNT_ELEMENTS)
+    # by elements alone, as each task sends a row to each range
+    n_tasks = max(2 * spark.sparkContext.defaultParallelism, total // COUNT_ELEMENTS)
     n_parts = 4 * n_tasks if n_tasks < 1024 else n_tasks
     # the ids are distinct, but rows of the table may repeat an id: their elements count again, which makes more candidates
     posts = _texts_of(docs, reps.select("rep"), id_col, text_col).mapInArrow(_post_blobs(n, n_parts), _BLOBS)
