@@ -158,6 +158,16 @@ def _fragments(files: DataFrame, before: DataFrame | None, names: bool) -> tuple
     return found, count(fresh.filter("part = 'file'"), "reparsed").union(count(good.filter("part = 'file'"), "reused"))
 
 
+def imported_files(files: DataFrame, aliases: DataFrame | None = None, rules: list[dict] | None = None) -> DataFrame:
+    """(path, target, ord) as Graph.imported has it, for those who need no more: nothing but imports is looked for."""
+    code = files.filter("kind in ('code', 'test')").select("path", "content")
+    return _imported(resolve_imports(files.select("path"), settle(extraction.imports(extraction.lines(code))), aliases, rules))
+
+
+def _imported(resolved: DataFrame) -> DataFrame:
+    return resolved.filter("target is not null").groupBy("path", "target").agg(F.min("line_no").alias("ord"))
+
+
 def build_graph(files: DataFrame, with_calls: bool = False, with_references: bool = False, aliases: DataFrame | None = None, rules: list[dict] | None = None, fragments: DataFrame | None = None) -> Graph:
     """The structural graph of files (path, kind, content[, hash]).
 
@@ -170,7 +180,7 @@ def build_graph(files: DataFrame, with_calls: bool = False, with_references: boo
     found, cached = _fragments(files, fragments, with_calls or with_references or fragments is not None)
     symbols = found.filter("part = 'symbol'").select("path", "line_no", "kind", "name", "exported")
     resolved = settle(resolve_imports(paths, found.filter("part = 'import'").select("path", "line_no", "source", "specifiers"), aliases, rules))
-    imported = resolved.filter("target is not null").groupBy("path", "target").agg(F.min("line_no").alias("ord"))
+    imported = _imported(resolved)
     parents = found.filter("part = 'heritage'").select("path", "line_no", "ord", "kind", "child", "parent")
     lang = language(F.col("path"))
     nodes = _node(files, id=file_id(F.col("path")), type=F.lit("file"), label=basename(F.col("path")), path=F.col("path"), kind=F.col("kind"), lang=lang)

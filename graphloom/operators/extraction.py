@@ -145,7 +145,8 @@ def imports(source: DataFrame) -> DataFrame:
     # a Go import block is open from its first line to the next closing parenthesis
     order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(line.rlike(GO_OPEN), True).when(line.rlike(GO_CLOSE), False)
-    go = source.filter(lang == "go").withColumn("open", F.coalesce(F.last(mark, ignorenulls=True).over(order), F.lit(False)))
+    # no other line opens, closes or is an import: the rest isn't shuffled
+    go = source.filter((lang == "go") & (line.rlike(GO_OPEN) | line.rlike(GO_CLOSE) | line.rlike(GO_BLOCK) | line.rlike(GO_SINGLE))).withColumn("open", F.coalesce(F.last(mark, ignorenulls=True).over(order), F.lit(False)))
     go = go.select("path", "line_no", F.when(line.rlike(GO_OPEN) | (~F.col("open") & line.rlike(GO_CLOSE)), None).when(F.col("open") & line.rlike(GO_BLOCK), pair(got(GO_BLOCK))).when(~F.col("open") & line.rlike(GO_SINGLE), pair(got(GO_SINGLE))).alias("i"))
     js = F.when(line.rlike(JS_IMPORT), pair(got(JS_IMPORT, 2), specifiers(got(JS_IMPORT)))).when(line.rlike(JS_SIDE_EFFECT), pair(got(JS_SIDE_EFFECT))).when(line.rlike(JS_IMPORT_END), pair(got(JS_IMPORT_END)))
     py = F.when(line.rlike(PY_FROM), pair(got(PY_FROM))).when(line.rlike(PY_IMPORT), pair(got(PY_IMPORT)))
@@ -279,13 +280,14 @@ def page_route(path: Column, extension: str) -> Column:
 def endpoints(files: DataFrame) -> DataFrame:
     """(method, url, path, framework): what the code files (path, kind, content) expose."""
     code = files.filter((F.col("kind") == "code") & likely_endpoint(F.col("path"))).select("path", "content", extname(F.col("path")).alias("ext"))
-    rows = code.select("path", "ext", F.posexplode(F.split("content", r"\r?\n")).alias("i", "line")).filter(~F.trim(F.regexp_replace("line", r"\s", " ")).rlike(r"^(//|\*|/\*|#)"))
+    rows = code.select("path", "ext", F.posexplode(F.split("content", r"\r?\n")).alias("i", "line")).filter(~F.col("line").rlike(r"^\s*(//|\*|/\*|#)"))
     line, parts, base = F.col("line"), segments(F.col("path")), basename(F.col("path"))
     script = F.col("ext").isin(*SCRIPTS)
     bare = lambda c: F.regexp_replace(c, "^/|/$", "")
     order = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     prefix = F.last(F.when(line.rlike(NEST_CONTROLLER), bare(F.regexp_extract("line", NEST_CONTROLLER, 1))), ignorenulls=True).over(order)
-    nest = rows.filter(script).withColumn("prefix", F.coalesce(prefix, F.lit(""))).filter(line.rlike(NEST_METHOD))
+    # no other line sets a prefix or is a method: the rest isn't shuffled
+    nest = rows.filter(script & (line.rlike(NEST_CONTROLLER) | line.rlike(NEST_METHOD))).withColumn("prefix", F.coalesce(prefix, F.lit(""))).filter(line.rlike(NEST_METHOD))
     joined = F.concat(F.lit("/"), F.array_join(F.filter(F.array("prefix", bare(F.regexp_extract("line", NEST_METHOD, 2))), lambda x: x != ""), "/"))
     many = lambda rx, g: F.regexp_extract_all("line", F.lit(rx), F.lit(g))
     made = lambda m, u, f: F.struct(m.alias("method"), u.alias("url"), F.lit(f).alias("framework"))

@@ -59,12 +59,16 @@ def front_matter(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    files = code_files(spark, sf_dir)
+    files = settle(code_files(spark, sf_dir))
     return building.build_graph(files, True, True, scan.workspace_aliases(files, files), scan.path_aliases(CONFIG))
 
 
+def _imported(files):
+    return building.imported_files(files, scan.workspace_aliases(files, files), scan.path_aliases(CONFIG))
+
+
 def resolved_imports(spark, sf_dir):
-    return _graph(spark, sf_dir).imported.select("path", "target")
+    return _imported(settle(code_files(spark, sf_dir))).select("path", "target")
 
 
 def build_nodes(spark, sf_dir):
@@ -105,8 +109,8 @@ def semantic_layers(spark, sf_dir):
 
 
 def _semantic(spark, sf_dir):
-    files = code_files(spark, sf_dir)
-    imported = _graph(spark, sf_dir).imported
+    files = settle(code_files(spark, sf_dir))
+    imported = settle(_imported(files))
     return files, semantics.detect(files, imported), imported
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import kind
@@ -49,6 +49,9 @@ DOCUMENTS_PER_TREE = 20
 #: What tells the copies apart: in paths and contents, these are followed by the copy's number.
 MARKS = ["users", "shared/types", "billing", "apps/shop", "cmd/tool", "native", "java/", "web", "tools", "packages/core", "demo/core", "packages/app", '"app', "packages-app", "lib", "readme"]
 
+#: Stands for a copy's number in the tree that the copies are made from.
+NUMBER = "\x01"
+
 
 def code_files(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     """(path, content, kind): the tree, with sf_dir as many copies of it as its documents ask for.
@@ -56,18 +59,21 @@ def code_files(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     Copy 0 is the tree as it stands. Names of folders and packages differ from copy
     to copy, names of symbols don't.
     """
-    files = spark.createDataFrame(list(FILES.items()), "path string, content string")
-    if sf_dir is not None:
-        trees = max(1, spark.read.parquet(f"{sf_dir}/documents.parquet").count() // DOCUMENTS_PER_TREE)
-        files = spark.range(trees).crossJoin(F.broadcast(files)).select(_marked(F.col("path")).alias("path"), _marked(F.col("content")).alias("content"))
+    if sf_dir is None:
+        return spark.createDataFrame(list(FILES.items()), "path string, content string").withColumn("kind", kind(F.col("path")))
+    files = spark.createDataFrame([(_marked(p), _marked(c)) for p, c in FILES.items()], "path string, content string")
+    trees = max(1, spark.read.parquet(f"{sf_dir}/documents.parquet").count() // DOCUMENTS_PER_TREE)
+    number = F.when(F.col("id") == 0, "").otherwise(F.col("id").cast("string"))
+    numbered = lambda c: F.replace(c, F.lit(NUMBER), number).alias(c)
+    files = spark.range(trees).crossJoin(F.broadcast(files)).select(numbered("path"), numbered("content"))
     return files.withColumn("kind", kind(F.col("path")))
 
 
-def _marked(text: Column) -> Column:
-    out = text
+def _marked(text: str) -> str:
+    """text with NUMBER after each mark; as no mark holds a digit or NUMBER, one replacement per copy does the rest."""
     for mark in MARKS:
-        out = F.replace(out, F.lit(mark), F.concat(F.lit(mark), F.col("id").cast("string")))
-    return F.when(F.col("id") == 0, text).otherwise(out)
+        text = text.replace(mark, mark + NUMBER)
+    return text
 
 
 def sql_values() -> str:
