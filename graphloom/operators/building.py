@@ -133,14 +133,8 @@ def parse_fragments(code: DataFrame, names: bool = True) -> DataFrame:
     part says what a row is: file (one for each), symbol, import, heritage and, with
     `names`, call and reference.
     """
-    source = settle(extraction.lines(code.select("path", "content")))
-    found = {"symbol": extraction.declarations(source), "import": extraction.imports(source), "heritage": extraction.heritage(source)}
-    if names:
-        found |= {"call": extraction.calls(source), "reference": extraction.references(source)}
-    out = code.select("path", F.lit("file").alias("part"))
-    for part, df in found.items():
-        out = out.unionByName(df.withColumn("part", F.lit(part)), allowMissingColumns=True)
-    return out.join(code.select("path", "hash"), "path").withColumn("version", F.lit(PARSER_VERSION))
+    found = extraction.everything(extraction.lines(code, "hash"), names)
+    return code.select("path", "hash", F.lit("file").alias("part")).unionByName(found, allowMissingColumns=True).withColumn("version", F.lit(PARSER_VERSION))
 
 
 def _fragments(files: DataFrame, before: DataFrame | None, names: bool) -> tuple[DataFrame, DataFrame]:
@@ -180,7 +174,7 @@ def build_graph(files: DataFrame, with_calls: bool = False, with_references: boo
     found, cached = _fragments(files, fragments, with_calls or with_references or fragments is not None)
     symbols = found.filter("part = 'symbol'").select("path", "line_no", "kind", "name", "exported")
     resolved = settle(resolve_imports(paths, found.filter("part = 'import'").select("path", "line_no", "source", "specifiers"), aliases, rules))
-    imported = _imported(resolved)
+    imported = settle(_imported(resolved))
     parents = found.filter("part = 'heritage'").select("path", "line_no", "ord", "kind", "child", "parent")
     lang = language(F.col("path"))
     nodes = _node(files, id=file_id(F.col("path")), type=F.lit("file"), label=basename(F.col("path")), path=F.col("path"), kind=F.col("kind"), lang=lang)
@@ -188,18 +182,20 @@ def build_graph(files: DataFrame, with_calls: bool = False, with_references: boo
     more, external_edges = external(resolved)
     folders, contains = folder_edges(paths)
     nodes = nodes.union(more).union(_node(folders, id=F.col("id"), type=F.lit("folder"), label=basename(F.col("path")), path=F.col("path")))
-    edges = _edge(symbols, file_id(F.col("path")), symbol_id(F.col("path"), F.col("name")), "defines")
+    edges = _edge(symbols, file_id(F.col("path")), symbol_id(F.col("path"), F.col("name")), "defines").distinct()
     edges = edges.union(_edge(imported, file_id(F.col("path")), file_id(F.col("target")), "imports")).union(external_edges)
-    edges = edges.union(test_edges(paths)).union(_edge(contains, F.col("src"), F.col("dst"), "contains"))
-    kin = resolve_names(parents.withColumnRenamed("parent", "name"), symbols, imported)
-    edges = edges.union(_edge(kin, symbol_id(F.col("path"), F.col("child")), F.col("target"), F.col("kind")))
-    if with_calls or with_references:
-        called = found.filter("part = 'call'").select("path", "line_no", "name")
-        if with_calls:
-            edges = edges.union(_edge(resolve_names(called, symbols, imported), file_id(F.col("path")), F.col("target"), "calls"))
-        if with_references:
-            handled = called.select("path", "name").union(parents.select("path", "parent")).distinct()
-            rest = found.filter("part = 'reference'").select("path", "line_no", "name").join(handled, ["path", "name"], "left_anti")
-            edges = edges.union(_edge(resolve_names(rest, symbols, imported), file_id(F.col("path")), F.col("target"), "references"))
-    edges = edges.distinct().withColumn("weight", default_weight(F.col("type")))
+    edges = edges.union(test_edges(paths).distinct()).union(_edge(contains, F.col("src"), F.col("dst"), "contains"))
+    # names of all relations are looked up together: (path, name, child, type)
+    wanted = parents.select("path", F.col("parent").alias("name"), "child", F.col("kind").alias("type"))
+    called = found.filter("part = 'call'").select("path", "name").distinct()
+    if with_calls:
+        wanted = wanted.union(called.select("path", "name", F.lit(None), F.lit("calls")))
+    if with_references:
+        handled = called.union(parents.select("path", "parent")).distinct()
+        rest = found.filter("part = 'reference'").select("path", "name").distinct().join(handled, ["path", "name"], "left_anti")
+        wanted = wanted.union(rest.select("path", "name", F.lit(None), F.lit("references")))
+    source = F.when(F.col("type").isin("calls", "references"), file_id(F.col("path"))).otherwise(symbol_id(F.col("path"), F.col("child")))
+    edges = edges.union(_edge(resolve_names(wanted, symbols, imported), source, F.col("target"), F.col("type")).distinct())
+    # each family is without repeats, and no two of them share a type and a kind of target
+    edges = edges.withColumn("weight", default_weight(F.col("type")))
     return Graph(nodes, edges, imported, found, cached)

@@ -65,10 +65,10 @@ LITERALS = r"""'(?:\\.|[^'\\]|\\$)*(?:'|$)|"(?:\\.|[^"\\]|\\$)*(?:"|$)|`(?:\\.|[
 SEPARATORS = r"[\s(){};,=:<>+\-*/%!|&^?]"
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """(path, language, line_no, line) of files (path, content) in a known language."""
-    known = files.withColumn("language", language(F.col("path"))).filter("language is not null")
-    return known.select("path", "language", F.posexplode(F.split("content", r"\r?\n")).alias("i", "line")).select("path", "language", (F.col("i") + 1).cast("long").alias("line_no"), "line")
+def lines(files: DataFrame, *keep: str) -> DataFrame:
+    """(path, language, line_no, line) of files (path, content) in a known language, with the columns named in keep."""
+    known = files.select("path", "content", *keep, language(F.col("path")).alias("language")).filter("language is not null")
+    return known.select("path", *keep, "language", F.posexplode(F.split("content", r"\r?\n")).alias("i", "line")).select("path", *keep, "language", (F.col("i") + 1).cast("long").alias("line_no"), "line")
 
 
 def _fits(d: Declaration) -> Column:
@@ -88,10 +88,18 @@ def _exported(d: Declaration) -> Column:
     return {"group": group != "", "public": F.trim(group) == "public", "plain": ~name.startswith("_"), "capital": name.rlike("^[A-Z]")}[d.exported]
 
 
+def _ruled(source: DataFrame) -> DataFrame:
+    """source with rule, the number of the declaration that a line is, so that the patterns are tried once."""
+    return source.withColumn("rule", _first([(_fits(d), F.lit(i)) for i, d in enumerate(DECLARATIONS)]))
+
+
+def _declared() -> Column:
+    return _first([(F.col("rule") == i, F.struct(F.lit(d.kind).alias("kind"), F.regexp_extract("line", d.pattern, d.name).alias("name"), _exported(d).alias("exported"))) for i, d in enumerate(DECLARATIONS)])
+
+
 def declarations(source: DataFrame) -> DataFrame:
     """(path, line_no, kind, name, exported) of lines()."""
-    found = _first([(_fits(d), F.struct(F.lit(d.kind).alias("kind"), F.regexp_extract("line", d.pattern, d.name).alias("name"), _exported(d).alias("exported"))) for d in DECLARATIONS])
-    return source.select("path", "line_no", F.explode(F.array_compact(F.array(found))).alias("d")).select("path", "line_no", "d.kind", "d.name", "d.exported")
+    return _ruled(source).select("path", "line_no", F.explode(F.array_compact(F.array(_declared()))).alias("d")).select("path", "line_no", "d.kind", "d.name", "d.exported")
 
 
 def heritage_list(raw: Column) -> Column:
@@ -104,10 +112,7 @@ def _relation(kind: str, child: Column):
     return lambda parent: F.struct(F.lit(kind).alias("kind"), child.alias("child"), parent.alias("parent"))
 
 
-def heritage(source: DataFrame) -> DataFrame:
-    """(path, line_no, ord, kind, child, parent): extends and implements, in order."""
-    item = "array<struct<kind:string,child:string,parent:string>>"
-
+def _kin() -> Column:
     def of(d: Declaration) -> Column:
         child = F.regexp_extract("line", d.pattern, d.name)
         made = []
@@ -116,10 +121,14 @@ def heritage(source: DataFrame) -> DataFrame:
                 raw = F.regexp_extract("line", d.pattern, g)
                 names = heritage_list(raw) if many else F.filter(F.array(F.trim(F.regexp_replace(raw, "<.*$", ""))), lambda x: x != "")
                 made.append(F.transform(names, _relation(kind, child)))
-        return F.concat(*made) if made else F.array().cast(item)
+        return F.concat(*made)
+
+    return _first([(F.col("rule") == i, of(d)) for i, d in enumerate(DECLARATIONS) if d.extends or d.implements])
+
 
-    found = _first([(_fits(d), of(d)) for d in DECLARATIONS])
-    return source.select("path", "line_no", F.posexplode(found).alias("ord", "h")).select("path", "line_no", "ord", "h.kind", "h.child", "h.parent")
+def heritage(source: DataFrame) -> DataFrame:
+    """(path, line_no, ord, kind, child, parent): extends and implements, in order."""
+    return _ruled(source).select("path", "line_no", F.posexplode(_kin()).alias("ord", "h")).select("path", "line_no", "ord", "h.kind", "h.child", "h.parent")
 
 
 def specifiers(clause: Column) -> Column:
@@ -136,22 +145,37 @@ def specifiers(clause: Column) -> Column:
     return F.when(ns != "", F.array(spec("namespace", ns))).otherwise(F.concat(default, named))
 
 
-def imports(source: DataFrame) -> DataFrame:
-    """(path, line_no, source, specifiers) of lines()."""
-    line, lang = F.col("line"), F.col("language")
-    none = F.array().cast("array<struct<kind:string,name:string,imported:string>>")
+def _named() -> Column:
+    """What a line of a language without import blocks imports, or null."""
+    line = F.col("line")
     got = lambda rx, g=1: F.regexp_extract("line", rx, g)
-    pair = lambda s, specs=none: F.struct(s.alias("source"), specs.alias("specifiers"))
+    js = F.when(line.rlike(JS_IMPORT), _pair(got(JS_IMPORT, 2), specifiers(got(JS_IMPORT)))).when(line.rlike(JS_SIDE_EFFECT), _pair(got(JS_SIDE_EFFECT))).when(line.rlike(JS_IMPORT_END), _pair(got(JS_IMPORT_END)))
+    py = F.when(line.rlike(PY_FROM), _pair(got(PY_FROM))).when(line.rlike(PY_IMPORT), _pair(got(PY_IMPORT)))
+    return F.when(F.col("language") == "python", py).when(F.col("language").isin(*JS), js)
+
+
+def _pair(source: Column, specs: Column | None = None) -> Column:
+    none = F.array().cast("array<struct<kind:string,name:string,imported:string>>")
+    return F.struct(source.alias("source"), (none if specs is None else specs).alias("specifiers"))
+
+
+def go_imports(source: DataFrame) -> DataFrame:
+    """imports() of the lines in Go."""
+    line, lang = F.col("line"), F.col("language")
     # a Go import block is open from its first line to the next closing parenthesis
     order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(line.rlike(GO_OPEN), True).when(line.rlike(GO_CLOSE), False)
     # no other line opens, closes or is an import: the rest isn't shuffled
     go = source.filter((lang == "go") & (line.rlike(GO_OPEN) | line.rlike(GO_CLOSE) | line.rlike(GO_BLOCK) | line.rlike(GO_SINGLE))).withColumn("open", F.coalesce(F.last(mark, ignorenulls=True).over(order), F.lit(False)))
-    go = go.select("path", "line_no", F.when(line.rlike(GO_OPEN) | (~F.col("open") & line.rlike(GO_CLOSE)), None).when(F.col("open") & line.rlike(GO_BLOCK), pair(got(GO_BLOCK))).when(~F.col("open") & line.rlike(GO_SINGLE), pair(got(GO_SINGLE))).alias("i"))
-    js = F.when(line.rlike(JS_IMPORT), pair(got(JS_IMPORT, 2), specifiers(got(JS_IMPORT)))).when(line.rlike(JS_SIDE_EFFECT), pair(got(JS_SIDE_EFFECT))).when(line.rlike(JS_IMPORT_END), pair(got(JS_IMPORT_END)))
-    py = F.when(line.rlike(PY_FROM), pair(got(PY_FROM))).when(line.rlike(PY_IMPORT), pair(got(PY_IMPORT)))
-    rest = source.filter(lang.isin(*JS, "python")).select("path", "line_no", F.when(lang == "python", py).otherwise(js).alias("i"))
-    return rest.union(go).filter("i is not null").select("path", "line_no", "i.source", "i.specifiers")
+    got = lambda rx: F.regexp_extract("line", rx, 1)
+    i = F.when(line.rlike(GO_OPEN) | (~F.col("open") & line.rlike(GO_CLOSE)), None).when(F.col("open") & line.rlike(GO_BLOCK), _pair(got(GO_BLOCK))).when(~F.col("open") & line.rlike(GO_SINGLE), _pair(got(GO_SINGLE)))
+    return go.select(*[c for c in source.columns if c not in ("language", "line")], i.alias("i")).filter("i is not null").select("*", "i.source", "i.specifiers").drop("i")
+
+
+def imports(source: DataFrame) -> DataFrame:
+    """(path, line_no, source, specifiers) of lines()."""
+    rest = source.filter(F.col("language").isin(*JS, "python")).select("path", "line_no", F.explode(F.array_compact(F.array(_named()))).alias("i")).select("path", "line_no", "i.source", "i.specifiers")
+    return rest.union(go_imports(source.select("path", "language", "line_no", "line")))
 
 
 def code_only(line: Column) -> Column:
@@ -159,21 +183,67 @@ def code_only(line: Column) -> Column:
     return F.regexp_replace(line, LITERALS, " ")
 
 
+#: A name before a parenthesis, with the keyword that makes it a definition, and one without.
+_CALL = rf"(?:(?<=^|{SEPARATORS})(?:{'|'.join(DEFINES)}){SEPARATORS}+)?\b[A-Za-z_$][\w$]*\s*\("
+_BARE_CALL = r"^([A-Za-z_$][\w$]*)\s*\($"
+_REFERENCE = r"\b([A-Z][\w$]*)\b(?!\s*\()"
+
+
+def _called(code: Column) -> Column:
+    """Names that are called in code; a match is a keyword and a name, or just a name."""
+    names = F.transform(F.regexp_extract_all(code, F.lit(_CALL), F.lit(0)), lambda x: F.regexp_extract(x, _BARE_CALL, 1))
+    return F.when(code.contains("("), F.filter(names, lambda x: (x != "") & ~x.isin(RESERVED)))
+
+
+def _mentioned(code: Column) -> Column:
+    """Capitalised names in code that aren't called, imported or defined there."""
+    skip = F.lit(False)
+    for rx in NO_REFERENCES:
+        skip = skip | F.col("line").rlike(rx)
+    return F.when(code.rlike("[A-Z]") & ~skip, F.regexp_extract_all(code, F.lit(_REFERENCE), F.lit(1)))
+
+
 def calls(source: DataFrame) -> DataFrame:
     """(path, line_no, name) for each call site name( that isn't reserved or a definition."""
-    rx = rf"(?:(?<=^|{SEPARATORS})({'|'.join(DEFINES)}){SEPARATORS}+)?\b([A-Za-z_$][\w$]*)\s*\("
     masked = source.filter(F.col("language").isin(*JS, "python")).select("path", "line_no", code_only(F.col("line")).alias("code"))
-    both = masked.select("path", "line_no", F.explode(F.arrays_zip(F.regexp_extract_all("code", F.lit(rx), F.lit(1)).alias("before"), F.regexp_extract_all("code", F.lit(rx), F.lit(2)).alias("name"))).alias("c"))
-    return both.filter((F.col("c.before") == "") & ~F.col("c.name").isin(RESERVED)).select("path", "line_no", "c.name")
+    return masked.select("path", "line_no", F.explode(_called(F.col("code"))).alias("name"))
 
 
 def references(source: DataFrame) -> DataFrame:
     """(path, line_no, name) for each capitalised name that isn't called, imported or defined there."""
-    skip = F.lit(False)
-    for rx in NO_REFERENCES:
-        skip = skip | F.col("line").rlike(rx)
-    found = F.regexp_extract_all(code_only(F.col("line")), F.lit(r"\b([A-Z][\w$]*)\b(?!\s*\()"), F.lit(1))
-    return source.filter(F.col("language").isin(*JS, "python") & ~skip).select("path", "line_no", F.explode(found).alias("name"))
+    masked = source.filter(F.col("language").isin(*JS, "python")).select("path", "line_no", "line", code_only(F.col("line")).alias("code"))
+    return masked.select("path", "line_no", F.explode(_mentioned(F.col("code"))).alias("name"))
+
+
+#: A row of everything(): its part says which of the other fields it has.
+_FOUND = "part string, kind string, name string, exported boolean, source string, specifiers array<struct<kind:string,name:string,imported:string>>, ord int, child string, parent string"
+
+
+def everything(source: DataFrame, names: bool = True) -> DataFrame:
+    """Declarations, imports, heritage and, with `names`, calls and references of lines() in one pass.
+
+    Further columns of source stay; part is symbol, import, heritage, call or reference.
+    """
+    fields = [f.split(" ")[0] for f in _FOUND.split(", ")]
+    typed = "array<struct<" + ",".join(f.replace(" ", ":", 1) for f in _FOUND.split(", ")) + ">>"
+    none = F.array().cast(typed)
+    kinds = dict(f.split(" ", 1) for f in _FOUND.split(", "))
+    row = lambda part, **c: F.struct(*((F.lit(part) if k == "part" else c.get(k, F.lit(None))).cast(t).alias(k) for k, t in kinds.items()))
+    each = lambda rows, made: F.coalesce(F.transform(rows, made), none)
+    of = lambda x, *names: {n: x[n] for n in names}
+    found = [
+        each(F.array_compact(F.array(_declared())), lambda x: row("symbol", **of(x, "kind", "name", "exported"))),
+        each(F.array_compact(F.array(_named())), lambda x: row("import", **of(x, "source", "specifiers"))),
+        each(F.transform(_kin(), lambda x, i: F.struct(x["kind"].alias("kind"), x["child"].alias("child"), x["parent"].alias("parent"), i.alias("ord"))), lambda x: row("heritage", **of(x, "ord", "kind", "child", "parent"))),
+    ]
+    kept = [c for c in source.columns if c not in ("language", "line")]
+    held = _ruled(source)
+    if names:
+        code = F.when(F.col("language").isin(*JS, "python"), code_only(F.col("line")))
+        held = held.withColumn("code", code)
+        found += [each(_called(F.col("code")), lambda x: row("call", name=x)), each(_mentioned(F.col("code")), lambda x: row("reference", name=x))]
+    out = held.select(*kept, F.explode(F.concat(*found)).alias("x")).select(*kept, *(f"x.{f}" for f in fields))
+    return out.unionByName(go_imports(source).withColumn("part", F.lit("import")), allowMissingColumns=True)
 
 
 # -- parser engines ---------------------------------------------------------------

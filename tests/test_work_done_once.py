@@ -54,3 +54,23 @@ def test_lines_that_do_not_matter_stay_out_of_windows(spark):
     plan = ends._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Filter", plan.index("Window")) :]
     assert "@Controller" in below[: below.index("Generate")]
+
+
+@pytest.mark.parametrize("name", ["build_stats", "fragment_reuse"])
+def test_files_are_made_once_and_read_in_one_pass(spark, made, monkeypatch, name):
+    for apart in ("declarations", "heritage", "imports", "calls", "references"):
+        monkeypatch.setattr(extraction, apart, lambda source, apart=apart: pytest.fail(apart))
+    code_queries.QUERIES[name](spark, SF).collect()
+    assert made.value == fixtures.code_files(spark, SF).count()
+
+
+def test_one_pass_finds_what_the_extractors_find(spark):
+    more = [("a.py", "class A(B, C):\n  def f(self): return A.g(function (x))\nfrom .b import c\n"), ("a.go", 'import (\n "x"\n)\nfunc F() {}\n'), ("a.java", "public class A extends B implements C, D {\n public int f() {\n"), ("a.ts", "class X extends Y { } ; new Foo(bar (1)) ; class (a)\nfunction foo (x) { if (Y) { } }\nclass class_ (B)\n"), ("a.md", "class X {}")]
+    files = fixtures.code_files(spark).select("path", "content").union(spark.createDataFrame(more, "path string, content string"))
+    lines = extraction.lines(files)
+    found = extraction.everything(lines)
+    apart = {"symbol": extraction.declarations, "import": extraction.imports, "heritage": extraction.heritage, "call": extraction.calls, "reference": extraction.references}
+    for part, of in apart.items():
+        want = of(lines)
+        rows = lambda df: sorted(map(str, df.select(want.columns).collect()))  # noqa: B023, E731
+        assert rows(want) and rows(found.filter(f"part = '{part}'")) == rows(want)
