@@ -145,11 +145,11 @@ def _fragments(files: DataFrame, before: DataFrame | None, names: bool) -> tuple
     if before is None:
         found = settle(parse_fragments(code, names))
         return found, count(found.filter("part = 'file'"), "reparsed").union(count(found.filter("false"), "reused"))
-    good = before.filter(F.col("version") == PARSER_VERSION).join(code.select("path", "hash"), ["path", "hash"], "left_semi")
+    # what is given may be a plan: it is worked out once
+    good = settle(before.filter(F.col("version") == PARSER_VERSION).join(code.select("path", "hash"), ["path", "hash"], "left_semi"))
     todo = code.join(good.filter("part = 'file'").select("path", "hash"), ["path", "hash"], "left_anti")
     fresh = settle(parse_fragments(todo))
-    found = settle(good.unionByName(fresh))
-    return found, count(fresh.filter("part = 'file'"), "reparsed").union(count(good.filter("part = 'file'"), "reused"))
+    return good.unionByName(fresh), count(fresh.filter("part = 'file'"), "reparsed").union(count(good.filter("part = 'file'"), "reused"))
 
 
 def imported_files(files: DataFrame, aliases: DataFrame | None = None, rules: list[dict] | None = None) -> DataFrame:

@@ -74,3 +74,21 @@ def test_one_pass_finds_what_the_extractors_find(spark):
         want = of(lines)
         rows = lambda df: sorted(map(str, df.select(want.columns).collect()))  # noqa: B023, E731
         assert rows(want) and rows(found.filter(f"part = '{part}'")) == rows(want)
+
+
+def test_fragments_given_to_a_build_are_worked_out_once(spark):
+    from graphloom.operators import building
+
+    files = fixtures.code_files(spark).withColumn("hash", F.sha2(F.col("content").cast("binary"), 256))
+    known = building.parse_fragments(files.filter("kind in ('code', 'test')")).localCheckpoint()
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(path):
+        seen.add(1)
+        return path
+
+    graph = building.build_graph(files, True, True, fragments=known.withColumn("path", F.udf(count, "string").asNondeterministic()("path")))
+    edges = sorted(map(str, graph.edges.collect()))
+    assert edges == sorted(map(str, building.build_graph(files, True, True).edges.collect()))
+    assert {r["status"]: r["n"] for r in graph.cached.collect()} == {"reused": known.filter("part = 'file'").count(), "reparsed": 0}
+    assert seen.value == known.count()
